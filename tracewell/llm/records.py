@@ -24,6 +24,7 @@ import os
 import struct
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -241,7 +242,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_stream(path) as stream:
                     source = _records(stream)
                     while True:
-                        got = [x for x, _ in zip(source, range(500), strict=False)]
+                        got = list(islice(source, 500))
                         if not got:
                             break
                         check(*map(list, zip(*[x[1:] for x in got], strict=True)))
