@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, records
-from tracewell.llm.common import saved, table
+from tracewell.llm import bpe, neardup, quality, records, toxicity
+from tracewell.llm.common import fold, saved, table
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the compression bands' verdict of every text."""
+    return quality.verdict(quality.measure(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text with the word vocabulary."""
     path = vocabulary("word_bpe_49k.json")
@@ -37,9 +42,25 @@ def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.positions(saved(records.read(index, folder), "records-read"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from labelled rows outside fold 0, score every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 0).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, toxicity.fit(docs.join(labels, "doc_id")))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a similarity of 0.8 on five-word shingles."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_compression_bands": op4_compression_bands,
     "op7_bpe_backtracking": op7_bpe_backtracking,
     "op8_binary_records": op8_binary_records,
+    "op9_toxicity": op9_toxicity,
+    "op10_probminhash": op10_probminhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
