@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, neardup, quality, records, toxicity
-from tracewell.llm.common import fold, saved, table
+from tracewell.llm import bpe, mixing, neardup, quality, records, toxicity, warc
+from tracewell.llm.common import fold, saved, shared_dir, table
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents; sources weigh 5, 2, 1 in turn and no document is taken over 3 times."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as legacy archives, converted to WARC files, read back."""
+    folder = shared_dir(spark, "warc")
+    files = warc.write(warc.convert(warc.parse(warc.pack(table(spark, sf_dir, "pages"))).where("payload_start > 0")), folder)
+    return warc.pages_of(saved(warc.read(files, folder), "warc-read"))
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the compression bands' verdict of every text."""
     return quality.verdict(quality.measure(table(spark, sf_dir, "documents")))
@@ -56,6 +68,8 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_entropy_balancing": op2_entropy_balancing,
+    "op3_arc_to_warc": op3_arc_to_warc,
     "op4_compression_bands": op4_compression_bands,
     "op7_bpe_backtracking": op7_bpe_backtracking,
     "op8_binary_records": op8_binary_records,
@@ -64,4 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_arc_to_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN p.page_id <> f.first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+    """,
+}
