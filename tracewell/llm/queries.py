@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, mixing, neardup, quality, records, toxicity, warc
+from tracewell.llm import bpe, media, mixing, neardup, pii, quality, records, toxicity, warc
 from tracewell.llm.common import fold, saved, shared_dir, table
 
 
@@ -17,6 +17,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the surrogates; whoever holds another key draws others.
+PII_KEY = "tracewell-surrogates"
+
+
+def op1_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an AVI file of motion JPEG, parsed, decoded and cut into shots."""
+    read = media.analyse(media.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", media.feature(read).alias("feature"), "n_frames", F.size("clips").alias("n_shots"))
+
+
 def op2_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents; sources weigh 5, 2, 1 in turn and no document is taken over 3 times."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -34,6 +44,11 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdict(quality.measure(table(spark, sf_dir, "documents")))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pii.replace(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text with the word vocabulary."""
     path = vocabulary("word_bpe_49k.json")
@@ -68,9 +83,11 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_avi_mjpeg": op1_avi_mjpeg,
     "op2_entropy_balancing": op2_entropy_balancing,
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_compression_bands": op4_compression_bands,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_bpe_backtracking": op7_bpe_backtracking,
     "op8_binary_records": op8_binary_records,
     "op9_toxicity": op9_toxicity,
