@@ -35,7 +35,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed pattern of the word vocabulary, with its white space spelled out.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Words whose ids a Python worker remembers at once.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 END = "\0"
 
 
@@ -98,7 +98,7 @@ class BacktrackingBpe:
         """The pair-compatibility table, filled as pairs occur (at most REMEMBERED pairs are held)."""
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) > 4 * REMEMBERED:
+            if len(self.compatible) > REMEMBERED:
                 self.compatible.clear()
             known = self.compatible[left, right] = not self._crossed(left, right)
         return known
@@ -223,7 +223,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep:
     def run(batches):
         tok = tokenizer(path)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, 1 << 20):
                 made = [tok.encode(t or "") for t in batch.column(text).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), np.int32)))
@@ -232,6 +232,18 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep:
     return rows.mapInArrow(run, schema)
 
 
+def _id_slices(batch: pa.RecordBatch, ids: str, limit: int = 200_000):
+    """Parts of a batch that hold about `limit` ids at most (a longer list stands alone)."""
+    at = held = 0
+    for i, n in enumerate(pa.compute.list_value_length(batch.column(ids)).to_pylist()):
+        if i > at and held + (n or 0) > limit:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n or 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of every id array in column `out`; null and empty arrays give an empty text."""
     keep = [c for c in df.columns if c != out]
@@ -240,8 +252,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     def run(batches):
         tok = tokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in _id_slices(whole, ids):
                 lists = batch.column(ids)
                 sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
