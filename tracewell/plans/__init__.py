@@ -1 +1,10 @@
+"""Named queries of the library, and the SQL that gives the same rows."""
 
+from importlib import import_module
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+for _name in ("catalog_queries", "lineage_queries"):
+    _module = import_module(f"tracewell.plans.{_name}")
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
