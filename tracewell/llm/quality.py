@@ -34,13 +34,13 @@ class Bands:
     bands: tuple[tuple[int, float, float], ...] = (
         (0, 0.20, 1.40),
         (256, 0.22, 0.98),
-        (1024, 0.20, 0.88),
-        (4096, 0.18, 0.82),
-        (16384, 0.15, 0.80),
-        (65536, 0.12, 0.80),
+        (1024, 0.20, 0.80),
+        (4096, 0.18, 0.72),
+        (16384, 0.15, 0.68),
+        (65536, 0.12, 0.66),
     )
     chunk_low: float = 0.20
-    chunk_high: float = 0.85
+    chunk_high: float = 0.74
     bad_chunks: float = 0.5
 
     def limits(self, n: int) -> tuple[float, float]:
