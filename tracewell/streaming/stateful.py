@@ -17,35 +17,44 @@ LIMITED = "key string, id long, ts timestamp, suppressed long"
 BUCKET = "tokens double, last double, suppressed long"
 
 
-def passed(rows: pd.DataFrame, state: tuple[float, float, int] | None, rate: float, per: float, burst: float) -> tuple[pd.DataFrame, tuple[float, float, int]]:
-    """The records of one key that pass a token bucket, and its state after them.
+def passed(rows: pd.DataFrame, states: dict, rate: float, per: float, burst: float) -> pd.DataFrame:
+    """The records that pass their key's token bucket; `states` holds (tokens, time, suppressed) by key.
 
     A bucket starts with `burst` tokens and gains `rate` in `per` seconds; a record takes one.  Each
     that passes tells how many were suppressed since the one before.
     """
-    tokens, last, suppressed = state or (burst, None, 0)
-    out = []
-    for record in rows.sort_values(["ts", "id"]).itertuples():
-        now = record.ts.timestamp()
-        if last is not None:
-            tokens = min(burst, tokens + (now - last) * rate / per)
-        last = now
+    rows = rows[["key", "id", "ts"]].sort_values(["key", "ts", "id"])
+    seconds = (rows["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6).tolist()
+    keys, keep, counts = rows["key"].tolist(), [], []
+    for i, (key, now) in enumerate(zip(keys, seconds, strict=True)):
+        tokens, last, suppressed = states.get(key) or (burst, now, 0)
+        tokens = min(burst, tokens + (now - last) * rate / per)
         if tokens >= 1:
-            tokens -= 1
-            out.append((record.key, record.id, record.ts, suppressed))
-            suppressed = 0
+            keep.append(i)
+            counts.append(suppressed)
+            states[key] = (tokens - 1, now, 0)
         else:
-            suppressed += 1
-    return pd.DataFrame(out, columns=["key", "id", "ts", "suppressed"]), (tokens, last, suppressed)
+            states[key] = (tokens, now, suppressed + 1)
+    return rows.iloc[keep].assign(suppressed=counts)
 
 
 def rate_limited(rows: DataFrame, rate: float = 1, per: float = 300, burst: float = 5) -> DataFrame:
     """Rows (key, id, ts) that pass their key's token bucket, in one batch.
 
-    A key is one sequence, each record depending on those before: keys should be as fine as the
-    log's sources are.
+    Keys are dealt out to partitions and sorted by time there; a partition is streamed through with
+    the state of the current key, so a key of any length takes no more memory.
     """
-    return rows.select("key", "id", F.col("ts").cast("timestamp").alias("ts")).groupBy("key").applyInPandas(lambda pdf: passed(pdf, None, rate, per, burst)[0], LIMITED)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        for pdf in frames:
+            yield passed(pdf, states, rate, per, burst)
+            if len(pdf):
+                last = pdf["key"].iloc[-1]  # rows are sorted: no other key goes on
+                states = {last: states[last]}
+
+    typed = rows.select("key", "id", F.col("ts").cast("timestamp").alias("ts"))
+    return typed.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, LIMITED)
 
 
 def rate_limited_stream(rows: DataFrame, rate: float = 1, per: float = 300, burst: float = 5) -> DataFrame:
@@ -53,9 +62,9 @@ def rate_limited_stream(rows: DataFrame, rate: float = 1, per: float = 300, burs
     the order of time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = tuple(state.get) if state.exists else None
-        out, after = passed(pd.concat(frames), before, rate, per, burst)
-        state.update(after)
+        states = {key[0]: tuple(state.get)} if state.exists else {}
+        out = passed(pd.concat(frames), states, rate, per, burst)
+        state.update(states[key[0]])
         yield out
 
     typed = rows.select("key", "id", F.col("ts").cast("timestamp").alias("ts"))
