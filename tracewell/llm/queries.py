@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, media, mixing, neardup, pii, quality, records, toxicity, warc
+from tracewell.llm import bpe, lm, media, mixing, neardup, pii, quality, records, toxicity, warc
 from tracewell.llm.common import fold, saved, shared_dir, table
 
 
@@ -17,6 +17,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text by the unigram baseline and by PPM, learned outside fold 1."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 #: Key of the surrogates; whoever holds another key draws others.
 PII_KEY = "tracewell-surrogates"
 
@@ -73,7 +78,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from labelled rows outside fold 0, score every text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 0).select("doc_id", F.col("toxic").alias("label"))
-    scored = toxicity.score(docs, toxicity.fit(docs.join(labels, "doc_id")))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_entropy_balancing": op2_entropy_balancing,
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_compression_bands": op4_compression_bands,
+    "op5_ppm": op5_ppm,
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_bpe_backtracking": op7_bpe_backtracking,
     "op8_binary_records": op8_binary_records,

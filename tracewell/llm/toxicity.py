@@ -5,9 +5,10 @@ pairs with one word between, hashed to 2**bits places; each counts once however
 Each coordinate has its own learning rate, and L1 keeps most weights at zero, so that the model is
 a short list of places and weights (at most 2**bits of them, the bound of what is broadcast).
 
-Training takes at most `rows` labelled documents (those of lowest hash; documented sample), dealt
-out to `shards` that learn side by side; after each round the states of the shards are averaged
-(iterative parameter mixing) and all continue from there.  Scoring reads every text whole.
+Training takes at most `rows` labelled documents (those of lowest hash of their ids; a documented
+sample, which bounds the list of ids that is broadcast to find their texts), dealt out to `shards`
+that learn side by side; after each round of `passes` over its rows the states of the shards are
+averaged (iterative parameter mixing) and all continue from there.  Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ class Ftrl:
     beta: float = 1.0
     l1: float = 3.0
     l2: float = 0.1
-    rows: int = 40_000
+    rows: int = 12_000
     shards: int = 8
-    rounds: int = 8
+    rounds: int = 3
+    passes: int = 3
 
 
 def features(texts: list[bytes], bits: int, known: Known) -> tuple[np.ndarray, np.ndarray]:
@@ -84,15 +86,16 @@ def learn(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray, p: F
         n[at] += g * g
 
 
-def fit(labelled: DataFrame, p: Ftrl = Ftrl(), text: str = "text", label: str = "label") -> dict[str, np.ndarray]:  # noqa: B008
-    """Weights from rows with a text and a label of 0 or 1: places, weights and intercept.
+def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), doc_id: str = "doc_id", text: str = "text", label: str = "label") -> dict[str, np.ndarray]:  # noqa: B008
+    """Weights from docs (id, text) and labels (id, label of 0 or 1): places, weights and intercept.
 
-    Rows without a label are left out, null texts are empty; with no row at all the model is
-    empty and gives every text 0.5.
+    Rows without a label or id are left out, an id labelled twice counts with its highest label, null
+    texts are empty; with no row at all the model is empty and gives every text 0.5.
     """
-    spark = labelled.sparkSession
-    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where("label is not null")
-    sample = rows.withColumn("h", F.xxhash64("text", "label")).orderBy("h", "text").limit(p.rows)
+    spark = docs.sparkSession
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
+    sample = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(p.rows)
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("h", "label", "text")
 
     def to_features(batches):
         known = word_hashes()
@@ -100,11 +103,11 @@ def fit(labelled: DataFrame, p: Ftrl = Ftrl(), text: str = "text", label: str =
             for batch in slices(whole, "text"):
                 places, owner = features(texts_of(batch.column("text")), p.bits, known)
                 both = np.unique((owner << p.bits) | places)
-                ends = np.searchsorted(both >> p.bits, np.arange(batch.num_rows), "right")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array((both & ((1 << p.bits) - 1)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), lists], names=["h", "label", "places"])
+                cuts = np.searchsorted(both >> p.bits, np.arange(1, batch.num_rows))
+                lists = [zlib.compress(np.diff(x, prepend=0).astype(np.int32).tobytes(), 1) for x in np.split(both & ((1 << p.bits) - 1), cuts)]
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), pa.array(lists, pa.binary())], names=["h", "label", "places"])
 
-    hashed = saved(sample.mapInArrow(to_features, "h long, label int, places array<int>").withColumn("shard", F.pmod("h", F.lit(p.shards))), "toxicity-train")
+    hashed = saved(rows.mapInArrow(to_features, "h long, label int, places binary").withColumn("shard", F.pmod("h", F.lit(p.shards))), "toxicity-train")
     state = None  # of places seen: (places, z, n)
     for _ in range(p.rounds):
         sent = spark.sparkContext.broadcast(state)
@@ -128,7 +131,7 @@ def fit(labelled: DataFrame, p: Ftrl = Ftrl(), text: str = "text", label: str =
 
 
 def _shard(sent, p: Ftrl):
-    """One pass over a shard's rows from the state sent; returns its own state."""
+    """`passes` over a shard's rows from the state sent; returns its own state."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
@@ -136,7 +139,9 @@ def _shard(sent, p: Ftrl):
             at, z0, n0 = sent.value
             z[at], n[at] = z0, n0
         pdf = pdf.sort_values("h", kind="stable")
-        learn(list(zip(pdf["places"], pdf["label"], strict=True)), z, n, p)
+        rows = [(np.cumsum(np.frombuffer(zlib.decompress(x), np.int32)), y) for x, y in zip(pdf["places"], pdf["label"], strict=True)]
+        for _ in range(p.passes):
+            learn(rows, z, n, p)
         at = np.flatnonzero(n)
         return pd.DataFrame({"place": at, "z": z[at], "n": n[at]})
 
