@@ -133,3 +133,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0,
     schema = ", ".join(f"{c} {kinds[c]}" for c in ready.columns) + ", copies long, taken long"
     out = ready.groupBy("k", "bucket").applyInPandas(rounded, schema)
     return out.drop("k", "bucket")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; rows of size 0 are not taken.
+
+    Rows of equal id, source and size share the copies that the mix takes of them as evenly as can be.
+    """
+    taken = mix(docs, weights, cap, doc_id, text, source).where("copies > 0")
+    keys = ["__id", "__k", "__size"]
+    copies = taken.groupBy(F.col("doc_id").alias("__id"), source_key(F.col("source")).alias("__k"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__taken"))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select("*", F.col(doc_id).alias("__i"), source_key(F.col(source)).alias("__s"), size.alias("__z"))
+    met = rows.join(copies, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__k")) & (F.col("__z") == F.col("__size")))
+    same = Window.partitionBy(*keys)
+    rank = F.row_number().over(same.orderBy(text))
+    n = F.count("*").over(same)
+    own = F.floor(F.col("__copies") / n) + F.when(rank <= F.col("__copies") % n, 1).otherwise(0)
+    shared = met.withColumn("__own", own.cast("int")).where("__own > 0")
+    return shared.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__own"))).alias("__copy")).drop("__copy")
