@@ -137,3 +137,16 @@ def test_nearest_ties_go_left(spark):
     curve = spark.createDataFrame([(0.0, 0.0), (1.0, 10.0), (2.0, 20.0)], "x double, y double")
     points = spark.createDataFrame([(v,) for v in (-0.1, 0.0, 0.5, 0.6, 1.9, 2.1)], "v double")
     assert [r.y for r in sequences.nearest(points, curve, "v", 0.0, 2.0, 0.25).orderBy("v").collect()] == [None, 0.0, 0.0, 10.0, 20.0, None]
+
+
+def test_summaries(spark):
+    from tracewell.operators import summaries
+
+    df = spark.createDataFrame([(1, 1, None), (1, 2, 5), (1, 3, 6), (2, 1, None)], "key int, at int, value int")
+    assert rows(summaries.filled(df, "key", "at", "value")) == [(1, 5, 6), (2, None, None)]
+    lists = spark.createDataFrame([(["a"], ["p"]), ([], ["p"]), (None, None)], "own array<string>, parent array<string>")
+    assert rows(summaries.inherited(lists, "own", "parent").select("own")) == [(["a"],), (["p"],), ([],)]
+    spans = spark.createDataFrame([(1, 0, 3), (1, 5, 9)], "k int, left int, right int")
+    points = spark.createDataFrame([(1, 3, "x"), (1, 3, "a")], "k int, at int, v string")
+    assert rows(summaries.next_right(spans, points, ["k"], "right", "at", "v").select("left", "v")) == [(0, "a"), (5, None)]
+    assert rows(summaries.call(df.limit(0), F.lit(True), F.lit(True)).select("n", "call")) == [(0, "")]
