@@ -35,7 +35,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed pattern of the word vocabulary, with its white space spelled out.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Words whose ids a Python worker remembers at once.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 END = "\0"
 
 
@@ -95,10 +95,10 @@ class BacktrackingBpe:
         return False
 
     def fits(self, left: int, right: int) -> bool:
-        """The pair-compatibility table, filled as pairs occur (at most REMEMBERED pairs are held)."""
+        """The pair-compatibility table, filled as pairs occur (at most half of REMEMBERED pairs are held)."""
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) > REMEMBERED:
+            if len(self.compatible) > REMEMBERED // 2:
                 self.compatible.clear()
             known = self.compatible[left, right] = not self._crossed(left, right)
         return known

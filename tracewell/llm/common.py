@@ -35,13 +35,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Give checkpoint() a folder where neither the setting nor the session has one."""
-    if not spark.sparkContext.getCheckpointDir():
-        conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(conf or shared_dir(spark, "checkpoints"))
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read again: lineage ends here."""
     spark = df.sparkSession

@@ -34,7 +34,7 @@ TITLES = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=lambda t: (-len(t), t))
 NAME = rf"(?<![\p{{L}}\p{{N}}-])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
 #: Type and pattern, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9+])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -42,6 +42,8 @@ PATTERNS = {
     "name": NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every match has in it; quickly told, and most texts have none.
+HINT = rf"[@0-9]|(?<![\p{{L}}\p{{N}}-])(?:{TITLES})\.? \p{{Lu}}"
 #: Fixed given names by gender and script.
 GIVEN = {
     ("f", "latin"): "Alma Berit Clara Daria Edith Flora Greta Hanna Irma Judith Klara Lydia Marta Nora Olga Petra".split(),
@@ -200,7 +202,7 @@ def replace(df: DataFrame, key: str, text: str = "text", count: str = "n_entitie
     rows = df.select(*keep)
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
     # The text's hash, and not the row, is what matches hang on: copies share them.
-    has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
+    has = F.coalesce(F.col(text).rlike(HINT) & F.col(text).rlike(ANY), F.lit(False))
     hits = saved(rows.where(has).select(F.sha2(F.col(text), 256).alias("of"), found.alias("matches")).groupBy("of").agg(F.first("matches").alias("matches")), "matches")
     spots = hits.select("of", F.posexplode("matches").alias("at", "match"))
     kind = kind_of(F.col("match"))

@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -42,7 +43,9 @@ BLOCK = 64
 #: Fixed split pattern of the byte-level vocabulary, its white space spelled out.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-REMEMBERED = 250_000
+REMEMBERED = 500_000
+#: Marks that are pieces of their own after a word.
+MARKS = ".,;:!?"
 INDEX = "part int, offset long, length long, doc_id long, n_tokens long"
 
 
@@ -134,27 +137,75 @@ class Pieces:
         self.special = {t.content: self.raw([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split = regex.compile("|".join(f"({regex.escape(t)})" for t in self.special)) if self.special else None
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # ids of " " + what stands between two spaces
 
     def raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        """Little-endian, as array() is on the machines that Spark runs on."""
+        return array("H" if self.width == 2 else "I", ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str]] = []
-        for t in texts:
-            if self.split is not None and "<" in t and self.split.search(t):
-                cut.append([p for part in self.split.split(t) if part for p in ([part] if part in self.special else PIECES.findall(part))])
-            else:
-                cut.append(PIECES.findall(t))
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text."""
+        if self.split is not None and "<" in text and self.split.search(text):
+            return [p for part in self.split.split(text) if part for p in ([part] if part in self.special else PIECES.findall(part))]
+        return PIECES.findall(text)
+
+    def learn(self, cuts: list[list[str]]) -> None:
+        """Let the library encode all pieces that aren't known."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
         known.update(self.special)
-        new = list({p for pieces in cut for p in pieces if p not in known})
+        new = list({p for pieces in cuts for p in pieces if p not in known})
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[p] = self.raw(e.ids)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts.  Between words that stand one space or one line end apart, every such space or
+        line end begins a piece: the text is cut there first, and what follows is looked up as a
+        whole; a mark after a word is a piece as well."""
+        if len(self.spaced) > REMEMBERED:
+            self.spaced.clear()
+        get = self.spaced.get
+        starts, rests, gaps, new = [], [], [], set()
+        for t in texts:
+            if "  " in t or " \n" in t or t[-1:] == " " or (self.split is not None and "<" in t and self.split.search(t)):
+                starts.append(self.cut(t))
+                rests.append([])
+                gaps.append([])
+                continue
+            if "\n" in t and "\n\n" not in t and "\n " not in t and t[-1] != "\n":
+                t = t.replace("\n", " \n")
+            first, *words = t.split(" ")
+            got = list(map(get, words))
+            gap = []
+            if None in got:
+                for k in [k for k, g in enumerate(got) if g is None]:
+                    w = words[k]
+                    if w[-1:] in MARKS and w[:-1].isalpha():
+                        if (base := get(w[:-1])) is not None and w[-1] in self.known:
+                            got[k] = self.spaced[w] = base + self.known[w[-1]]
+                        else:
+                            gap.append((k, w[:-1], w[-1]))
+                            new.add(w[:-1])
+                    else:
+                        gap.append((k, w, ""))
+                        new.add(w)
+            starts.append(PIECES.findall(first))
+            rests.append(got)
+            gaps.append(gap)
+        fresh = [(w, PIECES.findall(w if w[:1] == "\n" else " " + w)) for w in new]
+        self.learn([p for _, p in fresh] + starts + [list(MARKS)])
+        known = self.known
+        self.spaced.update((w, b"".join(map(known.__getitem__, p))) for w, p in fresh)
+        known[""] = b""
+        out = []
+        for start, got, gap in zip(starts, rests, gaps, strict=True):
+            for k, w, mark in gap:
+                got[k] = self.spaced[w] + known[mark]
+            out.append(b"".join(map(known.__getitem__, start)) + b"".join(got))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -233,6 +284,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers).
     """
     parts = index.select("part").distinct()
+    tasks = max(1, min(parts.count(), 4 * index.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches):
         for batch in batches:
@@ -253,7 +305,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                             before += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 5), strict=True)], names=["part", "offset", "before", "doc_id", "n_tokens", "ids_crc32"])
 
-    return parts.repartition("part").mapInArrow(run, READ)
+    return parts.repartition(tasks, "part").mapInArrow(run, READ)
 
 
 def read_at(index: DataFrame, folder: str) -> DataFrame:

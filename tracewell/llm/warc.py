@@ -286,7 +286,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, names, kinds)
 
-    return files.select("file").repartition("file").mapInArrow(run, "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, url string, date string")
+    tasks = max(1, min(files.count(), 4 * files.sparkSession.sparkContext.defaultParallelism))
+    return files.select("file").repartition(tasks, "file").mapInArrow(run, "record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, url string, date string")
 
 
 def pages_of(records: DataFrame) -> DataFrame:
