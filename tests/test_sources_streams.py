@@ -3,6 +3,8 @@
 import io
 import zipfile
 
+import pytest
+
 from tracewell import catalog
 from tracewell.sources import files
 from tracewell.streaming import stateful
@@ -47,3 +49,14 @@ def test_token_bucket_stream_equals_batch(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("limited").collect())) == batch
+
+
+def test_scores_reports_and_seeds(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("A\t1.5\t-2\t\nC\t0\t3\t\n")
+    assert sorted(map(tuple, files.score_matrix(spark, str(tmp_path / "m.tsv")).collect())) == [("A", 0, 1.5), ("A", 1, -2.0), ("C", 0, 0.0), ("C", 1, 3.0)]
+    (tmp_path / "r.xml").write_text('<testsuite><testcase classname="a.B" name="c" time="1.25"></testcase><testcase classname="a.B" name="d" time="3"><skipped/></testcase></testsuite>')
+    assert sorted(map(tuple, files.junit_cases(spark, str(tmp_path / "r.xml")).collect())) == [("a.B", "c", 1.25), ("a.B", "d", 3.0)]
+    seeds = spark.createDataFrame([("x", "ACG"), ("x", "ACG"), ("y", "TT")], "name string, sequence string")
+    assert sorted(r.value for r in files.seed_fasta(seeds).collect()) == [">x\nACG", ">y\nTT"]
+    with pytest.raises(Exception, match="several names"):
+        files.seed_fasta(seeds.union(spark.createDataFrame([("z", "TT")], seeds.schema))).collect()

@@ -71,3 +71,36 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def inherited(rows: DataFrame, own: str, parent: str) -> DataFrame:
     """A row's own list, or, where it is empty or missing, its parent's."""
     return rows.withColumn(own, F.when(F.coalesce(F.size(own), F.lit(0)) > 0, F.col(own)).otherwise(F.coalesce(parent, F.array().cast("array<string>"))))
+
+
+def best_covered(rows: DataFrame, group: str, region: str, count: str) -> DataFrame:
+    """Of each group the region of the highest mean count (the least of several) and that mean."""
+    means = rows.groupBy(group, region).agg((F.sum(count) / F.count("*")).alias("mean"))
+    best = F.min(F.struct((-F.col("mean")).alias("m"), F.col(region).alias("r")))
+    return means.groupBy(group).agg(best.alias("best")).select(group, F.col("best.r").alias(region), (-F.col("best.m")).alias("mean"))
+
+
+def timings(rows: DataFrame, host: str, time: str) -> DataFrame:
+    """Number, fastest and slowest time by host."""
+    return rows.groupBy(host).agg(F.count(time).alias("n"), F.min(time).alias("fastest"), F.max(time).alias("slowest"))
+
+
+def copied(rows: DataFrame, chosen: Column, **changes: Column) -> DataFrame:
+    """rows and, after them, copies of the chosen ones with some columns changed."""
+    return rows.unionByName(rows.where(chosen).withColumns(changes).select(*rows.columns))
+
+
+def marked(rows: DataFrame, made: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with `flag`: true where no row of `made` has their key."""
+    found = made.select(key).distinct().withColumn("__made", F.lit(True))
+    return rows.join(found, key, "left").withColumn(flag, F.col("__made").isNull()).drop("__made")
+
+
+def enriched(rows: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with the sum of `value` by key; null where nothing is known of a key."""
+    return rows.join(values.groupBy(key).agg(F.sum(value).alias(value)), key, "left")
+
+
+def sorted_members(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Names of each key's members in order, joined by commas."""
+    return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("members"), F.count(name).alias("n"))

@@ -87,3 +87,43 @@ def jobs_of_runs(spark, d):
 def idle_owners(spark, d):
     runs = catalog.runs(spark, d)
     return runs.groupBy("owner").agg(F.count("*").alias("n"), F.max("submitted").alias("newest")).where("newest < timestamp_ntz'1998-01-01'")
+
+
+@query("""SELECT line, flag, mean FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY mean DESC, flag) k
+    FROM (SELECT l_linenumber line, l_returnflag flag, sum(l_quantity) / count(*) mean FROM lineitem GROUP BY 1, 2)) WHERE k = 1""")
+def best_covered(spark, d):
+    rows = catalog.read(spark, d, "lineitem").select(F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), "l_quantity")
+    return summaries.best_covered(rows, "line", "flag", "l_quantity")
+
+
+@query("SELECT event_type AS host, count(value) n, min(value) fastest, max(value) slowest FROM events GROUP BY 1")
+def host_timings(spark, d):
+    return summaries.timings(catalog.jobs(spark, d).withColumnRenamed("key", "host"), "host", "value")
+
+
+@query("SELECT s_suppkey id, s_name AS name, s_nationkey family FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name || ':v2', s_nationkey FROM supplier WHERE s_nationkey = 7")
+def copied_under_tag(spark, d):
+    """Containers, and those of one family once more under a new tag."""
+    rows = catalog.containers(spark, d).select("id", "name", "family")
+    return summaries.copied(rows, F.col("family") == 7, id=F.col("id") + 1_000_000, name=F.concat("name", F.lit(":v2")))
+
+
+@query("SELECT p_partkey id, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R') is_uploaded FROM part")
+def marked_uploads(spark, d):
+    """Datasets that no run put out are uploads."""
+    made = catalog.edges(spark, d).where("kind = 'O'").select(F.col("dataset").alias("id"))
+    return summaries.marked(catalog.datasets(spark, d).select("id"), made, "id", "is_uploaded")
+
+
+@query("""SELECT o_orderkey id, CAST(s.size AS BIGINT) size FROM orders LEFT JOIN (SELECT l_orderkey run, sum(p_size * 1024) size FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE l_returnflag <> 'R' GROUP BY 1) s ON s.run = o_orderkey""")
+def run_input_sizes(spark, d):
+    """Runs with the bytes of their inputs."""
+    inputs = catalog.edges(spark, d).where("kind = 'I'").select(F.col("run").alias("id"), "dataset")
+    sizes = inputs.join(catalog.datasets(spark, d).select(F.col("id").alias("dataset"), "size"), "dataset").select("id", "size")
+    return summaries.enriched(catalog.runs(spark, d).select("id"), sizes, "id", "size")
+
+
+@query("SELECT s_nationkey family, string_agg(s_name, ',' ORDER BY s_name) members, count(*) n FROM supplier GROUP BY 1")
+def sorted_members(spark, d):
+    return summaries.sorted_members(catalog.containers(spark, d), "family", "name")

@@ -112,3 +112,23 @@ def write_log(rows: DataFrame, text: str, inline: int = 2000) -> DataFrame:
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows without those that new ones replace, and the new ones."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def score_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """residue, pos (from 0) and score of a tab-separated matrix whose lines start with a residue."""
+    parts = F.split(F.regexp_replace("value", r"\s+$", ""), "\t")
+    rows = spark.read.text(path).where("trim(value) <> ''").select(parts[0].alias("residue"), F.slice(parts, 2, F.size(parts) - 1).alias("scores"))
+    return rows.select("residue", F.posexplode("scores").alias("pos", "score")).withColumn("score", F.col("score").cast("double"))
+
+
+def junit_cases(spark: SparkSession, path: str) -> DataFrame:
+    """class, name and seconds of the cases of XML test reports."""
+    cases = spark.read.format("xml").option("rowTag", "testcase").schema("_classname string, _name string, _time double").load(path)
+    return cases.select(F.col("_classname").alias("class"), F.col("_name").alias("name"), F.col("_time").alias("seconds"))
+
+
+def seed_fasta(rows: DataFrame, name: str = "name", sequence: str = "sequence") -> DataFrame:
+    """FASTA records (column value) of distinct sequences; a sequence under two names fails the job."""
+    names = rows.groupBy(sequence).agg(F.count_distinct(name).alias("n"), F.min(name).alias("least"), F.max(name).alias("last"))
+    clash = F.raise_error(F.concat(F.lit("one sequence has several names: "), F.concat_ws(", ", "least", "last")))
+    return names.select(F.when(F.col("n") > 1, clash).otherwise(F.concat(F.lit(">"), "least", F.lit("\n"), sequence)).alias("value"))
