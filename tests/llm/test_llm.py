@@ -459,6 +459,21 @@ def test_near_duplicates_find_every_link(spark):
     assert kept == set(group)
 
 
+def test_near_duplicates_whose_leaders_are_unlike_both(spark, monkeypatch):
+    random.seed(31)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(40)]
+    by_key = sorted(range(40), key=lambda i: hashlib.sha256(texts[i].encode()).digest()[:16])
+    twin = texts[by_key[20]] + " end"
+    assert hashlib.sha256(twin.encode()).digest()[:16] not in (min(d := [hashlib.sha256(t.encode()).digest()[:16] for t in [*texts, twin]]), max(d))
+    # All in one bucket: its leaders are the least and the greatest key.
+    monkeypatch.setattr(neardup, "banded", lambda df, p, i, t: df.select(F.col(i).alias("doc_id"), neardup.text_key(F.col(t)).alias("id"), F.array(F.lit(7).cast("long")).alias("bands")))
+    for few in (neardup.FEW, 1000):  # with and without drawn pairs
+        monkeypatch.setattr(neardup, "FEW", few)
+        got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate([*texts, twin])), "doc_id long, text string")).collect()}
+        assert got == {i: by_key[20] if i == 40 else i for i in range(41)}
+
+
 def test_near_duplicates_edges(spark, edge, none):
     got = sorted(((r.doc_id or 0), r.class_id, r.n_copies) for r in neardup.classes(edge).collect())
     assert got == [(0, None, 1), (1, 1, 3), (2, 2, 2), (3, 2, 2), (4, 4, 1), (5, 1, 3), (5, 1, 3), (6, 6, 1), (7, 7, 1)]

@@ -14,9 +14,10 @@ Registers are banded; texts that share a band's key share a bucket.  No bucket i
 pairs: each member is paired with two leaders of its bucket, the member that meets most others over
 all bands (the text that the other copies come from, in a group of near copies) and the one of
 least id.  The pairs are verified by exact J_P >= `threshold`, and classes are the connected
-components.  Then buckets that hold several classes are looked at again, now between the classes'
-own leaders there, until no pair is new or none verifies.  Leaders are found by aggregates and
-joined back, so a bucket of any size is spread over tasks.
+components.  Then buckets that hold several classes are looked at again: members meet others drawn
+from their bucket, as long as that joins classes and many pairs are left, and at last all pairs of a
+bucket's members that are of different classes are compared.  Leaders are found by aggregates and
+joined back, and large buckets are dealt into parts, so a bucket of any size is spread over tasks.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from tracewell.llm.bpe import Known
 from tracewell.llm.common import saved, slices, texts_of
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Members of a bucket that meet the rest of it in one task.
+PART = 64
+#: Pairs a member that all are compared at once; while there are more, classes first grow by drawn pairs.
+FEW = 2
 
 
 @dataclass(frozen=True)
@@ -198,6 +203,41 @@ def leaders(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def divided(members: DataFrame, classed: DataFrame) -> DataFrame:
+    """bucket, id and class of the buckets whose members are of several classes."""
+    named = members.select("bucket", "id").join(classed, "id")
+    several = named.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
+    return named.join(several.select("bucket"), "bucket")
+
+
+def apart(met: DataFrame) -> int:
+    """How many pairs of members of different classes the buckets have."""
+    per_class = met.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    pairs = per_class.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs"))
+    return pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+
+
+def drawn(met: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): of each bucket every member with two members of other classes, drawn anew in each turn."""
+    chosen = [F.min_by(F.struct("id", "class"), F.xxhash64("id", F.lit(2 * turn + i))) for i in range(2)]
+    led = met.groupBy("bucket").agg(F.array(*chosen).alias("chosen"))
+    pairs = met.join(led, "bucket").select("id", "class", F.explode("chosen").alias("other")).where("other.class <> class")
+    return pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+
+
+def across(met: DataFrame) -> DataFrame:
+    """Pairs (a, b): all members of a bucket that are of different classes.
+
+    A bucket is dealt into parts of about PART members, each of which meets the whole bucket, so that no
+    bucket is joined in one task.
+    """
+    parts = met.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = met.join(parts, "bucket")
+    one = dealt.select("bucket", F.col("id").alias("a"), F.col("class").alias("a_class"), F.pmod(F.hash("id"), "parts").alias("part"))
+    other = dealt.select("bucket", F.col("id").alias("b"), F.col("class").alias("b_class"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return one.join(other, ["bucket", "part"]).where("a < b and a_class <> b_class").select("a", "b").distinct()
+
+
 def verify(pairs: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
     """a, b and similarity of the pairs of J_P >= threshold.  shown: id and shape."""
     left = pairs.join(shown.select(F.col("id").alias("a"), F.col("shape").alias("a_shape")), "a")
@@ -249,20 +289,24 @@ def classed_texts(df: DataFrame, p: NearDup, doc_id: str, text: str) -> tuple[Da
     shown = saved(shapes(df, texts.select("id", "least_doc").join(in_pairs, "id", "left_semi"), p, doc_id, text), "shapes")
     links = saved(verify(pairs, shown, p), "verified")
     classed = saved(components(texts, links), "classes")
-    tried, verified = pairs, links
+    tried, verified, turn = pairs, links, 0
+    # Every member of these buckets had a pair in the first round, so its shape is at hand.
     while True:
-        reps = members.join(classed, "id").groupBy("bucket", "class").agg(F.max_by("id", F.struct("degree", "id")).alias("id"), F.max("degree").alias("degree"))
-        several = reps.groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1").select("bucket")
-        more = leaders(reps.join(several, "bucket").select("bucket", "id", "degree")).join(tried, ["a", "b"], "left_anti")
-        more = saved(more, "pairs")
-        if not more.limit(1).count():
-            break
-        # A leader of a class had a pair in the first round, so its shape is at hand.
+        met = saved(divided(members, classed), "divided")
+        last = apart(met) <= FEW * members.count()
+        more = saved((across(met) if last else drawn(met, turn)).join(tried, ["a", "b"], "left_anti"), "pairs")
         got = saved(verify(more, shown, p), "verified")
-        if not got.limit(1).count():
+        found = got.limit(1).count() > 0
+        tried, verified, turn = tried.union(more), verified.union(got), turn + 1
+        if found:
+            classed = saved(components(texts, verified), "classes")
+        if last:
+            break
+        if not found:  # Drawing has nothing more to give: all that are left are compared.
+            more = saved(across(met).join(tried, ["a", "b"], "left_anti"), "pairs")
+            verified = verified.union(saved(verify(more, shown, p), "verified"))
+            classed = saved(components(texts, verified), "classes")
             break
-        tried, verified = tried.union(more), verified.union(got)
-        classed = saved(components(texts, verified), "classes")
     linked = verified.select(F.col("a").alias("id")).union(verified.select(F.col("b"))).groupBy("id").agg(F.count("*").alias("n_links"))
     named = texts.select("id", "least_doc", "n_copies").join(classed, "id").join(linked, "id", "left")
     return keyed.select("doc_id", "id"), named.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
