@@ -413,6 +413,21 @@ def test_probability_jaccard():
         assert math.isclose(neardup.probability_jaccard(*pack(a), *pack(b)), want, abs_tol=1e-12)
 
 
+def test_exactly_four_fifths_is_a_link(spark):
+    for union in range(10, 1000, 5):  # both have as many, and `common` of them together
+        common = union * 4 // 5
+        own = (union - common) // 2
+        a, b = np.arange(common + own), np.concatenate([np.arange(common), np.arange(common + own, union)])
+        got = neardup.probability_jaccard(a, np.ones(len(a), int), b, np.ones(len(b), int))
+        assert got >= 0.8 and neardup.probability_jaccard(a, np.full(len(a), 3), b, np.full(len(b), 2)) >= 0.8
+        assert neardup.probability_jaccard(a[1:], np.ones(len(a) - 1, int), b, np.ones(len(b), int)) < 0.8 - neardup.ROUNDING
+    shape = lambda keys: np.sort(keys.astype(np.uint32)).tobytes()
+    a, b = np.arange(54), np.concatenate([np.arange(48), np.arange(54, 60)])
+    shown = spark.createDataFrame([(b"a", shape(a)), (b"b", shape(b))], "id binary, shape binary")
+    pairs = spark.createDataFrame([(b"a", b"b")], "a binary, b binary")
+    assert [r.similarity for r in neardup.verify(pairs, shown, neardup.NearDup()).collect()] == [0.8]
+
+
 def test_signatures_estimate_it():
     random.seed(5)
     words = [str(i).encode() for i in range(400)]

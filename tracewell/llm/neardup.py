@@ -34,6 +34,8 @@ from tracewell.llm.bpe import Known
 from tracewell.llm.common import saved, slices, texts_of
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: What the sum of a pair with unequal weights may be below the threshold by rounding and still count.
+ROUNDING = 1e-9
 #: Members of a bucket that meet the rest of it in one task.
 PART = 64
 #: Pairs a member that all are compared at once; while there are more, classes first grow by drawn pairs.
@@ -136,7 +138,9 @@ def probability_jaccard(a_keys: np.ndarray, a_n: np.ndarray, b_keys: np.ndarray,
     only_a, only_b = a_n.sum() - a.sum(), b_n.sum() - b.sum()
     ratio = a / b
     if ratio.min() == ratio.max():
-        return float((1 / (np.maximum(a.sum() / a, b.sum() / b) + only_a / a + only_b / b)).sum())
+        # In integers and by one division, so that exactly 4 of 5 is 0.8 and not a rounding below it.
+        x, y = int(a_n[i].sum()), int(b_n[j].sum())
+        return x * y / (int(a_n.sum()) * y + x * (int(b_n.sum()) - y))
     order = np.argsort(ratio, kind="stable")
     a, b, ratio = a[order], b[order], ratio[order]
     at = np.searchsorted(ratio, ratio, "left")  # from here on a_j/b_j >= a_i/b_i: a's term is the larger
@@ -251,7 +255,7 @@ def verify(pairs: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
                 out.append(probability_jaccard(*np.unique(x, return_counts=True), *np.unique(y, return_counts=True)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "a_shape", "b_shape").mapInArrow(run, "a binary, b binary, similarity double").where(F.col("similarity") >= p.threshold)
+    return both.select("a", "b", "a_shape", "b_shape").mapInArrow(run, "a binary, b binary, similarity double").where(F.col("similarity") >= p.threshold - ROUNDING)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
