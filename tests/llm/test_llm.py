@@ -254,6 +254,16 @@ def test_lm_against_brute_force(spark, edge, none):
     assert lm.scores(edge).count() == len(EDGE)
 
 
+@pytest.mark.parametrize("capacity", [0, 12, 3_000_000])
+def test_lm_capacity_changes_no_score(spark, capacity):
+    rows = list(enumerate(["the cat sat on the mat", "the dog sat", "", "Zebra", "the cat", "a cat and a dog", "qqq", "THE mat", "zq the dig", "the cat", "ÿ漢"]))
+    got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string"), lm.Ppm(order=3, head=3, capacity=capacity)).collect()}
+    train = [t.encode().lower() for i, t in rows if fold_of(i) != 1]
+    assert len(train) < len(rows)
+    for i, t in rows:
+        assert math.isclose(got[i], brute_ppm(train, t.encode().lower(), 3), abs_tol=1e-8)
+
+
 # 6 surrogates
 
 

@@ -7,11 +7,11 @@ it has not followed, an escape is paid (method C: as many escapes as distinct sy
 next shorter context is tried, from which the symbols of the longer one are excluded, as they would
 have been found there.  Below the empty context all symbols left are equally likely.
 
-The counts of all contexts come from the counts of the longest ones.  A context's excluded mass
-depends on the context alone, so it is summed once; scoring a text then is a handful of array
-lookups per byte, and only symbols that the longest context hasn't seen descend.  The trie holds
-`capacity` nodes at most, which bounds what is broadcast: if there are more, the least count that
-a node needs is doubled until they fit, and what is pruned is reached by escapes, as anything unseen.
+The counts of all contexts come from the counts of the longest ones, and stay a table.  The probability
+of a byte depends on its run alone (the byte and the `order` bytes before it), so joins work it out once
+for every distinct run of the corpus: runs of the training texts by the totals of their contexts, all others
+level by level.  The most frequent runs, `capacity` at most, are broadcast with their
+probabilities; all other runs of a text go by a join to theirs, so the capacity changes no score.
 
 Baseline.  log10((c + 0.5) / (N + 0.5 (V + 1))) summed over a text's words and its end.  The
 `head` most frequent words are broadcast; all other words of a text go by a join to their counts.
@@ -89,43 +89,72 @@ def count_runs(texts: DataFrame, order: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def nodes(counts: DataFrame, p: Ppm) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per context length: runs and counts of the trie's nodes, at most p.capacity in all."""
-    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.col("run").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("run")) for k in range(p.order + 1)])
+def suffix(column: str, length: int) -> F.Column:
+    """The last `length` bytes of a run."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * length) - 1))
+
+
+def nodes(counts: DataFrame, p: Ppm) -> tuple[DataFrame, DataFrame]:
+    """The trie's nodes (k, run, n) and its contexts (k, context, total, size, down), by context length k.
+
+    size is the number of distinct symbols, down their mass in the context that is a byte shorter.
+    """
+    masks = F.array(*[F.struct(F.lit(k).alias("k"), suffix("run", k + 1).alias("run")) for k in range(p.order + 1)])
     every = saved(counts.select(F.explode(masks).alias("x"), "n").groupBy("x.k", "x.run").agg(F.sum("n").alias("n")), "ppm-nodes")
+    shorter = F.col("run").bitwiseAND(F.element_at(F.array(*[F.lit((1 << 8 * k) - 1) for k in range(p.order + 1)]), F.col("k") + 1))
+    below = every.select((F.col("k") + 1).alias("k"), F.col("run").alias("shorter"), F.col("n").alias("m"))
+    met = every.where("k > 0").withColumn("shorter", shorter).join(below, ["k", "shorter"]).select("k", "run", "n", "m")
+    met = met.unionByName(every.where("k = 0").select("k", "run", "n", F.lit(0).cast("long").alias("m")))
+    contexts = met.groupBy("k", F.shiftright("run", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("size"), F.sum("m").alias("down"))
+    return every, saved(contexts, "ppm-contexts")
+
+
+def probabilities(seen: DataFrame, others: DataFrame, p: Ppm) -> DataFrame:
+    """run, n and logp: the log10 probability of a run's last byte after the bytes before it.
+
+    seen: run and n of the training texts; others: run and n of all other texts.  Every run of both is
+    there, n being its count in both.  Nodes of context lengths 0 and 1, 65,792 at most, are broadcast.
+    """
+    every, contexts = nodes(seen, p)
+    again = seen.join(others.withColumnRenamed("n", "more"), "run", "left")
+    whole = contexts.where(F.col("k") == p.order).select("context", "total", "size")
+    known = again.withColumn("context", F.shiftright("run", 8)).join(whole, "context")
+    known = known.select("run", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.log10(F.col("n") / (F.col("total") + F.col("size"))).alias("logp"))
+    zero = F.lit(0).cast("long")
+    left = others.join(seen, "run", "left_anti").select("run", "n", F.lit(0.0).alias("logp"), F.lit(False).alias("done"), zero.alias("excluded"), zero.alias("mass"))
+    for k in range(p.order, -1, -1):
+        node = every.where(F.col("k") == k).select(F.col("run").alias("own"), F.col("n").alias("found"))
+        around = contexts.where(F.col("k") == k).select("context", "total", "size", "down")
+        if k <= 1:
+            node = F.broadcast(node)
+        if k <= 2:
+            around = F.broadcast(around)
+        left = left.withColumn("own", suffix("run", k + 1)).withColumn("context", F.shiftright(suffix("run", k + 1), 8))
+        left = left.join(node, "own", "left").join(around, "context", "left")
+        fresh = F.col("size") - F.col("excluded")
+        rest = F.col("total") - F.col("mass") + fresh
+        hit, pay = F.col("found").isNotNull(), F.col("size").isNotNull() & (fresh > 0)
+        step = F.when(F.col("done"), 0.0).when(hit, F.log10(F.col("found") / rest)).when(pay, F.log10(fresh / rest)).otherwise(0.0)
+        left = left.select("run", "n", (F.col("logp") + step).alias("logp"), (F.col("done") | hit).alias("done"), F.coalesce("size", zero).alias("excluded"), F.coalesce("down", zero).alias("mass"))
+    unseen = left.select("run", "n", F.when(F.col("done"), F.col("logp")).otherwise(F.col("logp") - F.log10(F.greatest(256 - F.col("excluded"), F.lit(1)))).alias("logp"))
+    return saved(known.unionByName(unseen), "ppm-runs")
+
+
+def hot(table: DataFrame, p: Ppm) -> tuple[np.ndarray, np.ndarray]:
+    """Runs, sorted, and log10 probabilities of the most frequent runs: at most p.capacity."""
     least = 1
-    while every.where(F.col("n") >= least).count() > p.capacity:
+    while table.where(F.col("n") >= least).count() > p.capacity:
         least *= 2
-    got = every.where(F.col("n") >= least).toArrow()
-    k, run, n = (got.column(c).to_numpy() for c in ("k", "run", "n"))
-    out = {}
-    for i in range(p.order + 1):
-        own = k == i
-        order = np.argsort(run[own], kind="stable")
-        out[i] = (run[own][order].astype(np.uint64), n[own][order].astype(np.int64))
-    return out
-
-
-class Trie:
-    """The model as arrays, and a hash table of the longest runs' log10 probabilities."""
-
-    def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray]], order: int):
-        self.order, self.levels = order, levels
-        self.contexts = []  # per length: contexts, total, distinct symbols, their mass one level down
-        for k in range(order + 1):
-            run, n = levels[k]
-            context, first, size = np.unique(run >> np.uint64(8), return_index=True, return_counts=True)
-            total = np.add.reduceat(n, first) if len(n) else n
-            down = np.zeros(len(context), np.int64)
-            if k and len(n):
-                shorter, m = levels[k - 1]
-                suffix = run & np.uint64((1 << 8 * k) - 1)
-                at = np.minimum(np.searchsorted(shorter, suffix), len(shorter) - 1)
-                down = np.add.reduceat(np.where(shorter[at] == suffix, m[at], 0), first)
-            self.contexts.append((context, total, size, down))
-        run, n = levels[order]
-        _, total, size, _ = self.contexts[order]
-        logs = np.log10(n / np.repeat(total + size, size)) if len(n) else np.zeros(0)
+    got = table.where(F.col("n") >= least).select("run", "logp").toArrow()
+    run, logp = (got.column(c).to_numpy() for c in ("run", "logp"))
+    order = np.argsort(run)
+    return run[order].astype(np.uint64), logp[order].astype(np.float64)
+
+
+class Head:
+    """A hash table of the most frequent runs' log10 probabilities."""
+
+    def __init__(self, run: np.ndarray, logs: np.ndarray):
         self.bits = max(10, int(np.ceil(np.log2(4 * max(len(run), 1)))))
         self.table = np.full(1 << self.bits, np.uint64(2**64 - 1))
         self.exact = np.zeros(1 << self.bits)
@@ -140,13 +169,14 @@ class Trie:
     def slot(self, run: np.ndarray) -> np.ndarray:
         return ((run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def logs(self, run: np.ndarray) -> np.ndarray:
-        """log10 probability of each run's last byte after the bytes before it."""
+    def logs(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each run, 0 where the table has none, and the places of those."""
         slot = self.slot(run)
         seen = self.table[slot]
         out = self.exact[slot]
         todo = np.flatnonzero(seen != run)
-        missing = []
+        out[todo] = 0
+        missing = [np.zeros(0, np.int64)]
         at, empty = slot[todo], seen[todo] == np.uint64(2**64 - 1)
         while len(todo):
             missing.append(todo[empty])
@@ -155,38 +185,17 @@ class Trie:
             hit = seen == run[todo]
             out[todo[hit]] = self.exact[at[hit]]
             todo, at, empty = todo[~hit], at[~hit], seen[~hit] == np.uint64(2**64 - 1)
-        if missing and len(lost := np.concatenate(missing)):
-            out[lost] = self.descend(run[lost])
-        return out
-
-    def descend(self, run: np.ndarray) -> np.ndarray:
-        """The same for runs whose longest context hasn't had their last byte."""
-        out, left = np.zeros(len(run)), np.arange(len(run))
-        excluded, mass = np.zeros(len(run), np.int64), np.zeros(len(run), np.int64)  # symbols, their count here
-        for k in range(self.order, -1, -1):
-            own = run[left] & np.uint64((1 << 8 * (k + 1)) - 1)
-            context, total, size, down = self.contexts[k]
-            if not len(context):
-                continue
-            at = np.minimum(np.searchsorted(context, own >> np.uint64(8)), len(context) - 1)
-            there = context[at] == own >> np.uint64(8)
-            nodes_, n = self.levels[k]
-            i = np.minimum(np.searchsorted(nodes_, own), len(nodes_) - 1)
-            found = nodes_[i] == own
-            fresh = size[at] - excluded[left]
-            rest = total[at] - mass[left] + fresh
-            out[left[found]] += np.log10(n[i[found]] / rest[found])
-            pay = there & ~found & (fresh > 0)
-            out[left[pay]] += np.log10(fresh[pay] / rest[pay])
-            excluded[left] = np.where(there, size[at], 0)
-            mass[left] = np.where(there, down[at], 0)
-            left = left[~found]
-        out[left] -= np.log10(np.maximum(256 - excluded[left], 1))
-        return out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        run, sizes = runs(texts, self.order)
-        return np.add.reduceat(self.logs(run), np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+        return out, np.sort(np.concatenate(missing))
+
+    def score(self, texts: list[bytes], order: int) -> tuple[np.ndarray, list, list]:
+        """Each text's sum over the runs that are here, and its other runs with how often they occur."""
+        run, sizes = runs(texts, order)
+        if not len(sizes):
+            return np.zeros(0), [], []
+        logs, lost = self.logs(run)
+        starts = np.cumsum(sizes) - sizes
+        tails = [np.unique(x, return_counts=True) for x in np.split(run[lost].astype(np.int64), np.searchsorted(lost, starts[1:]))]
+        return np.add.reduceat(logs, starts), [k for k, _ in tails], [n.astype(np.int32) for _, n in tails]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -212,7 +221,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-SCORED = "n_tokens long, head_known long, head_score double, score double, tail_words array<binary>, tail_counts array<int>"
+SCORED = "n_tokens long, head_known long, head_score double, score double, tail_words array<binary>, tail_counts array<int>, tail_runs array<long>, run_counts array<int>"
 
 
 def scores(df: DataFrame, p: Ppm = Ppm(), doc_id: str = "doc_id", text: str = "text", held: int = 1, folds: int = 5) -> DataFrame:  # noqa: B008
@@ -230,12 +239,12 @@ def scores(df: DataFrame, p: Ppm = Ppm(), doc_id: str = "doc_id", text: str = "t
     below = total + 0.5 * (distinct + 1)
     head = words.orderBy(F.desc("n"), "word").limit(p.head)
     top = {bytes(r.word): r.n for r in head.collect()}
-    levels = nodes(saved(count_runs(train, p.order), "run-counts"), p)
-    sent = spark.sparkContext.broadcast((top, levels))
+    logp = probabilities(saved(count_runs(train, p.order), "run-counts"), saved(count_runs(rows.where("held_out"), p.order), "run-counts"), p)
+    sent = spark.sparkContext.broadcast((top, hot(logp, p)))
 
     def run(batches):
         counts, model = sent.value
-        trie = Trie(model, p.order)
+        table = Head(*model)
         logs = {w: float(np.log10((n + 0.5) / below)) for w, n in counts.items()}
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
@@ -252,9 +261,10 @@ def scores(df: DataFrame, p: Ppm = Ppm(), doc_id: str = "doc_id", text: str = "t
                             base += n * x
                             known += n
                     found.append((own.total(), known, base, [w for w, _ in tail], [n for _, n in tail]))
+                score, tail_runs, run_counts = table.score(texts, p.order)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
                 columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "held_out", "of")], *columns[:3], pa.array(trie.score(texts)), *columns[3:]], names=["doc_id", "held_out", "of", "n_tokens", "head_known", "head_score", "score", "tail_words", "tail_counts"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "held_out", "of")], *columns[:3], pa.array(score), *columns[3:], pa.array(tail_runs, pa.list_(pa.int64())), pa.array(run_counts, pa.list_(pa.int32()))], names=["doc_id", "held_out", "of", "n_tokens", "head_known", "head_score", "score", "tail_words", "tail_counts", "tail_runs", "run_counts"])
 
     keyed = rows.withColumn("of", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, of binary, {SCORED}"
@@ -264,7 +274,11 @@ def scores(df: DataFrame, p: Ppm = Ppm(), doc_id: str = "doc_id", text: str = "t
     tail = tail.groupBy("of", "word").agg(F.max("tf").alias("tf"))
     known = tail.join(words, "word", "left").select("of", "tf", F.coalesce("n", F.lit(0)).alias("n"))
     sums = known.groupBy("of").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("tail_known"), F.sum(F.col("tf") * F.log10((F.col("n") + 0.5) / F.lit(below))).alias("tail_score"))
-    full = scored.drop("tail_words", "tail_counts").join(sums, "of", "left")
+    # Rare runs likewise: every run of every text has a row in logp.
+    rare = scored.select("of", F.explode(F.arrays_zip("tail_runs", "run_counts")).alias("x")).select("of", F.col("x.tail_runs").alias("run"), F.col("x.run_counts").alias("tf"))
+    rare = rare.groupBy("of", "run").agg(F.max("tf").alias("tf")).join(logp.select("run", "logp"), "run")
+    rare = rare.groupBy("of").agg(F.sum(F.col("tf") * F.col("logp")).alias("rare_score"))
+    full = scored.drop("tail_words", "tail_counts", "tail_runs", "run_counts").join(sums, "of", "left").join(rare, "of", "left")
     return full.select(
         "doc_id",
         "held_out",
@@ -272,5 +286,5 @@ def scores(df: DataFrame, p: Ppm = Ppm(), doc_id: str = "doc_id", text: str = "t
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
