@@ -296,6 +296,18 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.surrogate for r in got} & {r.canon for r in got}
 
 
+def test_surrogates_of_a_frequent_surname(spark):
+    names = ["".join(x) for x in itertools.product("BDFGKLMNPR", "aeiou", "bdfgklmnpr", "aeiou")]
+    rows = [(f"Mr {n} Smith",) for n in names] + [("Herr Νίκος Παπάς",), ("Frau Անի Սարյան",)] + [(f"Herr {n} Иванов",) for n in ("Пётр", "Яков")]
+    got = pii.replace(spark.createDataFrame(rows, "text string"), "key").collect()
+    assert all(r.n_entities == 1 for r in got) and len({r.text for r in got}) == len(rows) > 2500
+    smiths = [r.text for r in got if r.text.startswith("Mr ")]
+    assert len({t.split()[-1] for t in smiths}) == 1 and "Smith" not in smiths[0]
+    bare = lambda t: t.split(" ", 1)[1]
+    assert all(re.fullmatch("[Ͱ-Ͽ ]+", bare(r.text)) for r in got if re.search("[Ͱ-Ͽ]", r.text))
+    assert sum(bool(re.fullmatch(f"[{span} ]+", bare(r.text))) for span in ("Ͱ-Ͽ", "\u0530-\u058f", "\u0400-\u04ff") for r in got) == 4
+
+
 def test_surrogates_leave_rows_and_clean_texts(spark, edge, none, texts):
     out = pii.replace(edge, "k")
     assert out.columns == [*edge.columns, "n_entities"] and out.count() == len(EDGE)

@@ -9,7 +9,8 @@ distinct entities of the whole corpus get surrogates from a keyed SHA-256:
 * e-mail: letters by letters of the same script, digits by digits; one surrogate domain per domain
 * IPv4: an address of the reserved block 240/4, of 10/8 for private ones
 * phone: country code and layout stay; card: issuer digit, layout and a valid check digit stay
-* name: a given name of the same gender (by the form of address) and script, a surname that is the
+* name: a given name of the same gender (by the form of address) and script (Latin, Cyrillic, Greek or
+  Armenian; others get Latin), one more syllable each time it is drawn again, and a surname that is the
   same for all who share the surname
 
 Surrogates that two entities of a type share, or that occur in the corpus themselves, are drawn
@@ -52,10 +53,16 @@ GIVEN = {
     ("f", "cyrillic"): "Алина Берта Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лидия Марина Нина Ольга Полина Раиса".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Леонид Максим Никита Олег Павел Роман Сергей".split(),
     ("n", "cyrillic"): "Саша Женя Валя Слава Витя Шура Паша Мишель Ким Ники Робин Тоня Лёка Вася Тася Юля".split(),
+    ("f", "greek"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ηλέκτρα Θάλεια Ιωάννα Καλλιόπη Λυδία Μαρία Νεφέλη Ξένια Ολυμπία Ρέα".split(),
+    ("m", "greek"): "Ανδρέας Βασίλης Γιώργος Δημήτρης Ευάγγελος Ζήσης Ηλίας Θωμάς Ιάσονας Κώστας Λάμπρος Μάριος Νίκος Ορέστης Πέτρος Σπύρος".split(),
+    ("n", "greek"): "Άλεξ Ρένι Σάσα Νίκι Κρις Έντεν Λίο Μισέλ Τόνι Ντάνι Βίκυ Φρόσω Τζο Σαμ Λι Κιμ".split(),
+    ("f", "armenian"): "Անահիտ Արփի Գայանե Եվա Զարուհի Լիլիթ Կարինե Հասմիկ Մարիամ Նարե Նունե Շուշան Սիրան Սոնա Տաթև Օվսաննա".split(),
+    ("m", "armenian"): "Արամ Արմեն Գագիկ Դավիթ Երվանդ Զավեն Կարեն Հայկ Միքայել Նարեկ Պետրոս Սարգիս Տիգրան Վահան Վարդան Րաֆֆի".split(),
+    ("n", "armenian"): "Արև Արշալույս Գարուն Լույս Հույս Մասիս Նար Շող Սեր Սևան Վան Անի Արաքս Նուռ Ծով Սարի".split(),
 }
 #: Fixed letters and syllables that surrogates are made of.
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
-SYLLABLES = {"latin": [a + b for a in "bdfgklmnprstvz" for b in "aeiou"], "cyrillic": [a + b for a in "бвгдзклмнпрст" for b in "аеиоу"]}
+SYLLABLES = {"latin": [a + b for a in "bdfgklmnprstvz" for b in "aeiou"], "cyrillic": [a + b for a in "бвгдзклмнпрст" for b in "аеиоу"], "greek": [a + b for a in "βγδζθκλμνπρτφχ" for b in "αειου"], "armenian": [a + b for a in "բգդզլխկհմնպռստ" for b in "աեիոէ"]}
 
 
 def _hex(*parts) -> Column:
@@ -146,15 +153,17 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     ssn = F.concat(F.lit("9"), _drawn_digits(h, F.lit(8)))
     gender, full = F.substring(canon, 1, 1), F.substring_index(canon, ":", -1)
     surname = F.substring_index(full, " ", -1)
-    script = F.when(full.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    script = F.when(full.rlike(r"\p{IsCyrillic}"), "cyrillic").when(full.rlike(r"\p{IsGreek}"), "greek").when(full.rlike(r"\p{IsArmenian}"), "armenian").otherwise("latin")
     s = _hex(F.lit(key), F.lit("surname"), surname)
-    own, first = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name in ("latin", "cyrillic"):
+    own, first, more = (F.lit(None).cast("string") for _ in range(3))
+    for name in SYLLABLES:
         own = F.when(script == name, F.concat(*[_pick(SYLLABLES[name], _byte(s, i)) for i in range(4)])).otherwise(own)
+        # As many syllables as attempts, so that any number of people can share a surname.
+        more = F.when(script == name, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: _pick(SYLLABLES[name], _byte(h, i))), "")).otherwise(more)  # noqa: B023
         for g in "fmn":
             first = F.when((script == name) & (gender == g), _pick(GIVEN[g, name], _byte(h, 0))).otherwise(first)
-    more = F.when(attempt > 0, F.concat(_pick(SYLLABLES["latin"], _byte(h, 1)), F.lit(" "))).otherwise("")
-    name = F.initcap(F.when(full.contains(" "), F.concat(first, F.lit(" "), more, own)).otherwise(F.concat(F.when(attempt > 0, more).otherwise(""), own)))
+    more = F.when(attempt > 0, F.concat(more, F.lit(" "))).otherwise("")
+    name = F.initcap(F.when(full.contains(" "), F.concat(first, F.lit(" "), more, own)).otherwise(F.concat(more, own)))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(name)
 
 
