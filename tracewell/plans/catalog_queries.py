@@ -159,7 +159,17 @@ def orphan_datasets(spark, d):
 
 @query("SELECT page_id id, url FROM pages WHERE regexp_extract(url, '[^/]+$') NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) AND page_id % 5 <> 0")
 def unregistered_files(spark, d):
-    disk = catalog.read(spark, d, "pages").where("page_id % 5 <> 0").withColumn("name", F.regexp_extract("url", "[^/]+$", 0))
+    return _unregistered(spark, d, catalog.read(spark, d, "pages").where("page_id % 5 <> 0"))
+
+
+@query(None)
+def unregistered_files_all(spark, d):
+    """unregistered_files of all pages."""
+    return _unregistered(spark, d, catalog.read(spark, d, "pages"))
+
+
+def _unregistered(spark, d, pages):
+    disk = pages.withColumn("name", F.regexp_extract("url", "[^/]+$", 0))
     known = catalog.files(spark, d).select(F.col("id").cast("string").alias("name"))
     return disk.join(known, "name", "left_anti").select(F.col("page_id").alias("id"), "url")
 

@@ -123,6 +123,13 @@ def kmer_best_match(spark, d):
     return sequences.best_match(reads.where("id % 20 = 0"), reads.where("id % 31 = 0"))
 
 
+@query(None)
+def kmer_best_match_all(spark, d):
+    """kmer_best_match over all references."""
+    reads = _reads(spark, d).select("id", "seq")
+    return sequences.best_match(reads.where("id % 20 = 0"), reads)
+
+
 SHORT = "substr(translate(md5(text), '0123456789abcdef', '--GT--GTA-GT--GT'), 1, 4)"
 
 
@@ -185,7 +192,17 @@ def coverage_score(spark, d):
 @query("""WITH c AS (SELECT p_retailprice x, min(p_partkey) y FROM part GROUP BY 1), p AS (SELECT event_id id, round(value * 12, 2) v FROM events WHERE event_id % 4 = 0)
     SELECT id, CASE WHEN v BETWEEN 800 AND 1200 THEN (SELECT arg_min(CAST(y AS DOUBLE), (abs(x - v), x)) FROM c) END y FROM p""")
 def nearest_value(spark, d):
-    points = catalog.read(spark, d, "events").where("event_id % 4 = 0").select(F.col("event_id").alias("id"), F.round(F.col("value") * 12, 2).alias("v"))
+    return _nearest(spark, d, catalog.read(spark, d, "events").where("event_id % 4 = 0"))
+
+
+@query(None)
+def nearest_value_all(spark, d):
+    """nearest_value of all events."""
+    return _nearest(spark, d, catalog.read(spark, d, "events"))
+
+
+def _nearest(spark, d, events):
+    points = events.select(F.col("event_id").alias("id"), F.round(F.col("value") * 12, 2).alias("v"))
     curve = _parts(spark, d).select(F.col("p_retailprice").alias("x"), F.col("p_partkey").cast("double").alias("y"))
     return sequences.nearest(points, curve, "v", 800.0, 1200.0, 0.5).select("id", "y")
 

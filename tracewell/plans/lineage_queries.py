@@ -77,6 +77,14 @@ def missing_file_report(spark, d):
     return catalog.files(spark, d).where("id % 7 = 0").groupBy("description").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
+@query(None)
+def missing_file_report_all(spark, d):
+    """Files that no page is stored as, by description."""
+    stored = catalog.read(spark, d, "pages").select(F.regexp_extract("url", "[^/]+$", 0).alias("name"))
+    gone = catalog.files(spark, d).withColumn("name", F.col("id").cast("string")).join(stored, "name", "left_anti")
+    return gone.groupBy("description").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 @query("""SELECT status, count(*) n FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'purged' WHEN doc_id % 10 = 1 THEN 'missing' WHEN n_chars > 5000 THEN 'skipped'
     WHEN md5(text) <> md5(CASE WHEN doc_id % 10 = 2 THEN text || 'x' ELSE text END) THEN 'failed' ELSE 'passed' END status FROM documents) GROUP BY status""")
 def integrity_audit(spark, d):
