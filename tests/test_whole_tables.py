@@ -7,10 +7,12 @@ from itertools import groupby
 from tracewell import catalog, plans
 
 SF = "/root/testdata/sf0.001"
+#: Has runs beyond 2000.
+LARGER = "/root/testdata/sf0.01"
 
 
-def rows(spark, name):
-    return [tuple(r) for r in plans.QUERIES[name](spark, SF).collect()]
+def rows(spark, name, folder=SF):
+    return [tuple(r) for r in plans.QUERIES[name](spark, folder).collect()]
 
 
 def test_kmer_best_match_all(spark):
@@ -43,3 +45,41 @@ def test_files_against_pages(spark):
     gone = sorted((d, i) for i, d in files if str(i) not in stored)
     want = [(d, len(ids := [i for _, i in g]), ids[0], ids[-1]) for d, g in groupby(gone, key=lambda x: x[0])]
     assert sorted(rows(spark, "missing_file_report_all")) == want
+
+
+def test_removal_closure_all(spark):
+    onward = defaultdict(set)
+    for run, dataset, kind in catalog.edges(spark, SF).select("run", "dataset", "kind").collect():
+        a, b = ("run", run), ("dataset", dataset)
+        onward[a if kind == "O" else b].add(b if kind == "O" else a)
+    todo = [("run", r.id) for r in catalog.runs(spark, SF).where("owner = 1").collect()]
+    want = set(todo)
+    while todo:
+        new = onward[todo.pop()] - want
+        want |= new
+        todo += new
+    got = rows(spark, "removal_closure_all")
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rerun_resolution_all(spark):
+    outputs, next_of = defaultdict(list), defaultdict(list)
+    for run, position, dataset in catalog.edges(spark, LARGER).where("kind = 'O'").select("run", "position", "dataset").collect():
+        outputs[run, position].append(dataset)
+    for r in catalog.runs(spark, LARGER).collect():
+        if r.original is not None and r.original != r.id:
+            next_of[r.original].append(r.id)
+    want = {}
+    for run, position in outputs:
+        if (run + position) % 3:
+            continue
+        at, depth, found = [run], 0, (None, None)
+        while at and found[0] is None:
+            for x in sorted(at):
+                if (x, position) in outputs and (x + position) % 3:
+                    found = (min(outputs[x, position]), depth)
+                    break
+            at, depth = [n for x in at for n in next_of[x]], depth + 1
+        want[run, position] = found
+    got = {(run, position): (dataset, depth) for run, position, dataset, depth in rows(spark, "rerun_resolution_all", LARGER)}
+    assert got == want and max(run for run, _ in got) >= 2000

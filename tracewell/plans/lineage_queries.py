@@ -137,8 +137,19 @@ def rerun_levels(spark, d):
 def removal_closure(spark, d):
     """What must go with a user's runs: their outputs, the runs that used those, and so on."""
     edges = catalog.edges(spark, d)
-    makes = edges.where("kind = 'O' and created < timestamp_ntz'1995-06-01'").select(F.col("run").alias("src"), F.col("dataset").alias("dst"))
-    used = edges.where("kind = 'I' and created < timestamp_ntz'1995-03-01'").select(F.col("dataset").alias("src"), F.col("run").alias("dst"))
+    return _removed(spark, d, edges.where("kind = 'O' and created < timestamp_ntz'1995-06-01'"), edges.where("kind = 'I' and created < timestamp_ntz'1995-03-01'"))
+
+
+@query(None)
+def removal_closure_all(spark, d):
+    """removal_closure over all edges."""
+    edges = catalog.edges(spark, d)
+    return _removed(spark, d, edges.where("kind = 'O'"), edges.where("kind = 'I'"))
+
+
+def _removed(spark, d, outputs, inputs):
+    makes = outputs.select(F.col("run").alias("src"), F.col("dataset").alias("dst"))
+    used = inputs.select(F.col("dataset").alias("src"), F.col("run").alias("dst"))
     start = catalog.runs(spark, d).where("owner = 1").select(F.lit("run").alias("kind"), "id")
     return provenance.closure([("run", "dataset", makes), ("dataset", "run", used)], start)
 
@@ -156,8 +167,18 @@ def redaction_plan(spark, d):
     SELECT w.run, w.position, hits.dataset, hits.depth FROM w LEFT JOIN hits ON hits.run = w.run AND hits.position = w.position AND k = 1""")
 def rerun_resolution(spark, d):
     """Outputs whose data are gone, found in reruns of their runs."""
+    return _resolved(spark, d, "run < 2000")
+
+
+@query(None)
+def rerun_resolution_all(spark, d):
+    """All outputs whose data are gone."""
+    return _resolved(spark, d, "not present")
+
+
+def _resolved(spark, d, which):
     outputs = catalog.edges(spark, d).where("kind = 'O'").withColumn("present", (F.col("run") + F.col("position")) % 3 != 0)
-    wanted = outputs.where("run < 2000").select("run", "position").distinct()
+    wanted = outputs.where(which).select("run", "position").distinct()
     runs = catalog.runs(spark, d).where("original <> id or original is null")
     return provenance.rerun_dataset(runs, outputs, wanted)
 
