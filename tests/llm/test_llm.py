@@ -202,6 +202,21 @@ def test_compression_bands(spark):
     assert {r.doc_id: r.band_failed for r in quality.measure(df).collect()} == {1: False, 2: True, 3: True}
 
 
+def test_noise_leaves_the_bands():
+    random.seed(5)
+    import zstandard
+
+    press, limits = zstandard.ZstdCompressor(level=3), quality.Bands()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {letters + letters.upper() + "0123456789+/": 300, letters: 1600, "0123456789abcdef": 4200}
+    for symbols, least in kinds.items():
+        for n in (n for n in (300, 450, 600, 900, 1600, 3900, 4200, 12000, 30000) if n >= least):
+            raw = " ".join("".join(random.choices(symbols, k=max(8, min(60, n // 25)))) for _ in range(n))[:n].encode()
+            assert quality.ratios(raw, limits, press)[0] > limits.limits(n)[1], (symbols, n)
+    prose = [r.encode() for r in __import__("pyarrow.parquet").parquet.read_table(f"{SF}/documents.parquet")["text"].to_pylist() if r]
+    assert all(quality.ratios(t, limits, press)[0] <= limits.limits(len(t))[1] for t in prose if len(t) >= 256)
+
+
 # 5 language model
 
 
