@@ -78,3 +78,72 @@ def cutoff_label(cutoff: Column) -> Column:
 def longest_match(cigar: Column) -> Column:
     """The longest M run of a CIGAR text; null without one."""
     return F.array_max(F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)M"), F.lit(1)), lambda n: n.cast("int")))
+
+
+def format_bytes(size: Column) -> Column:
+    """A size for people: 1 byte, 12 bytes, 1.5 KB, 20.0 MB."""
+    out = F.when(size < 1024, F.concat(size.cast("string"), F.when(size == 1, " byte").otherwise(" bytes")))
+    for k, unit in enumerate(UNITS, 1):
+        small = F.concat(F.format_string("%.1f", size / float(1024**k)), F.lit(f" {unit}B"))
+        out = out.otherwise(small) if unit == UNITS[-1] else out.when(size < 1024 ** (k + 1), small)
+    return out
+
+
+def pluralized(n: Column, one: str = "", many: str = "s") -> Column:
+    return F.when(n == 1, one).otherwise(many)
+
+
+def natural_time(then: Column, now: Column) -> Column:
+    """How long ago, in the largest unit that fits: 3 hours ago."""
+    seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
+    out = F.when(seconds < 1, "now")
+    for unit, span, least in (("second", 1, 60), ("minute", 60, 3600), ("hour", 3600, 86400), ("day", 86400, 7 * 86400), ("week", 7 * 86400, 2**62)):
+        n = F.floor(seconds / span)
+        out = out.when(seconds < least, F.concat(n.cast("string"), F.lit(f" {unit}"), pluralized(n), F.lit(" ago")))
+    return out
+
+
+def unique_file(name: Column, id_: Column) -> Column:
+    """The name with the id before its last extension: `a.tar.gz` is `a.tar_7.gz`."""
+    extension = F.regexp_extract(name, r"[^.](\.[^./]*)$", 1)
+    return F.concat(F.substring(name, F.lit(1), F.length(name) - F.length(extension)), F.lit("_"), id_.cast("string"), extension)
+
+
+def directory_file(path: Column, run: Column, joined: str = "__") -> Column:
+    """Name of an output below a directory: its folders joined, the run's number before all extensions."""
+    folders = F.replace(F.regexp_extract(path, "^(.*)/[^/]*$", 1), F.lit("/"), F.lit(joined))
+    name = base_name(path)
+    stem = F.regexp_extract(name, r"^(\.?[^.]*)", 1)
+    return F.concat(folders, F.lit(joined), stem, F.lit("_"), run.cast("string"), F.substring(name, F.length(stem) + 1, F.length(name)))
+
+
+def expanded(text: Column, pattern: str, template: str) -> Column:
+    """The template with $1, $2, ... replaced by what the pattern caught; null where it doesn't match."""
+    return F.when(text.rlike(pattern), F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, template))
+
+
+def months_before(day: Column, n: int) -> Column:
+    """The same day n months ago, or the last one of a shorter month."""
+    return F.add_months(day, -n)
+
+
+def ended_before(end: Column, limit: Column) -> Column:
+    """ISO times compared as texts: `Unknown` comes after all digits, so what still runs has not ended."""
+    return end.cast("string") < limit.cast("string")
+
+
+def preview(text: Column, size: Column, most: int = 1000) -> Column:
+    """The start of a log, and how much is left; what has no size was purged."""
+    rest = F.concat(F.lit("[...download to see the remaining "), (size - most).cast("string"), F.lit(" characters.]"))
+    return F.when(size.isNull(), "[purged]").when(size > most, F.concat(F.substring(text, 1, most), rest)).otherwise(text)
+
+
+def argument_type(kind: Column, position: Column, several: Column) -> Column:
+    """The class of an argument (kind I or O, place if it has a fixed one, several values); null for the others."""
+    fixed = F.when(several, F.when(kind == "O", "fixed_directory_output")).otherwise(F.when(kind == "I", "fixed_input").when(kind == "O", "fixed_output"))
+    return F.when(position.isNotNull(), fixed).when(kind == "I", F.when(several, "optional_multiple_input").otherwise("optional_input"))
+
+
+def formatted_argument(name: Column, keyword: Column, kind: Column) -> Column:
+    """The text of an argument, as argument() reads it."""
+    return F.concat(F.when(keyword, "--").otherwise(""), name, kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,21 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
 def intersect(choices: DataFrame, allowed: DataFrame, who: str, everyone: bool) -> DataFrame:
     """Choices that an object's permissions include; all of them where everyone is included."""
     return choices if everyone else choices.join(allowed, who, "left_semi")
+
+
+def may(method: Column, admin: Column, visible: Column, owner: Column) -> Column:
+    """Whether a request on a run is allowed: administrators may all, others read what they see and stop their own."""
+    return admin | (visible & F.when(method == "PATCH", owner).otherwise(method.isin("GET", "HEAD", "OPTIONS")))
+
+
+def administered(objects: DataFrame, *, asked: bool, admin: bool) -> DataFrame:
+    """All objects, for administrators who ask for that; others who ask get an error."""
+    if asked and not admin:
+        raise PermissionError("only administrators see everything")
+    return objects
+
+
+def granted(permissions: Column) -> Column:
+    """Users and groups of the JSON text [[users], [groups]]."""
+    lists = F.from_json(permissions, "array<array<string>>")
+    return F.struct(F.get(lists, F.lit(0)).alias("users"), F.get(lists, F.lit(1)).alias("groups"))

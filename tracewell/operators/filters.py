@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Predicate = Callable[[str], Column]
+#: A filter that needs another table.
+Relation = Callable[[str], Callable[[DataFrame], DataFrame]]
 
 
 def contains(*columns: str) -> Predicate:
@@ -50,20 +52,47 @@ def active(end: str, as_of: Column, minutes: int = 5) -> Predicate:
     return lambda v: F.col(end).isNull() | (F.col(end) >= as_of - F.expr(f"interval {minutes} minutes"))
 
 
+def using(edges: DataFrame) -> Relation:
+    """The run used the dataset of that id as an input (edges: run, dataset, kind)."""
+
+    def make(v: str) -> Callable[[DataFrame], DataFrame]:
+        found = edges.where((F.col("kind") == "I") & (F.col("dataset") == F.lit(v).try_cast("long"))).select(F.col("run").alias("id"))
+        return lambda df: df.join(found, "id", "left_semi")
+
+    return make
+
+
+NAMED: Mapping[str, Predicate] = {"smart": contains("name", "description"), "name": contains("name"), "description": contains("description")}
+FAMILY_FILTERS: Mapping[str, Predicate] = {**NAMED, "smart": contains("name", "git", "description"), "git": contains("git"), "user": contains("owner_name")}
+CHOICE_FILTERS: Mapping[str, Predicate] = {"smart": contains("name", "description"), "family": contains("name"), "family_desc": contains("description")}
+CONTAINER_FILTERS: Mapping[str, Predicate] = {
+    "family_id": equals("family_id"),
+    "smart": contains("tag", "description"),
+    "tag": contains("tag"),
+    "description": contains("description"),
+    "user": contains("owner_name"),
+}
+APP_FILTERS: Mapping[str, Predicate] = {**NAMED, "container_id": equals("container_id")}
+ARGUMENT_FILTERS: Mapping[str, Predicate] = {"app_id": equals("app_id"), "name": contains("name")}
+BATCH_FILTERS: Mapping[str, Predicate] = NAMED
+DIRECTORY_FILTERS: Mapping[str, Predicate] = {"smart": contains("name", "path"), "name": contains("name"), "path": contains("path")}
 RUN_FILTERS: Mapping[str, Predicate] = {
-    "smart": contains("name", "priority"),
-    "name": contains("name"),
-    "description": contains("priority"),
+    **NAMED,
     "user": contains("owner_name"),
+    "batch": contains("batch_name"),
+    "batchdesc": contains("batch_description"),
     "states": any_state("state"),
     "startafter": bound("submitted", "after", False),
     "startbefore": bound("submitted", "before", False),
+    "endafter": bound("ended", "after", False),
+    "endbefore": bound("ended", "before", False),
     "owner_id": equals("owner"),
+    "app_id": equals("app_id"),
+    "batch_id": equals("batch_id"),
 }
 DATASET_FILTERS: Mapping[str, Predicate] = {
-    "smart": contains("name", "description"),
-    "name": contains("name"),
-    "description": contains("description"),
+    **NAMED,
+    "user": contains("owner_name"),
     "uploaded": lambda v: F.col("uploaded"),
     "md5": lambda v: F.col("md5") == v,
     "createdafter": bound("created", "after", True),
@@ -71,6 +100,28 @@ DATASET_FILTERS: Mapping[str, Predicate] = {
 }
 
 
+def run_filters(edges: DataFrame, now: Column | None = None) -> Mapping[str, Predicate | Relation]:
+    """RUN_FILTERS with those that need the runs' inputs and the time."""
+    return {**RUN_FILTERS, "input_id": using(edges), "active": active("ended", F.current_timestamp() if now is None else now)}
+
+
+def date_presets(now: Column) -> dict[str, Column]:
+    """The starts of the usual spans up to `now`, by name."""
+    day = F.date_trunc("day", now)
+    back = {"last_30_minutes": "30 minutes", "last_hour": "1 hour", "last_day": "1 day"}
+    return {
+        **{name: now - F.expr(f"interval {span}") for name, span in back.items()},
+        "last_week": day - F.expr("interval 7 days"),
+        # A month back ends with the shorter month.
+        "month_ago": now - F.expr("interval 1 month"),
+        "year_ago": now - F.expr("interval 1 year"),
+        "today": day,
+        "this_week": F.date_trunc("week", now),
+        "this_month": F.date_trunc("month", now),
+        "this_year": F.date_trunc("year", now),
+    }
+
+
 class FilterSet:
     """An ordered list of filters without repeats, with a text form `key=value&...`."""
 
@@ -108,8 +159,9 @@ def numbered(params: Mapping[str, str]) -> list[tuple[str, str]]:
     return out
 
 
-def apply(df: DataFrame, pairs: Sequence[tuple[str, str]], registry: Mapping[str, Predicate]) -> DataFrame:
+def apply(df: DataFrame, pairs: Sequence[tuple[str, str]], registry: Mapping[str, Predicate | Relation]) -> DataFrame:
     unknown = [k for k, _ in pairs if k not in registry]
     if unknown:
         raise KeyError(f"unknown filter key: {unknown[0]}")
-    return reduce(lambda d, p: d.filter(registry[p[0]](p[1])), pairs, df)
+    made = (registry[k](v) for k, v in pairs)
+    return reduce(lambda d, f: d.filter(f) if isinstance(f, Column) else f(d), made, df)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import checkpointed
+from tracewell.session import Rounds, checkpointed
 
 
 def fingerprint(items: DataFrame, run: str, order: list[str], digest: str) -> DataFrame:
@@ -29,13 +29,10 @@ def has_changed(runs: DataFrame, prints: DataFrame) -> DataFrame:
 def levels(tree: DataFrame, child: str, parent: str) -> DataFrame:
     """id and level of every node of a forest (level 0: no parent)."""
     nodes = tree.select(F.col(child).alias("id"), F.col(parent).alias("up"))
-    found = checkpointed(nodes.where("up is null").select("id", F.lit(0).alias("level")))
-    frontier, level = found, 0
-    while frontier.limit(1).count():
-        level += 1
-        frontier = checkpointed(nodes.join(frontier.select(F.col("id").alias("up")), "up", "left_semi").select("id", F.lit(level).alias("level")))
-        found = found.unionByName(frontier)
-    return found
+    found = Rounds(nodes.where("up is null").select("id", F.lit(0).alias("level")))
+    while not found.last.isEmpty():
+        found.add(nodes.join(found.last.select(F.col("id").alias("up")), "up", "left_semi").select("id", F.lit(found.n).alias("level")))
+    return found.all()
 
 
 def closure(hops: list[tuple[str, str, DataFrame]], start: DataFrame) -> DataFrame:
@@ -44,17 +41,45 @@ def closure(hops: list[tuple[str, str, DataFrame]], start: DataFrame) -> DataFra
     hops: (from kind, to kind, table of src and dst).  Pure set semantics: what was visited is
     not visited again, so shared parts and cycles end.
     """
-    seen = checkpointed(start.select("kind", F.col("id").cast("long").alias("id")).distinct())
-    frontier = seen
-    while frontier.limit(1).count():
+    seen = Rounds(start.select("kind", F.col("id").cast("long").alias("id")).distinct())
+    while not seen.last.isEmpty():
         step = None
         for src, dst, table in hops:
-            at = frontier.where(F.col("kind") == src).select(F.col("id").alias("src"))
+            at = seen.last.where(F.col("kind") == src).select(F.col("id").alias("src"))
             reached = table.join(at, "src", "left_semi").select(F.lit(dst).alias("kind"), F.col("dst").cast("long").alias("id"))
             step = reached if step is None else step.unionByName(reached)
-        frontier = checkpointed(step.distinct().join(seen, ["kind", "id"], "left_anti"))
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen
+        seen.add(step.distinct().join(seen.all(), ["kind", "id"], "left_anti"))
+    return seen.all()
+
+
+#: The order in which classes are deleted, so that nothing points to what is gone.
+DELETION_ORDER = ("datasets", "batches", "runs", "apps", "containers", "families")
+
+
+def removal_plan(tables: dict[str, DataFrame], start: DataFrame, external: DataFrame | None = None, active: DataFrame | None = None) -> DataFrame:
+    """kind, id and step (the place of its class in the deletion) of what must go with the start rows.
+
+    tables may have: containers (id, family, parent), apps (id, container), runs (id, app, batch),
+    edges (run, dataset, kind).  Outputs of a removed run go unless they are `external` (id); runs
+    that used a removed dataset go too.  A run that is still active (id) makes the plan an error.
+    """
+    hops = []
+    if (c := tables.get("containers")) is not None:
+        hops += [("families", "containers", c.select(F.col("family").alias("src"), F.col("id").alias("dst"))), ("containers", "containers", c.where("parent is not null").select(F.col("parent").alias("src"), F.col("id").alias("dst")))]
+    if (a := tables.get("apps")) is not None:
+        hops.append(("containers", "apps", a.select(F.col("container").alias("src"), F.col("id").alias("dst"))))
+    if (r := tables.get("runs")) is not None:
+        hops += [("apps", "runs", r.select(F.col("app").alias("src"), F.col("id").alias("dst"))), ("batches", "runs", r.where("batch is not null").select(F.col("batch").alias("src"), F.col("id").alias("dst")))]
+    if (e := tables.get("edges")) is not None:
+        made = e.where("kind = 'O'").select(F.col("run").alias("src"), F.col("dataset").alias("dst"))
+        if external is not None:
+            made = made.join(external.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+        hops += [("runs", "datasets", made), ("datasets", "runs", e.where("kind = 'I'").select(F.col("dataset").alias("src"), F.col("run").alias("dst")))]
+    found = closure(hops, start)
+    if active is not None and not (busy := found.where("kind = 'runs'").join(active.select("id"), "id", "left_semi")).isEmpty():
+        raise ValueError(f"run {busy.agg(F.min('id')).first()[0]} is still active")
+    step = F.array_position(F.array(*map(F.lit, DELETION_ORDER)), F.col("kind")).cast("int")
+    return found.withColumn("step", step)
 
 
 def redaction(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -67,40 +92,61 @@ def redaction(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def rerun_dataset(runs: DataFrame, outputs: DataFrame, wanted: DataFrame) -> DataFrame:
     """For wanted outputs (run, position): the dataset if present, else that of the nearest rerun that
-    has it (least id among equally near), else null; `depth` is the number of reruns between."""
+    has it (least id among equally near), else null; `depth` is the number of reruns between.
+
+    A run that was looked at for an output isn't looked at again, so reruns in a circle end.
+    """
     there = checkpointed(outputs.where("present").groupBy("run", "position").agg(F.min("dataset").alias("dataset")))
     reruns = runs.where("original is not null").select(F.col("id").alias("next"), F.col("original").alias("at"))
-    frontier = wanted.select("run", "position", F.col("run").alias("at"), F.lit(0).alias("depth"))
-    found = None
-    while True:
-        met = checkpointed(frontier.join(there.withColumnRenamed("run", "at"), ["at", "position"], "left"))
-        hit = met.where("dataset is not null").groupBy("run", "position").agg(F.min_by("dataset", F.struct("depth", "at")).alias("dataset"), F.min("depth").alias("depth"))
-        found = hit if found is None else found.unionByName(hit)
-        rest = met.where("dataset is null").join(hit, ["run", "position"], "left_anti").join(reruns, "at").select("run", "position", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth"))
-        frontier = checkpointed(rest)
-        if not frontier.limit(1).count():
-            break
+    at = ["at", "position"]
+
+    def met(frontier: DataFrame) -> DataFrame:
+        return frontier.join(there.withColumnRenamed("run", "at"), at, "left").select("run", "position", "at", "depth", "dataset")
+
+    seen = Rounds(met(wanted.select("run", "position", F.col("run").alias("at"), F.lit(0).alias("depth"))))
+    while not seen.last.isEmpty():
+        hit = seen.last.where("dataset is not null").select("run", "position")
+        rest = seen.last.where("dataset is null").join(hit, ["run", "position"], "left_anti").join(reruns, "at")
+        step = rest.select("run", "position", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth")).distinct()
+        seen.add(met(step.join(seen.all().select("run", "position", "at"), ["run", "position", "at"], "left_anti")))
+    found = seen.all().where("dataset is not null").groupBy("run", "position").agg(F.min_by("dataset", F.struct("depth", "at")).alias("dataset"), F.min("depth").alias("depth"))
     return wanted.select("run", "position").join(found, ["run", "position"], "left")
 
 
+def rerun_inputs(reruns: DataFrame, slots: DataFrame, filled: DataFrame, originals: DataFrame, made: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Inputs that reruns copy from their originals, and the runs that must be run again before.
+
+    reruns: id, original, app; slots: app, slot (inputs that an application takes); filled: run,
+    slot; originals: run, slot, dataset, present (of the originals' inputs); made: dataset, run, position,
+    present (the output that a dataset was); runs: id, original.  Returns (run, slot, dataset) and (run, source).
+    """
+    open_ = reruns.join(slots, "app").select(F.col("id").alias("run"), "original", "slot").join(filled.select("run", "slot"), ["run", "slot"], "left_anti")
+    old = originals.withColumnRenamed("run", "original")
+    wanted = checkpointed(open_.join(old, ["original", "slot"]))
+    kept = wanted.where("present").select("run", "slot", "dataset")
+    gone = wanted.where("not present").select("run", "slot", "dataset").join(made.select("dataset", F.col("run").alias("source"), "position"), "dataset")
+    again = rerun_dataset(runs, made, gone.select(F.col("source").alias("run"), "position").distinct()).select(F.col("run").alias("source"), "position", F.col("dataset").alias("new"))
+    found = checkpointed(gone.join(again, ["source", "position"], "left"))
+    copied = kept.unionByName(found.where("new is not null").select("run", "slot", F.col("new").alias("dataset")))
+    return copied, found.where("new is null").select("run", "source").distinct()
+
+
 def phases(steps: DataFrame, wires: DataFrame, most: int = 200) -> DataFrame:
     """pipeline, step and phase: 0 without inputs from other steps, else one after the latest source.
 
-    steps: pipeline, step; wires: pipeline, step, source.  Steps on a cycle, and those behind
-    one, have no phase (null).
+    steps: pipeline, step; wires: pipeline, step, source.  The phase is the length of the longest path
+    that ends at the step: round k holds the steps that end a path of k wires, and only these go
+    on.  Paths longer than `most` (a circle makes them, and all that is behind it) give no phase (null).
     """
-    left = checkpointed(steps.select("pipeline", "step"))
-    done, phase = None, 0
-    while phase <= most:
-        waiting = wires.join(left.withColumnRenamed("step", "source"), ["pipeline", "source"], "left_semi").select("pipeline", "step")
-        ready = checkpointed(left.join(waiting, ["pipeline", "step"], "left_anti").withColumn("phase", F.lit(phase)))
-        if not ready.limit(1).count():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        left = checkpointed(left.join(ready, ["pipeline", "step"], "left_anti"))
-        phase += 1
-    rest = left.withColumn("phase", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+    own = steps.select("pipeline", "step").distinct()
+    inside = wires.select("pipeline", "step", "source").distinct().join(own.withColumnRenamed("step", "source"), ["pipeline", "source"], "left_semi").join(own, ["pipeline", "step"], "left_semi")
+    inside = checkpointed(inside.select("pipeline", "step", "source"))
+    found = Rounds(own.withColumn("phase", F.lit(0)))
+    while found.n <= most + 1 and not found.last.isEmpty():
+        at = found.last.select("pipeline", F.col("step").alias("source"))
+        found.add(inside.join(at, ["pipeline", "source"], "left_semi").select("pipeline", "step").distinct().withColumn("phase", F.lit(found.n)))
+    longest = found.all().groupBy("pipeline", "step").agg(F.max("phase").alias("phase"))
+    return longest.withColumn("phase", F.when(F.col("phase") <= most, F.col("phase")))
 
 
 def completeness(pipelines: DataFrame) -> DataFrame:
@@ -108,3 +154,9 @@ def completeness(pipelines: DataFrame) -> DataFrame:
     empty = (F.col("n_inputs") == 0) & (F.col("n_steps") == 0) & (F.col("n_outputs") == 0)
     whole = (F.col("n_inputs") > 0) & (F.col("n_steps") > 0) & (F.col("n_outputs") > 0) & (F.col("n_unfed") == 0) & (F.col("n_dangling") == 0)
     return pipelines.select("pipeline", F.when(empty, "empty").when(whole, "valid").otherwise("incomplete").alias("status"))
+
+
+def undriven(steps: DataFrame, members: DataFrame) -> DataFrame:
+    """Steps (pipeline, step, driver) whose driver is no member (pipeline, name, driver: starts with #!) of the archive."""
+    drivers = members.where("driver").select("pipeline", F.col("name").alias("driver"))
+    return steps.join(drivers, ["pipeline", "driver"], "left_anti")

@@ -10,23 +10,22 @@ from pyspark.sql import functions as F
 from tracewell.session import checkpointed
 
 
-def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str, chunks: int = 64) -> DataFrame:
+def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
     """Add the sum of `value` over all rows before each row in a total order.
 
-    Rows are dealt out by ranges of the order; each range sums within itself, and only one sum
-    for each range is added up in one place.  The ranged rows are a checkpoint: both uses of them must
+    Rows are dealt out by ranges of the order, as many as the session's shuffle setting and their bytes
+    ask for; each range sums within itself, and only one sum for each range is added up in one place.  The ranged rows are a checkpoint: both uses of them must
     see the same ranges.
     """
-    ranged = df.repartitionByRange(chunks, *order).withColumn("__part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
     within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = checkpointed(ranged.withColumn("__local", F.coalesce(F.sum(value).over(within), F.lit(0))))
-    # The end of a range, value included, is the range's sum: taken from the same rows.
-    ends = local.groupBy("__part").agg(F.max(F.col("__local") + F.col(value)).alias("__total"))
+    ends = local.groupBy("__part").agg(F.sum(value).alias("__total"))
     bases = ends.select("__part", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     return local.join(bases, "__part").withColumn(out, F.col("__base") + F.col("__local")).drop("__part", "__local", "__base")
 
 
-def purge_plan(candidates: DataFrame, total: int, start: int, stop: int, chunks: int = 64) -> DataFrame:
+def purge_plan(candidates: DataFrame, total: int, start: int, stop: int) -> DataFrame:
     """The candidates (kind, id, age, size) to delete: oldest first while more than `stop` is left.
 
     Nothing is deleted unless `total`, which also counts what is never a candidate, is over `start`.
@@ -35,7 +34,7 @@ def purge_plan(candidates: DataFrame, total: int, start: int, stop: int, chunks:
     if total <= start:
         return candidates.limit(0)
     order = [F.desc("age"), F.asc("kind"), F.asc("id")]
-    return running_total(candidates, order, "size", "before", chunks).where(F.lit(total) - F.col("before") > stop)
+    return running_total(candidates, order, "size", "before").where(F.lit(total) - F.col("before") > stop)
 
 
 def summary(plan: DataFrame, when: str) -> DataFrame:
@@ -68,3 +67,13 @@ def external_check(files: DataFrame, missing: Column, path: str, checked: str) -
 def folder_size(files: DataFrame, folder: str, size: str, modified: str, newest: Column) -> DataFrame:
     """Bytes below each folder; null where some file is newer than allowed."""
     return files.groupBy(folder).agg(F.when(~F.bool_or(F.col(modified) > newest), F.sum(size)).alias("bytes"))
+
+
+def unsized(rows: DataFrame, file: str, size: str, date: str) -> DataFrame:
+    """Rows with a file and a date whose size isn't known yet."""
+    return rows.where((F.coalesce(file, F.lit("")) != "") & F.col(size).isNull() & F.col(date).isNotNull())
+
+
+def settled(files: DataFrame, modified: str, now: Column, wait: str = "1 hour") -> DataFrame:
+    """Files that have not changed for a while: only those are looked at."""
+    return files.where(F.col(modified) <= now - F.expr(f"interval {wait}"))

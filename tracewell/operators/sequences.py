@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.text import longest_match
+from tracewell.operators.reads import is_unmapped
+from tracewell.session import checkpointed
+
 #: Fixed genetic code: amino acids of codons in the order T, C, A, G of each base.
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 BASES = "TCAG"
@@ -96,32 +100,220 @@ def coverage_scores(positions: DataFrame, counts: DataFrame, keys: list[str], th
     return out.withColumn("on_score", on).withColumn("off_score", F.when(F.col("least") <= a, 0).when(F.col("least") <= b, -1).when(F.col("least") <= c, -2).otherwise(-3))
 
 
-def nearest(points: DataFrame, curve: DataFrame, x: str, low: float, high: float, step: float) -> DataFrame:
+def nearest(points: DataFrame, curve: DataFrame, x: str, low: float, high: float) -> DataFrame:
     """For each point the y of the nearest x on the curve (least x on ties); null outside [low, high].
 
-    Points and curve are cut into cells of `step`; the curve's last x before and first x from each cell
-    on are carried over cells without any (a table as long as the curve has cells), and points
-    then look at their own cell and those two.
+    Points and knots are put into one order by ranges; within a range the last knot before and the first
+    one behind are windows, and only one first and last knot of each range is carried over ranges in one place.
+    """
+    knots = curve.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("at"), F.struct("x", "y").alias("knot"))
+    # Equal points are one row of the order, however many they are.
+    inside = points.where(F.col(x).between(low, high)).select(F.col(x).alias("at")).distinct().select("at", F.lit(None).cast("struct<x:double,y:double>").alias("knot"))
+    ranged = knots.unionByName(inside).repartitionByRange("at").withColumn("part", F.spark_partition_id())
+    rows = checkpointed(ranged)
+    before = Window.partitionBy("part").orderBy("at", F.col("knot").isNull())
+    after = Window.partitionBy("part").orderBy("at", F.col("knot").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    local = rows.withColumns({"left": F.last("knot", ignorenulls=True).over(before), "right": F.first("knot", ignorenulls=True).over(after)}).where("knot is null")
+    ends = rows.groupBy("part").agg(F.min("knot").alias("first"), F.max("knot").alias("last"))
+    back = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    on = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    around = ends.select("part", F.last("last", ignorenulls=True).over(back).alias("before"), F.first("first", ignorenulls=True).over(on).alias("behind"))
+    met = local.join(around, "part").select("at", F.coalesce("left", "before").alias("left"), F.coalesce("right", "behind").alias("right"))
+    options = F.transform(F.filter(F.array("left", "right"), lambda k: k.isNotNull()), lambda k: F.struct(F.abs(k["x"] - F.col("at")).alias("d"), k["x"].alias("x"), k["y"].alias("y")))
+    found = met.select(F.col("at").alias(x), F.array_min(options)["y"].alias("y"))
+    return points.join(found, x, "left")
+
+
+#: Seeds that are met by a broadcast; more of them go by a plain join.
+MOST_SEEDS = 10_000
+
+
+def closest_seed(sequences: DataFrame, seeds: DataFrame, own: str | None = None) -> DataFrame:
+    """Edit distance of each sequence (id, seq) to the nearest seed (seed, seq; least name on ties).
+
+    Every sequence meets every seed, as the distance asks for, but all at once only if the seeds are few (counted
+    first).  With `own` (the column of a sequence's seed) also `kept`: no other seed is closer.
     """
-    cell = lambda c: F.floor((c - low) / step).cast("int")
-    n = int((high - low) / step) + 1
-    spark = points.sparkSession
-    knots = curve.select(F.col("x").alias("cx"), F.col("y").alias("cy")).groupBy("cx").agg(F.min("cy").alias("cy")).withColumn("cell", cell(F.col("cx")))
-    ends = knots.groupBy("cell").agg(F.min(F.struct("cx", "cy")).alias("first"), F.max(F.struct("cx", "cy")).alias("last"))
-    cells = spark.range(n).select(F.col("id").cast("int").alias("cell")).join(ends, "cell", "full")
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
-    around = cells.select("cell", F.last("last", ignorenulls=True).over(before).alias("before"), F.first("first", ignorenulls=True).over(after).alias("after"))
-    own = knots.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("cx", "cy"))).alias("own"))
-    met = points.withColumn("cell", F.when(F.col(x).between(low, high), cell(F.col(x)))).join(around, "cell", "left").join(own, "cell", "left")
-    every = F.concat(F.coalesce("own", F.array().cast("array<struct<cx:double,cy:double>>")), F.array("before", "after"))
-    scored = F.transform(F.filter(every, lambda k: k.isNotNull()), lambda k: F.struct(F.abs(k["cx"] - F.col(x)).alias("d"), k["cx"].alias("cx"), k["cy"].alias("cy")))
-    return met.withColumn("y", F.when(F.col("cell").isNotNull(), F.array_min(scored)["cy"])).drop("cell", "before", "after", "own")
-
-
-def closest_seed(sequences: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Edit distance of each sequence to the nearest seed (least name on ties).  Seeds are a configured
-    list, which is sent to all tasks; sequences (id, seq) stay where they are."""
-    listed = [(r.seed, r.seq) for r in seeds.orderBy("seed").collect()]
-    options = F.array(*[F.struct(F.levenshtein(F.col("seq"), F.lit(s)).alias("distance"), F.lit(n).alias("seed")) for n, s in listed])
-    return sequences.select("id", F.array_min(options).alias("b")).select("id", F.col("b.seed").alias("seed"), F.col("b.distance").alias("distance"))
+    few = seeds.limit(MOST_SEEDS + 1).count() <= MOST_SEEDS
+    listed = seeds.select("seed", F.col("seq").alias("seed_seq"))
+    met = sequences.crossJoin(F.broadcast(listed) if few else listed.repartition("seed"))
+    distance = F.levenshtein("seq", "seed_seq")
+    best = [F.min(F.struct(distance.alias("distance"), F.col("seed"))).alias("b")]
+    if own:
+        best.append(F.min(F.when(F.col("seed") == F.col(own), distance)).alias("own"))
+    out = met.groupBy("id").agg(*best)
+    plain = out.select("id", F.col("b.seed").alias("seed"), F.col("b.distance").alias("distance"), *(["own"] if own else []))
+    return plain.withColumn("kept", F.coalesce(F.col("own") <= F.col("distance"), F.lit(False))).drop("own") if own else plain
+
+
+def reference_counts(reads: DataFrame, rname: str, flag: str, cigar: str, short: int = 50) -> DataFrame:
+    """Per reference all reads, and those that are mapped and match more than `short` letters in one run."""
+    good = ~is_unmapped(F.col(flag)) & (F.coalesce(longest_match(F.col(cigar)), F.lit(0)) > short)
+    return reads.groupBy(rname).agg(F.count("*").alias("count"), F.count_if(good).alias("filtered_count"))
+
+
+def best_references(counts: DataFrame, rname: str, group: str, order: str, least: int = 10, low: tuple[str, ...] = ()) -> DataFrame:
+    """Of each seed group the reference of the highest filtered count, the first of several.
+
+    It must have `least` reads, or one if it is named in `low`; the reference `*` counts for nothing.
+    """
+    enough = F.when(F.col(rname).isin(*low), 1).otherwise(least) if low else F.lit(least)
+    real = counts.where((F.col(rname) != "*") & (F.col("filtered_count") >= enough))
+    best = F.max_by(F.struct(rname, "filtered_count"), F.struct(F.col("filtered_count"), -F.col(order)))
+    return real.groupBy(group).agg(best.alias("b")).select(group, F.col(f"b.{rname}").alias(rname), F.col("b.filtered_count").alias("count"))
+
+
+def token_counts(reads: DataFrame, keys: list[str], seq: str = "seq", inserts: str = "inserts") -> DataFrame:
+    """keys, position (from 1), token and n of merged reads.
+
+    Letters before a read's first one are not counted, nor is `n`; what was inserted after a position
+    (map inserts: position to letters) belongs to its token if its length is a multiple of 3.  N and - are only noted, with
+    counts of -1 and -2, so that any letter comes before them.
+    """
+    start = F.length(F.regexp_extract(seq, "^-*", 0))
+    at = reads.select(*keys, inserts, start.alias("start"), F.posexplode(F.split(seq, "")).alias("i", "letter")).where("letter <> '' and letter <> 'n' and i >= start")
+    position = F.col("i") + 1
+    extra = F.coalesce(F.try_element_at(F.col(inserts), position), F.lit(""))
+    token = F.when(F.col("letter").isin("N", "-"), F.col("letter")).when(F.length(extra) % 3 == 0, F.concat("letter", extra)).otherwise(F.col("letter"))
+    counted = at.select(*keys, position.alias("position"), token.alias("token")).groupBy(*keys, "position", "token").agg(F.count("*").alias("n"))
+    return counted.withColumn("n", F.when(F.col("token") == "N", -1).when(F.col("token") == "-", -2).otherwise(F.col("n")))
+
+
+def assembled(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """The consensus of each reference: at each position the token of the highest count (least on ties), N where
+    none is.
+
+    Gaps wait until a token follows, and then stay only if their number is no multiple of 3; gaps at the end
+    go.  A reference without any letter has no consensus.
+    """
+    top = tokens.groupBy(*keys, "position").agg(F.min_by("token", F.struct(-F.col("n"), F.col("token"))).alias("token"), F.max("n").alias("n"))
+    whole = top.groupBy(*keys).agg(F.max("position").alias("end"), F.max("n").alias("most"), F.map_from_entries(F.collect_list(F.struct("position", "token"))).alias("at")).where("most > 0")
+    each = F.transform(F.sequence(F.lit(1), F.col("end")), lambda i: F.try_element_at(F.col("at"), i))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("gap"))
+
+    def step(s, token):
+        kept = F.when(s["gap"] % 3 != 0, F.concat(s["out"], F.array(F.repeat(F.lit("-"), s["gap"])))).otherwise(s["out"])
+        return (
+            F.when(token.isNull(), F.struct(F.concat(s["out"], F.array(F.lit("N"))).alias("out"), s["gap"].alias("gap")))
+            .when(token == "-", F.struct(s["out"].alias("out"), (s["gap"] + 1).alias("gap")))
+            .otherwise(F.struct(F.concat(kept, F.array(token)).alias("out"), F.lit(0).alias("gap")))
+        )
+
+    return whole.select(*keys, F.aggregate(each, start, step, lambda s: F.array_join(s["out"], "")).alias("sequence"))
+
+
+def nucleotide_variants(reads: DataFrame, keys: list[str], start: int, end: int, reference: int, most: int, seq: str = "seq", offset: str = "offset", count: str = "count") -> DataFrame:
+    """The `most` frequent stretches [start, end) of reads moved by their offsets, with counts and index.
+
+    Without gaps a stretch must be longer than half of the reference's length (rounded down); equally frequent ones
+    come in descending order.
+    """
+    padded = F.concat(F.expr(f"repeat('-', cast({offset} as int))"), F.col(seq))
+    clipped = reads.select(*keys, count, F.substring(padded, start + 1, end - start).alias("variant")).where(F.length(F.replace("variant", F.lit("-"), F.lit(""))) > reference // 2)
+    sums = clipped.groupBy(*keys, "variant").agg(F.sum(count).alias("n"))
+    index = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc("variant"))) - 1
+    return sums.withColumn("index", index).where(F.col("index") < most)
+
+
+def inserted(ranges: DataFrame, reads: DataFrame, keys: list[str], frame: int = 0, seq: str = "seq", count: str = "count") -> DataFrame:
+    """Amino acids that reads have in each range [left, right) of codons, with counts: keys, left (from 1), insert, n.
+
+    Stretches with gaps or unknown bases don't count.
+    """
+    met = reads.select(*keys, count, F.concat(F.lit("-" * frame), F.col(seq)).alias("framed")).join(ranges.select(*keys, "left", "right"), keys)
+    part = F.expr("substring(framed, cast(left * 3 + 1 as int), cast((right - left) * 3 as int))")
+    valid = met.withColumn("part", part).where("length(part) >= 3 and part not like '%n%' and part not like '%-%'")
+    amino = F.array_join(F.transform(F.sequence(F.lit(0), (F.floor(F.length("part") / 3) - 1).cast("int")), lambda i: codon_amino(F.substring(F.col("part"), i * 3 + 1, F.lit(3)))), "")
+    return valid.groupBy(*keys, (F.col("left") + 1).alias("left"), amino.alias("insert")).agg(F.sum(count).alias("n"))
+
+
+#: The letters of AMINO in the order of a report's columns.
+AMINO_COLUMNS = tuple(sorted(set(AMINO), key=lambda a: (a == "*", a)))
+
+
+def amino_table(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of amino acids by frame and position with one column for each of the 21 letters (`*` is `stop`)."""
+    letter = F.when(F.col("amino") == "*", "stop").otherwise(F.col("amino"))
+    columns = [a.replace("*", "stop") for a in AMINO_COLUMNS]
+    return counts.withColumn("amino", letter).groupBy(*keys, "frame", "position").pivot("amino", columns).agg(F.sum("n")).na.fill(0, columns)
+
+
+def aligned_map(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """key, b_index and a_index of two aligned texts (gaps are -): for each letter of b, counted from 0, the last
+    letter of a that stands at it or in a gap before it."""
+    each = rows.select(key, F.posexplode(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))).alias("i", "c")).where("c.x <> '' and c.y <> ''")
+    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda c: F.coalesce(F.count_if(F.col(c) != "-").over(before), F.lit(0))
+    numbered = each.select(key, "i", F.col("c.x").alias("x"), F.col("c.y").alias("y")).select(key, "x", seen("x").alias("a_index"), seen("y").alias("b_index"))
+    return numbered.where("x <> '-'").groupBy(key, "b_index").agg(F.max("a_index").alias("a_index"))
+
+
+#: Letters whose complement is another one; W and S change places, as programs that read these tables have it.
+COMPLEMENTS = ("ACGTWRKYSMBDHV*N-", "TGCASYMRWKVHDB*N-")
+
+
+def reverse_complement_iupac(sequence: Column) -> Column:
+    return F.reverse(F.translate(sequence, *COMPLEMENTS))
+
+
+def codon_options(codon: Column) -> Column:
+    """All amino acids that a codon with mixtures may stand for, in order; `-` alone for a whole gap."""
+    letters = {**{b: b for b in "ACGT"}, **{m: bases for bases, m in MIXTURES.items()}, "-": "ACGT"}
+    bases = F.create_map(*[F.lit(x) for letter, b in letters.items() for x in (letter, b)])
+    options = [F.split(F.coalesce(F.try_element_at(bases, F.substring(codon, i, 1)), F.lit("?")), "") for i in (1, 2, 3)]
+    real = [F.filter(o, lambda c: c != "") for o in options]
+    codons = F.flatten(F.transform(real[0], lambda x: F.flatten(F.transform(real[1], lambda y: F.transform(real[2], lambda z: F.concat(x, y, z))))))
+    return F.when(codon == "---", F.array(F.lit("-"))).otherwise(F.array_sort(F.array_distinct(F.transform(codons, codon_amino))))
+
+
+def translated(sequence: Column, ambiguous: str = "?") -> Column:
+    """Amino acids of a sequence; a mixture counts where all it may stand for is one amino acid."""
+    n = F.floor(F.length(sequence) / 3).cast("int")
+    one = lambda i: F.element_at(F.transform(F.array(codon_options(F.substring(sequence, i * 3 + 1, F.lit(3)))), lambda o: F.when(F.size(o) == 1, o[0]).otherwise(F.lit(ambiguous))), 1)
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), one), "")).otherwise("")
+
+
+def without_gaps_in_frame(sequence: Column) -> Column:
+    """Gaps of whole codons between two letters go."""
+    return F.regexp_replace(sequence, "([A-Z])(---)+([A-Z])", "$1$3")
+
+
+def loop_error(sequence: Column, protein: Column, ambiguous: Column, most_aminos: Column) -> Column:
+    """Why a read of the V3 loop can't be scored, by the first rule that fails; null if it can."""
+    n, length = F.length(sequence), F.length(F.replace(protein, F.lit("-"), F.lit("")))
+    return (
+        F.when(F.length(F.regexp_replace(F.upper(sequence), "[^N]", "")) > 0.5 * n, "low quality")
+        .when(n % 3 != 0, "notdiv3")
+        .when(n == 0, "zerolength")
+        .when(~protein.startswith("C") | ~protein.endswith("C"), "cysteines")
+        .when((ambiguous > 1) | (most_aminos > 2), "> 2 ambiguous")
+        .when(protein.contains("*"), "stop codons")
+        .when((length < 32) | (length > 40), "length")
+    )
+
+
+def logistic_score(options: Column, matrix: Column, rho: float = 1.33153, a: float = -2.31191, b: float = 0.244784) -> Column:
+    """The mean logistic score over all sequences that an array of arrays of amino acids may stand for.
+
+    matrix: map from `<position>:<amino>` (position from 0) to its score; a missing one counts 0.
+    """
+    start = F.array(F.lit(0.0))
+    indexed = F.transform(options, lambda o, i: F.struct(o.alias("o"), i.alias("i")))
+
+    def step(sums, at):
+        score = lambda aa: F.coalesce(F.try_element_at(matrix, F.concat(at["i"].cast("string"), F.lit(":"), aa)), F.lit(0.0))
+        return F.flatten(F.transform(at["o"], lambda aa: F.transform(sums, lambda x: x + score(aa))))
+
+    sums = F.aggregate(indexed, start, step)
+    each = F.transform(sums, lambda s: 1 / (1 + F.exp((F.lit(rho) - s) * a + b - 0.5)))
+    return F.aggregate(each, F.lit(0.0), lambda x, y: x + y) / F.size(each)
+
+
+def adjacent_runs(rows: DataFrame, keys: list[str], order: str, within: list[str] | None = None) -> DataFrame:
+    """rows with `run`: a number that grows where a key differs from that of the row before (only neighbours
+    are one group; of each value of `within`, such as a file, on its own)."""
+    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(order)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.lag(k).over(w)) & F.lag(F.lit(1)).over(w).isNotNull()
+    return rows.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("__new").over(w)).drop("__new")

@@ -24,6 +24,22 @@ def bigger_as_text(total: Column, product: Column) -> Column:
     return F.when(product.cast("string") < total.cast("string"), "sum").otherwise("product")
 
 
+def swapped(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b) becomes (2 b, a)."""
+    return df.select((F.col(b) * 2).alias("first"), F.col(a).alias("second"))
+
+
+def reversed_and_swapped(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.reverse(b).alias("first"), F.reverse(a).alias("second"))
+
+
+def salutation(text: Column, hello: tuple[str, ...] = ("hello", "hi"), goodbye: tuple[str, ...] = ("goodbye", "bye")) -> tuple[Column, Column]:
+    """A greeting in any case as hello or goodbye (none for others), and its opposite."""
+    low = F.lower(text)
+    is_hello, is_bye = low.isin(*hello), low.isin(*goodbye)
+    return F.when(is_hello, "hello").when(is_bye, "goodbye").otherwise("none"), F.when(is_hello, "goodbye").when(is_bye, "hello").otherwise("none")
+
+
 def complement(sequence: Column) -> Column:
     return F.translate(sequence, "ATCGatcg", "TAGCtagc")
 

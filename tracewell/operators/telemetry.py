@@ -26,6 +26,13 @@ def weekly(rows: DataFrame, ts: str, least: int, days: int = 7) -> DataFrame:
     return rows.crossJoin(F.broadcast(first)).groupBy(week.alias("week")).agg(F.count("*").alias("n")).where(F.col("n") > least)
 
 
+def by_node_and_week(rows: DataFrame, node: str, ts: str, value: str, days: int = 7) -> DataFrame:
+    """Number, least and greatest value by node and bucket of days from the first row on."""
+    first = rows.agg(F.min(ts).alias("__first"))
+    week = F.floor((F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.col("__first").cast("timestamp"))) / (days * 86400))
+    return rows.crossJoin(F.broadcast(first)).groupBy(F.col(node).alias("node"), week.alias("week")).agg(F.count("*").alias("n"), F.min(value).alias("fastest"), F.max(value).alias("slowest"))
+
+
 def slowest(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 
@@ -48,3 +55,30 @@ def job_state(end: Column, now: Column, warn: int = 60, fail: int = 900) -> Colu
 
 def latest(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def over_share(rows: DataFrame, value: str, share: float = 0.01) -> DataFrame:
+    """Rows whose value is over a share of the sum of all."""
+    total = rows.agg(F.sum(value).alias("__total"))
+    return rows.crossJoin(F.broadcast(total)).where(F.col(value) > share * F.col("__total")).drop("__total")
+
+
+def summed_by_prefix(wide: DataFrame, key: str, suffix: str) -> DataFrame:
+    """key, prefix and the sum of the columns `<prefix>_..._<suffix>` of a wide log."""
+    columns = [c for c in wide.columns if c.endswith(suffix) and c != key]
+    long = wide.select(key, F.explode(F.array(*[F.struct(F.lit(c.split("_")[0]).alias("prefix"), F.col(c).alias("value")) for c in columns])).alias("x"))
+    return long.groupBy(key, "x.prefix").agg(F.sum("x.value").alias("value"))
+
+
+def gigabytes(pages: Column) -> Column:
+    """Pages of 4 KiB as gigabytes with two decimals, as text."""
+    return F.format_string("%.2f", pages.cast("double") * 4096 / 2**30)
+
+
+def job_name(name: Column) -> Column:
+    """Struct run (0 without one) and type of a job name such as run12s3_driver[x]4."""
+    pattern, wrapped = r"^r(?:un)?(\d+)(s\d+)?_?(.*?)\d*$", r"^driver\[(.*)\]$"
+    part = lambda i: F.regexp_extract(name, pattern, i)
+    inner = F.concat(F.regexp_extract(part(3), wrapped, 1), F.when(part(2) != "", F.concat(F.lit("_"), part(2))).otherwise(""))
+    kind = F.when(part(3).rlike(wrapped), inner).otherwise(part(3))
+    return F.when(name.rlike(pattern), F.struct(part(1).cast("long").alias("run"), kind.alias("type"))).otherwise(F.struct(F.lit(0).cast("long").alias("run"), F.lit("unknown").alias("type")))

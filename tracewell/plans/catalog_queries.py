@@ -129,9 +129,10 @@ def lookup_by_md5_top50(spark, d):
     return paging.newest_with_count(found, [F.desc("id")]).select("id", "n_all", "too_many")
 
 
-@query(f"SELECT id, name FROM {DATASETS} ORDER BY size DESC NULLS LAST, name, id LIMIT 100")
+@query(f"SELECT id, name, row_number() OVER (ORDER BY size DESC NULLS FIRST, name, id) - 1 AS position FROM {DATASETS}")
 def default_order_datasets(spark, d):
-    return catalog.datasets(spark, d).orderBy(F.desc_nulls_last("size"), "name", "id").limit(100).select("id", "name")
+    """All datasets with their places in the default order."""
+    return paging.positions(catalog.datasets(spark, d), [F.desc_nulls_first("size"), F.asc_nulls_last("name"), F.asc("id")]).select("id", "name", "position")
 
 
 @query(f"SELECT family, id, size, rank FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY size DESC, id) AS rank FROM {CONTAINERS}) WHERE rank <= 3")
@@ -157,19 +158,10 @@ def orphan_datasets(spark, d):
     return catalog.datasets(spark, d).join(linked, "id", "left_anti").select("id", "name")
 
 
-@query("SELECT page_id id, url FROM pages WHERE regexp_extract(url, '[^/]+$') NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) AND page_id % 5 <> 0")
+@query("SELECT page_id id, url FROM pages WHERE regexp_extract(url, '[^/]+$') NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)")
 def unregistered_files(spark, d):
-    return _unregistered(spark, d, catalog.read(spark, d, "pages").where("page_id % 5 <> 0"))
-
-
-@query(None)
-def unregistered_files_all(spark, d):
-    """unregistered_files of all pages."""
-    return _unregistered(spark, d, catalog.read(spark, d, "pages"))
-
-
-def _unregistered(spark, d, pages):
-    disk = pages.withColumn("name", F.regexp_extract("url", "[^/]+$", 0))
+    """Pages stored under a name that no file has."""
+    disk = catalog.read(spark, d, "pages").withColumn("name", F.regexp_extract("url", "[^/]+$", 0))
     known = catalog.files(spark, d).select(F.col("id").cast("string").alias("name"))
     return disk.join(known, "name", "left_anti").select(F.col("page_id").alias("id"), "url")
 

@@ -114,18 +114,12 @@ def _reads(spark, d):
     return catalog.files(spark, d).select("id", "lang", F.translate(F.md5("text"), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
 
 
-@query(f"""WITH q AS (SELECT doc_id id, {READ} s FROM documents WHERE doc_id % 20 = 0), r AS (SELECT doc_id AS ref, {READ} s FROM documents WHERE doc_id % 31 = 0),
+@query(f"""WITH q AS (SELECT doc_id id, {READ} s FROM documents WHERE doc_id % 20 = 0), r AS (SELECT doc_id AS ref, {READ} s FROM documents),
     qk AS (SELECT id, substr(s, i, 3) k, count(*) n FROM q, range(1, 31) t(i) GROUP BY ALL), rk AS (SELECT ref, substr(s, i, 3) k, count(*) n FROM r, range(1, 31) t(i) GROUP BY ALL),
     norm AS (SELECT ref, sum(n * n) m FROM rk GROUP BY ref), sc AS (SELECT id, ref, sum(qk.n * rk.n) / any_value(m) AS score FROM qk JOIN rk USING (k) JOIN norm USING (ref) GROUP BY id, ref)
     SELECT id, best, score FROM (SELECT id, ref best, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, ref) n FROM sc) WHERE n = 1""")
 def kmer_best_match(spark, d):
-    reads = _reads(spark, d).select("id", "seq")
-    return sequences.best_match(reads.where("id % 20 = 0"), reads.where("id % 31 = 0"))
-
-
-@query(None)
-def kmer_best_match_all(spark, d):
-    """kmer_best_match over all references."""
+    """Queries (every 20th id) against all references."""
     reads = _reads(spark, d).select("id", "seq")
     return sequences.best_match(reads.where("id % 20 = 0"), reads)
 
@@ -189,22 +183,13 @@ def coverage_score(spark, d):
     return sequences.coverage_scores(positions, counts, ["key"], (0, 1, 2))
 
 
-@query("""WITH c AS (SELECT p_retailprice x, min(p_partkey) y FROM part GROUP BY 1), p AS (SELECT event_id id, round(value * 12, 2) v FROM events WHERE event_id % 4 = 0)
+@query("""WITH c AS (SELECT p_retailprice x, min(p_partkey) y FROM part GROUP BY 1), p AS (SELECT event_id id, round(value * 12, 2) v FROM events)
     SELECT id, CASE WHEN v BETWEEN 800 AND 1200 THEN (SELECT arg_min(CAST(y AS DOUBLE), (abs(x - v), x)) FROM c) END y FROM p""")
 def nearest_value(spark, d):
-    return _nearest(spark, d, catalog.read(spark, d, "events").where("event_id % 4 = 0"))
-
-
-@query(None)
-def nearest_value_all(spark, d):
-    """nearest_value of all events."""
-    return _nearest(spark, d, catalog.read(spark, d, "events"))
-
-
-def _nearest(spark, d, events):
-    points = events.select(F.col("event_id").alias("id"), F.round(F.col("value") * 12, 2).alias("v"))
+    """Every event's value looked up on the curve of prices."""
+    points = catalog.read(spark, d, "events").select(F.col("event_id").alias("id"), F.round(F.col("value") * 12, 2).alias("v"))
     curve = _parts(spark, d).select(F.col("p_retailprice").alias("x"), F.col("p_partkey").cast("double").alias("y"))
-    return sequences.nearest(points, curve, "v", 800.0, 1200.0, 0.5).select("id", "y")
+    return sequences.nearest(points, curve, "v", 800.0, 1200.0).select("id", "y")
 
 
 @query(f"""SELECT id, seed, distance FROM (SELECT d.doc_id id, n_name seed, levenshtein({READ}, upper(n_name)) AS distance, row_number() OVER (PARTITION BY d.doc_id ORDER BY levenshtein({READ}, upper(n_name)), n_name) k FROM documents d, nation) WHERE k = 1""")

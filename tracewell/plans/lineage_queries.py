@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewell import catalog
 from tracewell.operators import provenance, retention
 from tracewell.plans.catalog_queries import CONTAINERS, DATASETS, EDGES, RUNS
+from tracewell.session import checkpointed
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -44,8 +45,8 @@ def _candidates(spark, d):
 
 
 def _purged(spark, d):
-    rows = _candidates(spark, d)
-    total = int(rows.agg(F.sum("size")).first()[0]) + int(catalog.containers(spark, d).agg(F.sum("size")).first()[0])
+    rows = checkpointed(_candidates(spark, d))
+    total = sum(int(t.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) for t in (rows, catalog.containers(spark, d)))
     return retention.purge_plan(rows, total, total // 2, total // 3)
 
 
@@ -72,13 +73,9 @@ def storage_totals(spark, d):
     return retention.storage({"containers": catalog.containers(spark, d), "datasets": catalog.datasets(spark, d), "files": files, "none": files.where("false")})
 
 
-@query("SELECT source description, count(*) n, min(doc_id) first, max(doc_id) last FROM documents WHERE doc_id % 7 = 0 GROUP BY source")
+@query("""SELECT source description, count(*) n, min(doc_id) first, max(doc_id) last FROM documents
+    WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT regexp_extract(url, '[^/]+$') FROM pages) GROUP BY source""")
 def missing_file_report(spark, d):
-    return catalog.files(spark, d).where("id % 7 = 0").groupBy("description").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
-
-
-@query(None)
-def missing_file_report_all(spark, d):
     """Files that no page is stored as, by description."""
     stored = catalog.read(spark, d, "pages").select(F.regexp_extract("url", "[^/]+$", 0).alias("name"))
     gone = catalog.files(spark, d).withColumn("name", F.col("id").cast("string")).join(stored, "name", "left_anti")
@@ -131,27 +128,39 @@ def rerun_levels(spark, d):
 @query(f"""WITH RECURSIVE t AS (
     SELECT 'run' kind, id FROM {RUNS} WHERE owner = 1
     UNION
-    SELECT * FROM (SELECT 'dataset' kind, e.dataset id FROM {EDGES} e JOIN t ON t.kind = 'run' AND t.id = e.run WHERE e.kind = 'O' AND e.created < TIMESTAMP '1995-06-01'
-    UNION ALL SELECT 'run', e.run FROM {EDGES} e JOIN t ON t.kind = 'dataset' AND t.id = e.dataset WHERE e.kind = 'I' AND e.created < TIMESTAMP '1995-03-01'))
+    SELECT * FROM (SELECT 'dataset' kind, e.dataset id FROM {EDGES} e JOIN t ON t.kind = 'run' AND t.id = e.run WHERE e.kind = 'O'
+    UNION ALL SELECT 'run', e.run FROM {EDGES} e JOIN t ON t.kind = 'dataset' AND t.id = e.dataset WHERE e.kind = 'I'))
     SELECT kind, id FROM t""")
 def removal_closure(spark, d):
     """What must go with a user's runs: their outputs, the runs that used those, and so on."""
     edges = catalog.edges(spark, d)
-    return _removed(spark, d, edges.where("kind = 'O' and created < timestamp_ntz'1995-06-01'"), edges.where("kind = 'I' and created < timestamp_ntz'1995-03-01'"))
+    makes = edges.where("kind = 'O'").select(F.col("run").alias("src"), F.col("dataset").alias("dst"))
+    used = edges.where("kind = 'I'").select(F.col("dataset").alias("src"), F.col("run").alias("dst"))
+    start = catalog.runs(spark, d).where("owner = 1").select(F.lit("run").alias("kind"), "id")
+    return provenance.closure([("run", "dataset", makes), ("dataset", "run", used)], start)
 
 
-@query(None)
-def removal_closure_all(spark, d):
-    """removal_closure over all edges."""
-    edges = catalog.edges(spark, d)
-    return _removed(spark, d, edges.where("kind = 'O'"), edges.where("kind = 'I'"))
+APPS_OF = "(SELECT p_partkey id, p_partkey % 100 + 1 AS container FROM part)"
+RUNS_OF = "(SELECT o_orderkey id, o_custkey AS app, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS batch FROM orders)"
 
 
-def _removed(spark, d, outputs, inputs):
-    makes = outputs.select(F.col("run").alias("src"), F.col("dataset").alias("dst"))
-    used = inputs.select(F.col("dataset").alias("src"), F.col("run").alias("dst"))
-    start = catalog.runs(spark, d).where("owner = 1").select(F.lit("run").alias("kind"), "id")
-    return provenance.closure([("run", "dataset", makes), ("dataset", "run", used)], start)
+@query(f"""WITH RECURSIVE t AS (
+    SELECT 'families' kind, CAST(7 AS BIGINT) id
+    UNION
+    SELECT * FROM (SELECT 'containers' kind, c.id FROM {CONTAINERS} c JOIN t ON (t.kind = 'families' AND c.family = t.id) OR (t.kind = 'containers' AND c.parent = t.id)
+    UNION ALL SELECT 'apps', a.id FROM {APPS_OF} a JOIN t ON t.kind = 'containers' AND a.container = t.id
+    UNION ALL SELECT 'runs', r.id FROM {RUNS_OF} r JOIN t ON t.kind = 'apps' AND r.app = t.id
+    UNION ALL SELECT 'datasets', e.dataset FROM {EDGES} e JOIN t ON t.kind = 'runs' AND t.id = e.run WHERE e.kind = 'O' AND e.dataset % 5 <> 0
+    UNION ALL SELECT 'runs', e.run FROM {EDGES} e JOIN t ON t.kind = 'datasets' AND t.id = e.dataset WHERE e.kind = 'I'))
+    SELECT kind, id, CASE kind WHEN 'datasets' THEN 1 WHEN 'batches' THEN 2 WHEN 'runs' THEN 3 WHEN 'apps' THEN 4 WHEN 'containers' THEN 5 ELSE 6 END step FROM t""")
+def removal_plan(spark, d):
+    """What must go with a family, class by class in the order of deletion; external datasets stay."""
+    apps = catalog.read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100 + 1).alias("container"))
+    runs = catalog.runs(spark, d).select("id", F.col("owner").alias("app"), F.when(F.col("id") % 3 == 0, F.col("owner")).alias("batch"))
+    tables = {"containers": catalog.containers(spark, d), "apps": apps, "runs": runs, "edges": catalog.edges(spark, d)}
+    external = catalog.datasets(spark, d).where("id % 5 = 0").select("id")
+    start = spark.createDataFrame([("families", 7)], "kind string, id long")
+    return provenance.removal_plan(tables, start, external)
 
 
 @query("SELECT doc_id id, md5(CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END) md5, doc_id % 13 = 0 AND text <> '' redacted FROM documents")
@@ -161,28 +170,41 @@ def redaction_plan(spark, d):
 
 
 @query(f"""WITH RECURSIVE o AS (SELECT run, position, min(dataset) dataset FROM {EDGES} WHERE kind = 'O' AND (run + position) % 3 <> 0 GROUP BY ALL),
-    w AS (SELECT DISTINCT run, position FROM {EDGES} WHERE kind = 'O' AND run < 2000),
+    w AS (SELECT DISTINCT run, position FROM {EDGES} WHERE kind = 'O' AND (run + position) % 3 = 0),
     walk AS (SELECT run, position, run AS at, 0 AS depth FROM w UNION ALL SELECT walk.run, walk.position, r.id, depth + 1 FROM walk JOIN {RUNS} r ON r.original = walk.at AND r.id <> walk.at WHERE depth < 20),
     hits AS (SELECT walk.run, walk.position, walk.depth, o.dataset, row_number() OVER (PARTITION BY walk.run, walk.position ORDER BY walk.depth, walk.at) k FROM walk JOIN o ON o.run = walk.at AND o.position = walk.position)
     SELECT w.run, w.position, hits.dataset, hits.depth FROM w LEFT JOIN hits ON hits.run = w.run AND hits.position = w.position AND k = 1""")
 def rerun_resolution(spark, d):
     """Outputs whose data are gone, found in reruns of their runs."""
-    return _resolved(spark, d, "run < 2000")
-
-
-@query(None)
-def rerun_resolution_all(spark, d):
-    """All outputs whose data are gone."""
-    return _resolved(spark, d, "not present")
-
-
-def _resolved(spark, d, which):
     outputs = catalog.edges(spark, d).where("kind = 'O'").withColumn("present", (F.col("run") + F.col("position")) % 3 != 0)
-    wanted = outputs.where(which).select("run", "position").distinct()
+    wanted = outputs.where("not present").select("run", "position").distinct()
     runs = catalog.runs(spark, d).where("original <> id or original is null")
     return provenance.rerun_dataset(runs, outputs, wanted)
 
 
+RERUNS = f"(SELECT id, original, owner % 10 AS app FROM {RUNS} WHERE original IS NOT NULL AND original <> id)"
+SLOTS = "(SELECT a AS app, s AS slot FROM range(10) t(a), range(1, 8) u(s) WHERE (a + s) % 2 = 0)"
+INPUTS = f"(SELECT run, position AS slot, dataset, (run + position) % 4 <> 0 AS present FROM {EDGES} WHERE kind = 'I')"
+
+
+@query(f"""WITH o AS (SELECT r.id run, r.original, s.slot FROM {RERUNS} r JOIN {SLOTS} s USING (app) WHERE (r.id, s.slot) NOT IN (SELECT (run, slot) FROM {INPUTS} WHERE slot = 3)),
+    w AS (SELECT o.run, o.slot, i.dataset, i.present FROM o JOIN {INPUTS} i ON i.run = o.original AND i.slot = o.slot)
+    SELECT run, slot, count(*) FILTER (present) copied, count(*) FILTER (NOT present AND dataset % 2 = 0) needed FROM w GROUP BY run, slot HAVING count(*) FILTER (present) + count(*) FILTER (NOT present AND dataset % 2 = 0) > 0""")
+def rerun_inputs(spark, d):
+    """Inputs that reruns take over, and those whose source runs must be run again first: of gone datasets
+    the even ones were outputs of a run that has no rerun."""
+    reruns = catalog.runs(spark, d).where("original is not null and original <> id").select("id", "original", (F.col("owner") % 10).alias("app"))
+    slots = spark.range(10).select(F.col("id").alias("app"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("slot")).where("(app + slot) % 2 = 0")
+    inputs = catalog.edges(spark, d).where("kind = 'I'").select("run", F.col("position").alias("slot"), "dataset", ((F.col("run") + F.col("position")) % 4 != 0).alias("present"))
+    made = catalog.datasets(spark, d).where("id % 2 = 0").select(F.col("id").alias("dataset"), (-F.col("id")).alias("run"), F.lit(1).alias("position"), F.lit(False).alias("present"))
+    copied, needed = provenance.rerun_inputs(reruns, slots, inputs.where("slot = 3").select("run", "slot"), inputs, made, catalog.runs(spark, d).where("original <> id or original is null").select("id", "original"))
+    gone = inputs.where("not present and dataset % 2 = 0").select(F.col("run").alias("original"), "slot", "dataset")
+    again = needed.join(reruns.withColumnRenamed("id", "run"), "run").join(gone.withColumn("source", -F.col("dataset")), ["original", "source"]).join(slots, ["app", "slot"]).select("run", "slot", "dataset")
+    again = again.join(inputs.where("slot = 3").select("run", "slot"), ["run", "slot"], "left_anti")
+    both = copied.select("run", "slot", F.lit(1).alias("c"), F.lit(0).alias("n")).unionByName(again.select("run", "slot", F.lit(0).alias("c"), F.lit(1).alias("n")))
+    return both.groupBy("run", "slot").agg(F.sum("c").alias("copied"), F.sum("n").alias("needed"))
+
+
 WIRES = "(SELECT conv_id pipeline, turn AS step, turn - 1 - (conv_id + turn) % 2 AS source FROM conversations WHERE turn - 1 - (conv_id + turn) % 2 >= 0)"
 
 

@@ -20,6 +20,26 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class Rounds:
+    """A table that grows by one folder a round: what a loop has found so far, without rewriting it."""
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.schema, self.n = first.sparkSession, first.schema, 0
+        self.folder = f"{shared_folder(self.spark)}/rounds-{uuid.uuid4().hex[:12]}"
+        self.last = self.add(first)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a round; returns its rows."""
+        path = f"{self.folder}/{self.n:06d}"
+        df.select(*self.schema.names).write.parquet(path)
+        self.n += 1
+        self.last = self.spark.read.schema(self.schema).parquet(path)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df as a table in the shared folder: lineage, and what the optimizer derived on the
     way, end here, so loops keep plans of one size."""
