@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as fn
-from tracewell.operators import access, compare, filters, paging, provenance, retention, sequences, tabular
+from tracewell.operators import access, compare, filters, paging, provenance, registration, retention, sequences, tabular
 
 
 def rows(df):
@@ -75,6 +75,80 @@ def test_running_total_over_many_ranges(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("ranges", [None, 3])
+def test_running_total_of_negative_values_and_of_nothing(spark, ranges):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([5, -3, 4, -2, 7, 5])], "id long, v long")
+    got = [r.before for r in retention.running_total(df, [F.col("id")], "v", "before", ranges).orderBy("id").collect()]
+    assert got == [0, 5, 2, 6, 4, 11]
+    assert retention.running_total(df.limit(0), [F.col("id")], "v", "before", ranges).count() == 0
+
+
+def test_reruns_in_a_circle_end(spark):
+    runs = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (5, 4), (4, None)], "id long, original long")
+    outputs = spark.createDataFrame([(1, 1, 10, False), (5, 1, 50, True)], "run long, position int, dataset long, present boolean")
+    wanted = spark.createDataFrame([(1, 1), (4, 1)], "run long, position int")
+    got = {(r.run, r.position): (r.dataset, r.depth) for r in provenance.rerun_dataset(runs, outputs, wanted).collect()}
+    assert got == {(1, 1): (None, None), (4, 1): (50, 1)}
+
+
+def test_phases_of_circles_and_strangers(spark):
+    steps = spark.createDataFrame([("p", i) for i in range(1, 8)], "pipeline string, step int")
+    wires = spark.createDataFrame([("p", 2, 1), ("p", 3, 2), ("p", 3, 1), ("p", 4, 5), ("p", 5, 4), ("p", 6, 5), ("p", 7, 99)], "pipeline string, step int, source int")
+    got = {r.step: r.phase for r in provenance.phases(steps, wires, most=10).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: None, 7: 0}
+
+
+def test_removal_plan_order_and_errors(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "containers": make([(10, 1, None), (11, 2, 10)], "id long, family long, parent long"),
+        "apps": make([(20, 10), (21, 11), (22, 99)], "id long, container long"),
+        "runs": make([(30, 20, None), (31, 22, None), (32, 22, 40)], "id long, app long, batch long"),
+        "edges": make([(30, 50, "O"), (30, 52, "O"), (31, 50, "I"), (31, 51, "O"), (32, 51, "I"), (32, 53, "I")], "run long, dataset long, kind string"),
+    }
+    start = make([("families", 1)], "kind string, id long")
+    external = make([(52,)], "id long")
+    got = [(r.step, r.kind, r.id) for r in provenance.removal_plan(tables, start, external).orderBy("step", "id").collect()]
+    assert got == [(1, "datasets", 50), (1, "datasets", 51), (3, "runs", 30), (3, "runs", 31), (3, "runs", 32), (4, "apps", 20), (4, "apps", 21), (5, "containers", 10), (5, "containers", 11), (6, "families", 1)]
+    with pytest.raises(ValueError, match="run 32 is still active"):
+        provenance.removal_plan(tables, start, external, active=make([(32,), (77,)], "id long"))
+
+
+def test_comparison_of_an_argument_without_class(spark):
+    schema = "id long, argument string, argument_type string, multi_position int, path string, dataset long"
+    good = spark.createDataFrame([(1, "a", "fixed_input", None, None, 5), (1, "m", "optional_multiple_input", 1, None, 6), (1, "d", "fixed_directory_output", None, "x/y", 7)], schema)
+    other = spark.createDataFrame([(1, "a", "fixed_input", None, None, 5), (1, "m", "optional_multiple_input", 1, None, 8), (1, "m", "optional_multiple_input", 2, None, 9), (1, "d", "fixed_directory_output", None, "x/z", 7)], schema)
+    got = {(r.argument, r.place, r.n): r.changed for r in compare.every(good, other, ["id"], "dataset").collect()}
+    assert got == {("a", "", 1): "no", ("m", "", 1): "YES", ("m", "", 2): "NEW", ("d", "x", 1): "no"}
+    bad = spark.createDataFrame([(1, "a", None, None, None, 5)], schema)
+    with pytest.raises(Exception, match="an argument without a class: a"):
+        compare.every(bad, good, ["id"], "dataset").collect()
+    apps = spark.createDataFrame([(1, 2, 2), (2, 2, 3), (3, None, 1)], "id int, original_app int, rerun_app int")
+    assert {r.id for r in compare.unlike_apps(apps).collect()} == {2, 3}
+
+
+def test_unknown_filters_and_rights(spark):
+    df = spark.createDataFrame([(1, "100%_x", "d")], "id int, name string, description string")
+    with pytest.raises(KeyError, match="unknown filter key: nope"):
+        filters.apply(df, [("nope", "1")], filters.BATCH_FILTERS)
+    assert filters.apply(df, [("smart", "%_X")], filters.BATCH_FILTERS).count() == 1
+    with pytest.raises(PermissionError):
+        access.administered(df, asked=True, admin=False)
+    assert access.administered(df, asked=True, admin=True).count() == 1
+
+
+def test_registration_edges(spark):
+    files = spark.createDataFrame([("/a/b/f", bytearray(b"x")), ("/a/g", None), ("/z/h", bytearray(b""))], "path string, content binary")
+    roots = spark.createDataFrame([("A", "/a"), ("B", "/a/b")], "name string, root string")
+    got = {r.path: (r.root_name, r.relative, r.size, r.md5) for r in registration.registered(files, roots=roots).collect()}
+    assert got == {"/a/b/f": ("B", "f", 1, "9dd4e461268c8034f5c8564e155c67a6"), "/a/g": ("A", "g", None, ""), "/z/h": (None, None, 0, "d41d8cd98f00b204e9800998ecf8427e")}
+    assert [r.intact for r in registration.intact(files.withColumn("md5", F.md5("content"))).where("content is not null").collect()] == [True, True]
+    members = spark.createDataFrame([(1, "a/b", "m1", 3), (2, "a/b", "m1", 3), (3, None, "m2", 0), (4, "a/b", "m9", 1)], "ordinal int, name string, md5 string, size int")
+    had = spark.createDataFrame([("a_b", "m9")], "name string, md5 string")
+    assert {r.ordinal: (r.new_name, r.error) for r in registration.uploaded(members, had).collect()} == {1: ("a_b", None), 2: ("a_b", "twice in the upload"), 3: ("dataset_3", "empty file"), 4: ("a_b", "already in the catalog")}
+
+
+
 def test_purge_keeps_to_its_budget(spark):
     df = spark.createDataFrame([("a", 1, 10, 5), ("b", 2, 30, 4), ("a", 3, 20, 3), ("a", 4, 20, 2)], "kind string, id int, age int, size int")
     assert rows(retention.purge_plan(df, 20, 20, 10)) == []
@@ -136,7 +210,7 @@ def test_consensus_mixtures(spark):
 def test_nearest_ties_go_left(spark):
     curve = spark.createDataFrame([(0.0, 0.0), (1.0, 10.0), (2.0, 20.0)], "x double, y double")
     points = spark.createDataFrame([(v,) for v in (-0.1, 0.0, 0.5, 0.6, 1.9, 2.1)], "v double")
-    assert [r.y for r in sequences.nearest(points, curve, "v", 0.0, 2.0, 0.25).orderBy("v").collect()] == [None, 0.0, 0.0, 10.0, 20.0, None]
+    assert [r.y for r in sequences.nearest(points, curve, "v", 0.0, 2.0).orderBy("v").collect()] == [None, 0.0, 0.0, 10.0, 20.0, None]
 
 
 def test_summaries(spark):

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from tracewell import catalog
-from tracewell.sources import files
+from tracewell.sources import files, remote, sinks
 from tracewell.streaming import stateful
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +60,73 @@ def test_scores_reports_and_seeds(spark, tmp_path):
     assert sorted(r.value for r in files.seed_fasta(seeds).collect()) == [">x\nACG", ">y\nTT"]
     with pytest.raises(Exception, match="several names"):
         files.seed_fasta(seeds.union(spark.createDataFrame([("z", "TT")], seeds.schema))).collect()
+
+
+def test_delimited_sinks_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b", None), (2, "c,d", 2.5)], "id int, name string, x double")
+    for sep in (",", "_", "|"):
+        path = str(tmp_path / f"out{ord(sep)}")
+        sinks.delimited(df, path, ["name", "id", "x"], sep=sep)
+        back = files.delimited(spark, path, "name string, id int, x double", sep=sep)
+        assert sorted(map(tuple, back.collect())) == [("a b", 1, None), ("c,d", 2, 2.5)]
+    seen = []
+    sinks.several(df, {"a": lambda d: seen.append(d.count()), "b": lambda d: seen.append(d.where("id = 2").count())})
+    assert seen == [2, 1]
+    found = sinks.directory(df, str(tmp_path / "dir"), "id", ["name"]).collect()
+    assert sorted(r.path.split("/")[0] for r in found) == ["id=1", "id=2"] and all(r.length > 0 for r in found)
+    assert sorted(r.value for r in sinks.json_lines(df).collect()) == ['{"id":1,"name":"a b"}', '{"id":2,"name":"c,d","x":2.5}']
+    people = spark.createDataFrame([("ann", 7, ["g", 'h"'], None)], "user string, uid int, groups array<string>, home string")
+    assert sinks.yaml_lines(people, "user", ["uid", "groups", "home"]).first().value == 'ann:\n  uid: 7\n  groups: ["g", "h\\""]\n  home: null'
+
+
+def test_pages_and_urls(spark):
+    fetch = lambda page: [(page, f"row{page}-{i}") for i in range(page % 3)] if page < 7 else None
+    got = sorted(map(tuple, remote.paged(spark, fetch, "page_no long, name string", wave=4).collect()))
+    assert got == sorted((p, f"row{p}-{i}") for p in range(7) for i in range(p % 3))
+
+    def get(url):
+        if "bad" in url:
+            raise OSError("no such host")
+        return url.encode()
+
+    urls = spark.createDataFrame([("http://a",), ("http://bad",)], "url string")
+    assert sorted((r.url, r.content and bytes(r.content), r.error) for r in remote.fetched(urls, get=get).collect()) == [("http://a", b"http://a", None), ("http://bad", None, "OSError: no such host")]
+
+
+def test_configuration_and_cache(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{\n"x": 1,\n"y": [2]\n}')
+    assert remote.first_config(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")], "x int, y array<int>").first().y == [2]
+    with pytest.raises(FileNotFoundError):
+        remote.first_config(spark, [str(tmp_path / "a.json")], "x int")
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    ask = lambda user, start, end: remote.cached(spark, str(tmp_path / "kept"), {"user": user}, start, end, make).count()
+    assert [ask("a", "2020-01-01", "2020-02-01"), ask("a", "2020-01-05", "2020-01-09"), ask("a", "2020-01-05", "2020-03-01"), ask("b", "2020-01-05", "2020-01-09")] == [1, 1, 2, 3]
+
+
+def test_messages_alike_share_a_bucket(spark):
+    from datetime import datetime, timedelta
+    from difflib import SequenceMatcher
+
+    said = ["disk 1 is full", "disk 22 is full", "no route to host", "disk 1 is full", "no route to hosts", "x"]
+    rows = [(k, i, datetime(2024, 1, 1) + timedelta(seconds=i), m) for i, m in enumerate(said) for k in ("a", "b")] + [("c", 0, datetime(2024, 1, 1), "disk 22 is full")]
+    got = {(r.key, r.id): r.bucket for r in stateful.alike(spark.createDataFrame(rows, "key string, id long, ts timestamp, message string")).collect()}
+    buckets, want = [], []
+    for m in said:
+        b = m if m in buckets else next((b for b in buckets if SequenceMatcher(None, b, m).ratio() >= 0.75), None)
+        buckets += [m] if b is None else []
+        want.append(b or m)
+    assert [got["a", i] for i in range(6)] == want == [got["b", i] for i in range(6)] and got["c", 0] == "disk 22 is full"
+
+
+def test_sample_log_appends_each_batch_once(spark, tmp_path):
+    write = sinks.sample_log(str(tmp_path / "log"), "t", "node", "free", ["n0", "n1"])
+    one = spark.createDataFrame([(1, "n0", 5), (1, "n1", 6)], "t int, node string, free int")
+    for batch in (0, 0, 1):  # the first is run twice
+        write(one, batch)
+    got = spark.read.option("header", True).csv(str(tmp_path / "log")).select("t", "n0", "n1").collect()
+    assert sorted(map(tuple, got)) == [("1", "5", "6")] * 2

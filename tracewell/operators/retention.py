@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from tracewell.session import checkpointed
 
 
-def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Add the sum of `value` over all rows before each row in a total order.
 
-    Rows are dealt out by ranges of the order, as many as the session's shuffle setting and their bytes
-    ask for; each range sums within itself, and only one sum for each range is added up in one place.  The ranged rows are a checkpoint: both uses of them must
+    Rows are dealt out by `ranges` of the order (none given: as many as the session's shuffle setting and
+    the rows' bytes ask for); each range sums within itself, and only one sum for each range is added up in one place.  The ranged rows are a checkpoint: both uses of them must
     see the same ranges.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = (df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)).withColumn("__part", F.spark_partition_id())
     within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = checkpointed(ranged.withColumn("__local", F.coalesce(F.sum(value).over(within), F.lit(0))))
     ends = local.groupBy("__part").agg(F.sum(value).alias("__total"))

@@ -65,7 +65,7 @@ def in_lists(rows: DataFrame, lists: DataFrame, key: str, members: str) -> DataF
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in an order that the seed and the key decide: a reproducible random sample."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def inherited(rows: DataFrame, own: str, parent: str) -> DataFrame:

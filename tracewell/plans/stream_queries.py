@@ -13,7 +13,7 @@ QUERIES, ORACLE_SQL = {}, {}
 def token_bucket_suppressed(spark, d):
     """Events that pass a bucket per kind and actor, with the number suppressed before each."""
     jobs = catalog.jobs(spark, d).select(F.concat_ws("/", "key", F.col("actor").cast("string")).alias("key"), "id", "ts")
-    return stateful.rate_limited(jobs, rate=1, per=43200, burst=2)
+    return stateful.rate_limited(jobs, rate=1, per=43200, burst=2).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def run_transitions(spark, d):
@@ -30,6 +30,11 @@ def tumbling_weeks(spark, d):
 QUERIES = {f.__name__: f for f in (token_bucket_suppressed, run_transitions, tumbling_weeks)}
 STATES = "substr('NLRSC', CAST(event_id % 5 + 1 AS INTEGER), 1)"
 ORACLE_SQL = {
+    "token_bucket_suppressed": """WITH RECURSIVE e AS (SELECT event_type || '/' || user_id AS key, event_id id, ts, epoch_us(ts) / 1e6 s, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) n FROM events),
+        w AS (SELECT key, id, ts, s, n, CAST(1 AS DOUBLE) tokens, CAST(0 AS BIGINT) gone, true AS passed, CAST(0 AS BIGINT) suppressed FROM e WHERE n = 1
+        UNION ALL SELECT e.key, e.id, e.ts, e.s, e.n, CASE WHEN t >= 1 THEN t - 1 ELSE t END, CASE WHEN t >= 1 THEN 0 ELSE gone + 1 END, t >= 1, gone
+        FROM (SELECT key, n + 1 n, gone, tokens, s FROM w) b JOIN e ON e.key = b.key AND e.n = b.n, LATERAL (SELECT least(CAST(2 AS DOUBLE), b.tokens + (e.s - b.s) / 43200) t) x)
+        SELECT key, id, ts, suppressed FROM w WHERE passed""",
     "run_transitions": f"""SELECT id, event, state, before, CASE WHEN before IS NULL THEN state = 'N' WHEN before = 'N' THEN state IN ('L', 'X') WHEN before = 'L' THEN state IN ('R', 'X', 'F') WHEN before = 'R' THEN state IN ('S', 'X', 'F') WHEN before = 'S' THEN state IN ('C', 'F') ELSE false END legal
         FROM (SELECT user_id id, event_id AS event, {STATES} state, lag({STATES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)""",
     "tumbling_weeks": "SELECT time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS start, event_type AS key, count(*) n FROM events GROUP BY ALL",

@@ -66,14 +66,12 @@ def project_regions(spark, d):
     return summaries.in_lists(catalog.users(spark, d).select("id", "group_id"), lists, "group_id", "members").select("id", "project")
 
 
+@query("SELECT doc_id id, n_chars AS size FROM documents WHERE n_chars BETWEEN 500 AND 5000 ORDER BY md5('7:' || doc_id), doc_id LIMIT 50")
 def sampled_files(spark, d):
     """A seeded sample of files between two sizes."""
     return summaries.sampled(catalog.files(spark, d).where("size between 500 and 5000").select("id", "size"), "id", 50, 7)
 
 
-QUERIES["sampled_files"] = sampled_files
-
-
 @query(f"""WITH j AS (SELECT CAST(event_id AS VARCHAR) || CASE WHEN event_id % 5 = 0 THEN '.batch' ELSE '' END jobid, ts FROM events)
     SELECT r.id, j.ts AS "end" FROM {RUNS} r JOIN j ON j.jobid = CAST(r.id AS VARCHAR) WHERE r.state = 'R'""")
 def jobs_of_runs(spark, d):

@@ -71,6 +71,34 @@ def rate_limited_stream(rows: DataFrame, rate: float = 1, per: float = 300, burs
     return typed.groupBy("key").applyInPandasWithState(step, LIMITED, BUCKET, "append", GroupStateTimeout.NoTimeout)
 
 
+def alike(rows: DataFrame, ratio: float = 0.75) -> DataFrame:
+    """Rows (key, id, ts, message) with `bucket`: the message of the first bucket, in the order in which they were made,
+    that is the same or alike by `ratio` of its letters; a message unlike all makes a bucket of its own.
+
+    Each key (a logger) has its buckets; rows stream through in the order of time, and only buckets are held.
+    """
+    from difflib import SequenceMatcher
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, buckets = None, {}
+        for pdf in frames:
+            chosen = []
+            for own, message in zip(pdf["key"], pdf["message"], strict=True):
+                if own != key:
+                    key, buckets = own, {}
+                if message not in buckets:
+                    match = next((b for b in buckets if SequenceMatcher(None, b, message).ratio() >= ratio), None)
+                    if match is None:
+                        buckets[message] = None
+                    chosen.append(message if match is None else match)
+                else:
+                    chosen.append(message)
+            yield pdf.assign(bucket=chosen)
+
+    typed = rows.select("key", "id", F.col("ts").cast("timestamp").alias("ts"), "message")
+    return typed.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, "key string, id long, ts timestamp, message string, bucket string")
+
+
 def windowed_counts(rows: DataFrame, late: str = "1 hour", width: str = "7 days", start: str = "0 seconds") -> DataFrame:
     """Rows per tumbling window of event time and key; rows later than the watermark are left out."""
     typed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
