@@ -38,7 +38,7 @@ HELD = 400_000
 @dataclass(frozen=True)
 class Ppm:
     order: int = 4
-    capacity: int = 3_000_000
+    capacity: int = 1_000_000
     head: int = 150_000
 
 
@@ -155,7 +155,7 @@ class Head:
     """A hash table of the most frequent runs' log10 probabilities."""
 
     def __init__(self, run: np.ndarray, logs: np.ndarray):
-        self.bits = max(10, int(np.ceil(np.log2(4 * max(len(run), 1)))))
+        self.bits = max(10, int(np.ceil(np.log2(2 * max(len(run), 1)))))
         self.table = np.full(1 << self.bits, np.uint64(2**64 - 1))
         self.exact = np.zeros(1 << self.bits)
         todo, slot = np.arange(len(run)), self.slot(run)
