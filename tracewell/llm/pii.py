@@ -6,12 +6,15 @@ an issuer's prefix: other long numbers stay.  Each entity is reduced to a canoni
 without separators, lower case), so that its spellings are one entity wherever they occur, and the
 distinct entities of the whole corpus get surrogates from a keyed SHA-256:
 
-* e-mail: letters by letters of the same script, digits by digits; one surrogate domain per domain
+* e-mail: letters by letters of the same script, digits by digits; one surrogate domain per domain.  A
+  local part has 64 characters at most and a domain 127 labels, as the rules of addresses have it; what
+  is beyond is plain text
 * IPv4: an address of the reserved block 240/4, of 10/8 for private ones
 * phone: country code and layout stay; card: issuer digit, layout and a valid check digit stay
-* name: a given name of the same gender (by the form of address) and script (Latin, Cyrillic, Greek or
-  Armenian; others get Latin), one more syllable each time it is drawn again, and a surname that is the
-  same for all who share the surname
+* name: only after a form of address (a rule set: names without one are not found); a given name of the
+  same gender (by the form of address) and script (from lists for Latin, Cyrillic, Greek and Armenian;
+  letters of the script for others), one more syllable each time it is drawn again, and a surname that is
+  the same for all who share the surname
 
 Surrogates that two entities of a type share, or that occur in the corpus themselves, are drawn
 again with the next attempt until none is left, so distinct entities stay distinct.  The texts
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import saved
+from tracewell.llm.common import dropped, saved, unused
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Fixed forms of address by gender.
@@ -35,7 +38,7 @@ TITLES = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=lambda t: (-len(t), t))
 NAME = rf"(?<![\p{{L}}\p{{N}}-])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
 #: Type and pattern, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}-]++\.){1,126}\p{L}{2,}",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9+])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -122,16 +125,26 @@ def _drawn_digits(h: Column, n: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (_byte(h, i) % 10).cast("string")), "")
 
 
+def _char(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
+def _neighbours(c: Column) -> Column:
+    """The letters of a letter's own block of 32 code points, which are of its script."""
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: _char(F.ascii(c) - F.ascii(c) % 32 + k)), lambda x: x.rlike(r"^[\p{L}&&[^\p{Lu}]]$"))
+
+
 def _redrawn(text: Column, h: Column) -> Column:
     """Letters by letters of the same script, digits by digits; other characters stay."""
 
     def one(c, i):
         n = _byte(h, i)
-        out = F.when(c.rlike("[0-9]"), (n % 10).cast("string"))
-        for script, name in (("cyrillic", "IsCyrillic"), ("greek", "IsGreek")):
+        out = F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(~c.rlike(r"\p{L}"), c)
+        for script, name in (("latin", "IsLatin"), ("cyrillic", "IsCyrillic"), ("greek", "IsGreek")):
             out = out.when(c.rlike(rf"\p{{{name}}}"), F.substring(F.lit(LETTERS[script]), n % len(LETTERS[script]) + 1, F.lit(1)))
-        out = out.when(c.rlike(r"\p{IsHan}"), F.decode(F.unhex(F.lpad(F.hex((n * 16 + _byte(h, i + 1) % 16 + 0x4E00).cast("long")), 4, "0")), "UTF-16BE"))
-        return out.when(c.rlike(r"\p{L}"), F.substring(F.lit(LETTERS["latin"]), n % 26 + 1, F.lit(1))).otherwise(c)
+        out = out.when(c.rlike(r"\p{IsHan}"), _char(n * 16 + _byte(h, i + 1) % 16 + 0x4E00))
+        near = _neighbours(c)
+        return out.when(F.size(near) > 0, F.element_at(near, (n % F.greatest(F.size(near), F.lit(1)) + 1).cast("int"))).otherwise(c)
 
     return F.array_join(F.transform(_chars(text), one), "")
 
@@ -153,9 +166,12 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     ssn = F.concat(F.lit("9"), _drawn_digits(h, F.lit(8)))
     gender, full = F.substring(canon, 1, 1), F.substring_index(canon, ":", -1)
     surname = F.substring_index(full, " ", -1)
-    script = F.when(full.rlike(r"\p{IsCyrillic}"), "cyrillic").when(full.rlike(r"\p{IsGreek}"), "greek").when(full.rlike(r"\p{IsArmenian}"), "armenian").otherwise("latin")
+    script = F.lit(None).cast("string")
+    for block in ("IsCyrillic", "IsGreek", "IsArmenian", "IsLatin"):
+        script = F.when(script.isNull() & full.rlike(rf"\p{{{block}}}"), block[2:].lower()).otherwise(script)
     s = _hex(F.lit(key), F.lit("surname"), surname)
-    own, first, more = (F.lit(None).cast("string") for _ in range(3))
+    # Scripts without lists: letters by letters, and one more for each attempt.
+    own, first, more = _redrawn(surname, s), _redrawn(F.substring_index(full, " ", 1), h), _redrawn(F.repeat(F.substring(surname, 1, 1), F.greatest(attempt, F.lit(1))), h)
     for name in SYLLABLES:
         own = F.when(script == name, F.concat(*[_pick(SYLLABLES[name], _byte(s, i)) for i in range(4)])).otherwise(own)
         # As many syllables as attempts, so that any number of people can share a surname.
@@ -189,7 +205,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """
     table = saved(entities.select("kind", "canon", F.lit(0).alias("attempt")).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "surrogates")
     while True:
-        bare = F.when(F.col("kind") == "name", F.substring(F.col("canon"), 3, 1_000_000)).otherwise(F.col("canon"))
+        bare = F.when(F.col("kind") == "name", F.expr("substring(canon, 3)")).otherwise(F.col("canon"))
         shown = F.when(F.col("kind") == "name", F.lower("surrogate")).otherwise(F.col("surrogate"))
         holders = table.groupBy("kind", "surrogate").agg(F.min("canon").alias("holder"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "holder")
         shared = table.join(holders, ["kind", "surrogate"]).where("canon <> holder").select("kind", "canon")
@@ -197,8 +213,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         again = saved(shared.union(real).distinct().withColumn("again", F.lit(1)), "collisions")
         if not again.limit(1).count():
             return table
-        tried = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again", "surrogate")
-        table = saved(tried.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "surrogates")
+        tried = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
+        drawn = F.when(F.col("again") == 1, surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))).otherwise(F.col("surrogate"))
+        old, table = table, saved(tried.select("kind", "canon", "attempt", drawn.alias("surrogate")), "surrogates")
+        dropped(old)
+        dropped(again)
 
 
 def replace(df: DataFrame, key: str, text: str = "text", count: str = "n_entities") -> DataFrame:
@@ -218,10 +237,12 @@ def replace(df: DataFrame, key: str, text: str = "text", count: str = "n_entitie
     spelled = saved(spots.select("match").distinct().withColumn("kind", kind).where("kind is not null").withColumn("canon", canonical(F.col("kind"), F.col("match"))), "spellings")
     drawn = surrogates(spelled.select("kind", "canon").distinct(), key)
     new = spelled.join(drawn, ["kind", "canon"]).select("match", laid_out(F.col("kind"), F.col("match"), F.col("surrogate")).alias("new"))
-    placed = spots.join(new, "match", "left").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("new", "match").alias("new")))).alias("spots"), F.count("new").alias(count))
-    placed = saved(placed.select("of", F.col("spots.new").alias("__new"), count), "replacements")
-    changed = rows.where(has).withColumn("of", F.sha2(F.col(text), 256)).join(placed, "of")
+    placed = spots.join(new, "match", "left").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("new", "match").alias("new")))).alias("spots"), F.count("new").alias("count"))
+    # The columns of the rows keep their names, whatever these are.
+    of, to, n = (unused(rows, c) for c in ("of", "new", "n"))
+    placed = saved(placed.select(F.col("of").alias(of), F.col("spots.new").alias(to), F.col("count").alias(n)), "replacements")
+    changed = rows.where(has).withColumn(of, F.sha2(F.col(text), 256)).join(placed, of)
     parts = F.split(F.col(text), ANY, -1)
-    joined = F.array_join(F.zip_with(parts, F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = changed.select(*[joined.alias(c) if c == text else F.col(c) for c in keep], F.col(count))
+    joined = F.array_join(F.zip_with(parts, F.col(to), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = changed.select(*[joined.alias(c) if c == text else F.col(c) for c in keep], F.col(n).alias(count))
     return rows.where(~has).withColumn(count, F.lit(0).cast("long")).unionByName(changed)
