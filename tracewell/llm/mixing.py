@@ -15,11 +15,13 @@ Nothing but sums crosses the driver; rows meet per (source, bucket).
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WORD, saved
+from tracewell.llm.common import WORD, dropped, saved
 
 #: Fixed weights that sources take in turn.
 WEIGHTS = (5, 2, 1)
@@ -96,30 +98,39 @@ def balance(measured: DataFrame, goals: DataFrame, cap: float = 3.0, tolerance:
         moved = state.join(sums, "k", "left").select(
             "k", "source_size", "n_docs", "target", "scale", F.when(done, F.col("lam")).when(inside, step).otherwise(wide).alias("lam"), low.alias("low"), high.alias("high"), done.alias("done")
         )
-        state = saved(moved, "multipliers")
+        old, state = state, saved(moved, "multipliers")
+        dropped(old)
         if not state.where("not done").limit(1).count():
             break
+    else:
+        warnings.warn(f"some multipliers were still moving after {most_steps} steps", stacklevel=2)
     return state.select("k", "source_size", "n_docs", "target", "scale", "lam")
 
 
 def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Copies of a bucket's documents: the floor of the rate or one more, the error in words carried on."""
+    """Copies of a bucket's documents: the floor of the rate or one more, the error in words carried on.
+
+    A row stands for `rows` equal ones; the first `more` of these get one copy more.
+    """
     pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="first")
-    owed, copies = 0.0, []
-    for size, rate in zip(pdf["size"].tolist(), pdf["rate"].tolist(), strict=True):
-        whole = int(rate + 1e-9)
-        owed += (rate - whole) * size
-        more = size > 0 and rate - whole > 1e-9 and owed >= size / 2
-        owed -= more * size
-        copies.append(whole + more)
-    return pdf.assign(copies=pd.array(copies, "int64"), taken=pdf["size"] * copies)
+    owed, copies, extra = 0.0, [], []
+    for size, rate, rows in zip(pdf["size"].tolist(), pdf["rate"].tolist(), pdf["rows"].tolist(), strict=True):
+        whole, more = int(rate + 1e-9), 0
+        if size > 0 and rate - whole > 1e-9:
+            owed += (rate - whole) * size * rows
+            more = min(max(int(owed / size + 0.5), 0), rows)
+            owed -= more * size
+        copies.append(whole)
+        extra.append(more)
+    return pdf.assign(copies=pd.array(copies, "int64"), more=pd.array(extra, "int64"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, rate, copies and taken (copies * size).
 
     Null texts have size 0 and are taken 0 times; null sources are one source, the last.  Rows that
-    repeat an id count each on their own.  No document is taken more than `cap` times.  An
+    repeat an id count each on their own; those of equal id, source and size go through the rounding as one
+    row with their number, however many they are.  No document is taken more than `cap` times.  An
     empty table gives an empty result.  Reruns agree: buckets go by a hash of id and size.
     """
     measured = saved(sizes(docs, doc_id, text, source), "sizes")
@@ -129,10 +140,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0,
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("lam").isNull(), cap).otherwise(F.least(F.lit(cap), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0)))))
     n_buckets = F.ceil(F.col("n_docs") / BUCKET)
     ready = met.select("doc_id", "source", "k", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", "size"), n_buckets).alias("bucket"))
+    ready = ready.groupBy(*ready.columns).agg(F.count("*").alias("rows"))
     kinds = {f.name: f.dataType.simpleString() for f in ready.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ready.columns) + ", copies long, taken long"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ready.columns) + ", copies long, more long"
     out = ready.groupBy("k", "bucket").applyInPandas(rounded, schema)
-    return out.drop("k", "bucket")
+    copies = F.col("copies") + (F.col("row") <= F.col("more")).cast("long")
+    each = out.select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
+    return each.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -141,14 +155,14 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     Rows of equal id, source and size share the copies that the mix takes of them as evenly as can be.
     """
     taken = mix(docs, weights, cap, doc_id, text, source).where("copies > 0")
-    keys = ["__id", "__k", "__size"]
-    copies = taken.groupBy(F.col("doc_id").alias("__id"), source_key(F.col("source")).alias("__k"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__taken"))
+    copies = taken.groupBy(F.col("doc_id").alias("of_id"), source_key(F.col("source")).alias("of_k"), F.col("size").alias("of_size")).agg(F.sum("copies").alias("copies"))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("*", F.col(doc_id).alias("__i"), source_key(F.col(source)).alias("__s"), size.alias("__z"))
-    met = rows.join(copies, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__k")) & (F.col("__z") == F.col("__size")))
-    same = Window.partitionBy(*keys)
-    rank = F.row_number().over(same.orderBy(text))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(doc_id).alias("id"), source_key(F.col(source)).alias("k"), size.alias("size"), F.col(text).alias("text"))
+    met = rows.join(copies, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("k") == F.col("of_k")) & (F.col("size") == F.col("of_size")))
+    same = Window.partitionBy("of_id", "of_k", "of_size")
+    rank = F.row_number().over(same.orderBy("text"))
     n = F.count("*").over(same)
-    own = F.floor(F.col("__copies") / n) + F.when(rank <= F.col("__copies") % n, 1).otherwise(0)
-    shared = met.withColumn("__own", own.cast("int")).where("__own > 0")
-    return shared.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__own"))).alias("__copy")).drop("__copy")
+    own = F.floor(F.col("copies") / n) + F.when(rank <= F.col("copies") % n, 1).otherwise(0)
+    shared = met.withColumn("own", own.cast("int")).where("own > 0")
+    return shared.select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")
