@@ -160,8 +160,11 @@ def convert(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     )
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "record_id", "url", "date")
     firsts = rows.where((F.col("payload_bytes") >= least) & (F.col("own_type") == "response")).groupBy("payload_digest").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
-    joined = rows.join(firsts.drop("n"), "payload_digest", "left")
-    again = F.col("first").isNotNull() & (F.col("payload_bytes") >= least) & (F.col("own_type") == "response") & (F.col("first.record_id") != F.col("record_id"))
+    # Payloads that can't be revisits have keys of their own, so that the many empty ones don't meet in one task.
+    able = (F.col("payload_bytes") >= least) & (F.col("own_type") == "response")
+    firsts = firsts.select(F.col("payload_digest").alias("key"), "first")
+    joined = rows.withColumn("key", F.when(able, F.col("payload_digest")).otherwise(F.col("record_id"))).join(firsts, "key", "left")
+    again = F.col("first").isNotNull() & (F.col("first.record_id") != F.col("record_id"))
     return joined.select(
         "record_id", "date", "url", "ip", "content_type", "payload_start", "payload_bytes", "payload_digest",
         F.when(again, "revisit").otherwise(F.col("own_type")).alias("type"),
