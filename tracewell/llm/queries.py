@@ -87,6 +87,18 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of op2 starts from: every document's size, its source's size and target."""
+    measured = saved(mixing.sizes(table(spark, sf_dir, "documents")), "sizes")
+    return measured.join(mixing.targets(measured), "k").select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op4 and what they reject, without the compression bands."""
+    counts = quality.verdict(quality.measure(table(spark, sf_dir, "documents")))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi_mjpeg": op1_avi_mjpeg,
     "op2_entropy_balancing": op2_entropy_balancing,
@@ -98,10 +110,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_binary_records": op8_binary_records,
     "op9_toxicity": op9_toxicity,
     "op10_probminhash": op10_probminhash,
+    "mixing_targets": mixing_targets,
+    "quality_base_counts": quality_base_counts,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "mixing_targets": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT *, 3 * source_size AS stop, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+        r AS (
+            SELECT 0 AS i, CAST(0 AS DOUBLE) AS share
+            UNION ALL
+            SELECT r.i + 1, coalesce(CAST(sum(source_size) - coalesce(sum(stop) FILTER (weight * share > stop), 0) AS DOUBLE) / sum(weight) FILTER (NOT weight * share > stop), any_value(share)) FROM r, s WHERE r.i < 20 GROUP BY r.i
+        )
+        SELECT doc_id, size, source_size, round(least(weight * (SELECT max(share) FROM r), CAST(stop AS DOUBLE)), 3) AS target FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source
+    """,
+    "quality_base_counts": r"""
+        WITH d AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+        g AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], chr(31)) AS gram FROM d, unnest(range(1, len(ws) - 6)) u(i)),
+        m AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM m, range(0, 8) v(j) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+            coalesce(n_repeat_words, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(ws) AS base_failed
+        FROM d LEFT JOIN c USING (doc_id)
+    """,
     "op3_arc_to_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
