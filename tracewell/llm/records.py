@@ -25,16 +25,18 @@ import struct
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import file_system, slices, write_file
+from tracewell.llm.common import Known, file_system, new_file, slices, spread
+from tracewell.llm.common import pieces as words_of
 
 HEAD = "<IIq"
 #: Fixed values of the frame's checksum: reflected Castagnoli polynomial, mask constant.
@@ -43,9 +45,10 @@ BLOCK = 64
 #: Fixed split pattern of the byte-level vocabulary, its white space spelled out.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-REMEMBERED = 500_000
-#: Marks that are pieces of their own after a word.
-MARKS = ".,;:!?"
+#: Pieces whose ids a Python worker remembers at least.
+REMEMBERED = 300_000
+#: White space that isn't ASCII.
+WIDE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 INDEX = "part int, offset long, length long, doc_id long, n_tokens long"
 
 
@@ -136,8 +139,7 @@ class Pieces:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special = {t.content: self.raw([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split = regex.compile("|".join(f"({regex.escape(t)})" for t in self.special)) if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # ids of " " + what stands between two spaces
+        self.known = Known(None, REMEMBERED)  # ids of pieces, and of words with the white space before them
 
     def raw(self, ids: list[int]) -> bytes:
         """Little-endian, as array() is on the machines that Spark runs on."""
@@ -145,68 +147,70 @@ class Pieces:
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text."""
-        if self.split is not None and "<" in text and self.split.search(text):
+        if self.split is not None and self.split.search(text):
             return [p for part in self.split.split(text) if part for p in ([part] if part in self.special else PIECES.findall(part))]
         return PIECES.findall(text)
 
-    def learn(self, cuts: list[list[str]]) -> None:
-        """Let the library encode all pieces that aren't known."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        known.update(self.special)
-        new = list({p for pieces in cuts for p in pieces if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = self.raw(e.ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts.  Between words that stand one space or one line end apart, every such space or
-        line end begins a piece: the text is cut there first, and what follows is looked up as a
-        whole; a mark after a word is a piece as well."""
-        if len(self.spaced) > REMEMBERED:
-            self.spaced.clear()
-        get = self.spaced.get
-        starts, rests, gaps, new = [], [], [], set()
-        for t in texts:
-            if "  " in t or " \n" in t or t[-1:] == " " or (self.split is not None and "<" in t and self.split.search(t)):
-                starts.append(self.cut(t))
-                rests.append([])
-                gaps.append([])
-                continue
-            if "\n" in t and "\n\n" not in t and "\n " not in t and t[-1] != "\n":
-                t = t.replace("\n", " \n")
-            first, *words = t.split(" ")
-            got = list(map(get, words))
-            gap = []
-            if None in got:
-                for k in [k for k, g in enumerate(got) if g is None]:
-                    w = words[k]
-                    if w[-1:] in MARKS and w[:-1].isalpha():
-                        if (base := get(w[:-1])) is not None and w[-1] in self.known:
-                            got[k] = self.spaced[w] = base + self.known[w[-1]]
-                        else:
-                            gap.append((k, w[:-1], w[-1]))
-                            new.add(w[:-1])
-                    else:
-                        gap.append((k, w, ""))
-                        new.add(w)
-            starts.append(PIECES.findall(first))
-            rests.append(got)
-            gaps.append(gap)
-        fresh = [(w, PIECES.findall(w if w[:1] == "\n" else " " + w)) for w in new]
-        self.learn([p for _, p in fresh] + starts + [list(MARKS)])
-        known = self.known
-        self.spaced.update((w, b"".join(map(known.__getitem__, p))) for w, p in fresh)
-        known[""] = b""
+    def learn(self, fresh: list[str]) -> list[bytes]:
+        """The library's ids of pieces.
+
+        They are sent as one text with a special token between any two: such a token parts what stands before it
+        from what follows, so each piece is encoded by itself.
+        """
+        if not self.special:
+            return [self.raw(e.ids) for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        token, raw = next(iter(self.special.items()))
         out = []
-        for start, got, gap in zip(starts, rests, gaps, strict=True):
-            for k, w, mark in gap:
-                got[k] = self.spaced[w] + known[mark]
-            out.append(b"".join(map(known.__getitem__, start)) + b"".join(got))
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([token.join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            stops = np.flatnonzero(ids == np.frombuffer(raw, ids.dtype)[0]) * self.width
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip([0, *(stops + self.width).tolist()], [*stops.tolist(), len(data)], strict=True)]
+        return out
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words; the library encodes all pieces of theirs that aren't known."""
+        known, before = self.known, self.known.before
+        out = list(map(known.get, words))
+        missing = [k for k, x in enumerate(out) if x is None]
+        new, cuts, made = [], [], {}
+        for k in missing:
+            w = words[k]
+            if (x := before.get(w)) is not None:
+                out[k] = x
+                known.put(w, x)
+            else:
+                cut = self.cut(w.decode())
+                new.append(k)
+                cuts.append(cut)
+                for p in cut:
+                    made[p] = None
+        todo = []
+        for p in made:
+            made[p] = self.special.get(p) or known.peek(p.encode())
+            if made[p] is None:
+                todo.append(p)
+        for p, x in zip(todo, self.learn(todo), strict=True):
+            made[p] = x
+            known.put(p.encode(), x)
+        for k, cut in zip(new, cuts, strict=True):
+            out[k] = made[cut[0]] if len(cut) == 1 else b"".join(map(made.__getitem__, cut))
+            if len(cut) > 1:
+                known.put(words[k], out[k])
         return out
 
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids end.
+
+        The pattern begins a piece wherever white space begins, so a text is cut there and each distinct
+        word, with the white space before it, is encoded once.  White space beyond ASCII can stand next to
+        it and belong to the same run: texts that have it are not cut.
+        """
+        uncut = pc.fill_null(pc.match_substring_regex(column, WIDE), False).to_numpy(zero_copy_only=False)
+        distinct, index, ends = words_of(column, uncut)
+        return spread(self.ids(distinct), f"<u{self.width}", index, ends)
+
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
@@ -218,35 +222,31 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, doc_id: str = "doc
 
     Returns the index.  Null texts are empty (the end id alone), null ids are kept and come first,
     rows with equal ids each get a record, an empty table gives an empty index and no file.
-    Every task holds a few MB of text at a time; a file is streamed out.
+    Every task holds a few MB of text at a time; a file and its index are streamed out.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        part, index, at = TaskContext.get().partitionId(), [], 0
-
-        def chunks():
-            nonlocal at
-            tok = pieces(path)
-            last = tok.raw([end_id])
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    ids = [x + last for x in tok.encode(batch.column("text").to_pylist())]
-                    keys = batch.column("doc_id").to_pylist()
-                    framed = frames([struct.pack(HEAD, tok.width, k is None, k or 0) + x for k, x in zip(keys, ids, strict=True)])
-                    for k, x, f in zip(keys, ids, framed, strict=True):
-                        index.append((part, at, len(f), k, len(x) // tok.width))
-                        at += len(f)
-                    yield b"".join(framed)
-
-        stream = chunks()
-        first = next(stream, None)
+        part, at = TaskContext.get().partitionId(), 0
+        first = next(batches := iter(batches), None)
         if first is None:
             return
-        write_file(f"{folder}/part-{part:05d}.rec", (x for s in ([first], stream) for x in s))
-        for i in range(0, len(index), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index[i : i + 10_000], strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "offset", "length", "doc_id", "n_tokens"])
+        tok = pieces(path)
+        last = tok.raw([end_id])
+        with new_file(f"{folder}/part-{part:05d}.rec") as out:
+            for whole in chain([first], batches):
+                for batch in slices(whole, "text"):
+                    ids, ends = tok.encode(batch.column("text"))
+                    keys = batch.column("doc_id").to_pylist()
+                    data = [struct.pack(HEAD, tok.width, k is None, k or 0) + x.tobytes() + last for k, x in zip(keys, np.split(ids, ends[:-1]), strict=True)]
+                    framed = frames(data)
+                    sizes = np.array([len(f) for f in framed], np.int64)
+                    out.write(b"".join(framed))
+                    offsets = at + np.cumsum(sizes) - sizes
+                    at += int(sizes.sum())
+                    counts = np.diff(ends, prepend=0) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), *map(pa.array, (offsets, sizes)), batch.column("doc_id"), pa.array(counts)], names=["part", "offset", "length", "doc_id", "n_tokens"])
 
     rows.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return rows.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
