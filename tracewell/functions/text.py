@@ -81,10 +81,10 @@ def longest_match(cigar: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """A size for people: 1 byte, 12 bytes, 1.5 KB, 20.0 MB."""
+    """A size for people: 1 byte, 12 bytes, 1.5 KB, 20.0 MB; a half goes to the even digit."""
     out = F.when(size < 1024, F.concat(size.cast("string"), F.when(size == 1, " byte").otherwise(" bytes")))
     for k, unit in enumerate(UNITS, 1):
-        small = F.concat(F.format_string("%.1f", size / float(1024**k)), F.lit(f" {unit}B"))
+        small = F.concat(F.format_string("%.1f", F.bround(size / float(1024**k), 1)), F.lit(f" {unit}B"))
         out = out.otherwise(small) if unit == UNITS[-1] else out.when(size < 1024 ** (k + 1), small)
     return out
 
