@@ -4,7 +4,8 @@ The verdict comes from zstandard.  A document is compressed whole, and in fixed
 CHUNK bytes; ratio = compressed / plain.  Text that compresses too well repeats itself, text that
 hardly compresses is noise.  Short texts compress worse for lack of history, so the limits depend
 on length: each band of byte lengths has its own lowest and highest whole ratio, and one pair of
-limits holds for chunks (a last chunk below half the size is judged with the one before it).
+limits holds for chunks (a last chunk below half the size is judged with the one before it; a text of fewer
+than two chunks has its whole ratio only).
 A document is rejected if its whole ratio leaves its band, or if more than a given share of its
 chunks leave theirs: long boilerplate that varies slowly passes as a whole but not by chunks.
 """
