@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.bpe import Known
-from tracewell.llm.common import saved, slices, texts_of
+from tracewell.llm.common import pieces, saved, slices
 
 PUNCTUATION = b".,;:!?\"'()[]{}|"
 
@@ -42,16 +41,15 @@ class Ftrl:
     passes: int = 3
 
 
-def features(texts: list[bytes], bits: int, known: Known) -> tuple[np.ndarray, np.ndarray]:
+def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed places of all features of all texts, and the text each belongs to (repeats included)."""
-    hashes: list[int] = []
-    ends = []
-    get = known.__getitem__
-    for raw in texts:
-        hashes += map(get, raw.lower().translate(None, PUNCTUATION).split())
-        ends.append(len(hashes))
-    h = np.array(hashes, np.uint64)
-    owner = np.repeat(np.arange(len(texts)), np.diff(np.array(ends, np.int64), prepend=0))
+    distinct, index, ends = pieces(column)
+    bare = [w.lower().translate(None, PUNCTUATION).strip() for w in distinct]
+    filled = np.fromiter(map(bool, bare), bool, len(bare))
+    h = np.fromiter(map(zlib.crc32, bare), np.uint64, len(bare))[index]
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    if not filled.all():
+        h, owner = h[filled[index]], owner[filled[index]]
     shift = np.uint64(64 - bits)
     places, owners = [(h * np.uint64(0x9E3779B97F4A7C15)) >> shift], [owner]
     for gap, factor in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
@@ -63,10 +61,6 @@ def features(texts: list[bytes], bits: int, known: Known) -> tuple[np.ndarray, n
     return np.concatenate(places).astype(np.int64), np.concatenate(owners)
 
 
-def word_hashes() -> Known:
-    return Known(zlib.crc32)
-
-
 def weights_of(z: np.ndarray, n: np.ndarray, p: Ftrl) -> np.ndarray:
     """The weights of a state in closed form: zero where |z| stays within L1."""
     return np.where(np.abs(z) <= p.l1, 0.0, (np.sign(z) * p.l1 - z) / ((p.beta + np.sqrt(n)) / p.alpha + p.l2))
@@ -98,28 +92,29 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), doc_id: str = "doc
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("h", "label", "text")
 
     def to_features(batches):
-        known = word_hashes()
         for whole in batches:
-            for batch in slices(whole, "text"):
-                places, owner = features(texts_of(batch.column("text")), p.bits, known)
+            for batch in slices(whole, "text", 1 << 20):
+                places, owner = features(batch.column("text"), p.bits)
                 both = np.unique((owner << p.bits) | places)
                 cuts = np.searchsorted(both >> p.bits, np.arange(1, batch.num_rows))
                 lists = [zlib.compress(np.diff(x, prepend=0).astype(np.int32).tobytes(), 1) for x in np.split(both & ((1 << p.bits) - 1), cuts)]
                 yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), pa.array(lists, pa.binary())], names=["h", "label", "places"])
 
     hashed = saved(rows.mapInArrow(to_features, "h long, label int, places binary").withColumn("shard", F.pmod("h", F.lit(p.shards))), "toxicity-train")
-    state = None  # of places seen: (places, z, n)
+    state = None  # of all places that any shard has seen: (places, z, n)
     for _ in range(p.rounds):
         sent = spark.sparkContext.broadcast(state)
 
         trained = hashed.groupBy("shard").applyInPandas(_shard(sent, p), "place long, z double, n double")
         # The mean over all shards; a shard that never saw a place holds zeros for it.
         mixed = trained.groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-        got = mixed.where(f"abs(z) > {0.05 * p.l1 * p.shards} or place = {1 << p.bits}").toPandas()
-        if got.empty:
+        got = mixed.toArrow()  # at most 2**bits + 1 rows of three numbers
+        if not got.num_rows:
             break
-        got = got.sort_values("place")
-        state = (got["place"].to_numpy(), got["z"].to_numpy() / p.shards, got["n"].to_numpy() / p.shards)
+        places, z, n = (got.column(c).to_numpy() for c in ("place", "z", "n"))
+        order = np.argsort(places)
+        state = (places[order].astype(np.int32), z[order] / p.shards, n[order] / p.shards)
+        sent.destroy()
     if state is None:
         return {"places": np.zeros(0, np.int64), "weights": np.zeros(0), "intercept": np.zeros(1)}
     places, z, n = state
@@ -159,10 +154,10 @@ def score(df: DataFrame, model: dict[str, np.ndarray], p: Ftrl = Ftrl(), text: s
     def run(batches):
         dense = np.zeros(1 << p.bits)
         dense[sent.value["places"]] = sent.value["weights"]
-        intercept, known = float(sent.value["intercept"][0]), word_hashes()
+        intercept = float(sent.value["intercept"][0])
         for whole in batches:
-            for batch in slices(whole, text):
-                places, owner = features(texts_of(batch.column(text)), p.bits, known)
+            for batch in slices(whole, text, 1 << 20):
+                places, owner = features(batch.column(text), p.bits)
                 hit = dense[places] != 0
                 both = np.unique((owner[hit] << p.bits) | places[hit])
                 total = np.bincount(both >> p.bits, dense[both & ((1 << p.bits) - 1)], minlength=batch.num_rows) + intercept
