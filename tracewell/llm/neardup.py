@@ -13,33 +13,47 @@ Links.  Equal texts are taken together first; everything below runs on one row p
 Registers are banded; texts that share a band's key share a bucket.  No bucket is expanded into
 pairs: each member is paired with two leaders of its bucket, the member that meets most others over
 all bands (the text that the other copies come from, in a group of near copies) and the one of
-least id.  The pairs are verified by exact J_P >= `threshold`, and classes are the connected
-components.  Then buckets that hold several classes are looked at again: members meet others drawn
-from their bucket, as long as that joins classes and many pairs are left, and at last all pairs of a
-bucket's members that are of different classes are compared.  Leaders are found by aggregates and
-joined back, and large buckets are dealt into parts, so a bucket of any size is spread over tasks.
+least id, and with two members drawn from it.  Pairs whose registers agree far less than the threshold asks for are left out (see `least`);
+the others are verified by exact J_P >= `threshold`, and classes are the connected components.
+
+What leaders can't tell.  Two texts may be alike although their buckets' leaders are unlike both: a
+passage that many documents share puts them all into a few buckets.  Members of buckets that hold several
+classes are therefore joined once more, by the shingles of their prefixes, and no link between them is lost:
+
+* A text's prefix is its shingles, rarest first, as far as those before them weigh a fifth of it at most.  If a and b
+  are the shares of their weights that two texts have in common, J_P <= 1 / (1/a + 1/b - 1); so a link has a, b
+  >= 0.8, and its rarest common shingle is in both prefixes.
+* What stands before that shingle isn't common.  With h = 1 / (1 - weight before it), a link has h + h' <= 2.25, so
+  one of both has h <= 1.125: only such members look for partners, and pairs beyond the sum are left out.
+
+Members of one class and shingle are packed into lists of about PART, so that a large class is met by
+lists; leaders are found by aggregates and joined back.  No bucket is brought into one task.
+
+Recall.  A pair of J_P = s shares a band with probability 1 - (1 - s^5)^24, 0.99993 at 0.8; the comparison of registers
+loses about one in a million.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.bpe import Known
-from tracewell.llm.common import saved, slices, texts_of
+from tracewell.llm.common import dropped, pieces, saved, slices
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: What the sum of a pair with unequal weights may be below the threshold by rounding and still count.
 ROUNDING = 1e-9
-#: Members of a bucket that meet the rest of it in one task.
+#: Standard deviations that registers may agree below the threshold.
+SPREAD = 5.2
+#: Members of a bucket that all others of it are compared with besides its leaders.
+DRAWN = 2
+#: Members of a class that are packed into one list.
 PART = 64
-#: Pairs a member that all are compared at once; while there are more, classes first grow by drawn pairs.
-FEW = 2
 
 
 @dataclass(frozen=True)
@@ -53,6 +67,12 @@ class NearDup:
     def registers(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least(self) -> int:
+        """Registers in which a pair must agree to be verified."""
+        expected = self.registers * self.threshold
+        return max(0, int(expected - SPREAD * (expected * (1 - self.threshold)) ** 0.5))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit integers (the SplitMix64 finaliser)."""
@@ -61,22 +81,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hash(word: bytes) -> int:
-    return zlib.crc32(word) << 32 | zlib.adler32(word)
-
-
-def shingles(texts: list[bytes], width: int, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text: 64-bit hash, number of occurrences, owner; sorted by owner and hash."""
-    hashes: list[int] = []
-    ends = []
-    get = known.__getitem__
-    for raw in texts:
-        hashes += map(get, raw.split())
-        ends.append(len(hashes))
-    ends = np.array(ends, np.int64)
-    sizes = np.diff(ends, prepend=0)
-    h = mix(np.array(hashes, np.uint64))
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    distinct, index, ends = pieces(column)
+    words = [w.strip() for w in distinct]
+    filled = np.fromiter(map(bool, words), bool, len(words))[index]
+    sizes = np.diff(np.concatenate([[0], np.cumsum(filled)])[ends], prepend=0)
+    ends = np.cumsum(sizes)
+    h = mix(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))[index][filled]
+    owner = np.repeat(np.arange(len(column)), sizes)
     n = max(len(h) - width + 1, 0)
     grams = np.zeros(n, np.uint64)
     for j in range(width):
@@ -155,55 +168,72 @@ def text_key(text) -> F.Column:
 
 
 def banded(df: DataFrame, p: NearDup, doc_id: str, text: str) -> DataFrame:
-    """Of every row: doc_id, the key of its text, and its band keys (none for a text without words)."""
+    """Of every row: doc_id, the key of its text, its band keys and a byte of each register (none for a text without words)."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
-        known = Known(word_hash)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 n = batch.num_rows
-                grams, counts, owners = shingles(texts_of(batch.column("text")), p.words, known)
-                best = signatures(grams, counts, owners, n, p.registers).reshape(n, p.bands, p.rows)
+                grams, counts, owners = shingles(batch.column("text"), p.words)
+                best = signatures(grams, counts, owners, n, p.registers)
+                bytes_ = (best >> np.uint64(56)).astype(np.uint8)
+                best = best.reshape(n, p.bands, p.rows)
                 keys = np.zeros((n, p.bands), np.uint64)
                 for r in range(p.rows):
                     keys = mix(keys * GOLDEN + best[:, :, r])
                 keys = mix(keys + np.arange(1, p.bands + 1, dtype=np.uint64) * GOLDEN)
                 filled = np.isin(np.arange(n), owners)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled * p.bands)]).astype(np.int32)), pa.array(keys[filled].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), bands], names=["doc_id", "id", "bands"])
+                sketch = pa.array([x.tobytes() if f else b"" for x, f in zip(bytes_, filled, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), bands, sketch], names=["doc_id", "id", "bands", "sketch"])
+
+    return rows.mapInArrow(run, "doc_id long, id binary, bands array<long>, sketch binary")
+
+
+def promising(pairs: DataFrame, sketches: DataFrame, p: NearDup) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in as many registers as a link's do."""
+    left = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch")), "a")
+    both = left.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("b_sketch")), "b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, p.registers) for c in ("a_sketch", "b_sketch"))
+            keep = pa.array((x == y).sum(axis=1) >= p.least)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(keep)
 
-    return rows.mapInArrow(run, "doc_id long, id binary, bands array<long>")
+    return both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a binary, b binary")
 
 
 def shapes(df: DataFrame, wanted: DataFrame, p: NearDup, doc_id: str, text: str) -> DataFrame:
-    """id and shingles of the wanted texts (id, least_doc): sorted 32-bit shingle hashes as bytes, each
+    """id and shingles of the wanted texts (id, least_doc): sorted 64-bit shingle hashes as bytes, each
     as often as it occurs.  One row of each text is read; a row without an id stands for texts that have none."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = rows.join(wanted.withColumnRenamed("id", "wanted_id"), (F.col("id") == F.col("wanted_id")) & F.col("doc_id").eqNullSafe(F.col("least_doc")))
     one = own.groupBy("id", "doc_id").agg(F.first("text").alias("text"))
 
     def run(batches):
-        known = Known(word_hash)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                grams, counts, owners = shingles(texts_of(batch.column("text")), p.words, known)
-                small = np.repeat((grams >> np.uint64(32)).astype(np.uint32), counts)
+            for batch in slices(whole, "text", 1 << 20):
+                grams, counts, owners = shingles(batch.column("text"), p.words)
                 ends = np.searchsorted(np.repeat(owners, counts), np.arange(batch.num_rows), "right")
-                made = [np.sort(x).tobytes() for x in np.split(small, ends[:-1])]
+                made = [x.tobytes() for x in np.split(np.repeat(grams, counts), ends[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], names=["id", "shape"])
 
     return one.select("id", "text").mapInArrow(run, "id binary, shape binary")
 
 
 def leaders(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b): every member with the two leaders of its bucket.
+    """Candidate pairs (a, b): every member with the two leaders of its bucket and DRAWN others of it.
 
-    members: bucket, id and degree (how many others the text meets over all its buckets).
+    members: bucket, id and degree (how many others the text meets over all its buckets).  The others are drawn
+    anew in every bucket: in a large group whose members are alike by chance, each meets some that link it.
     """
-    led = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max_by("id", F.struct("degree", F.col("id"))).alias("central")).where("n > 1")
+    drawn = [F.min_by("id", F.xxhash64("id", "bucket", F.lit(i))) for i in range(DRAWN)]
+    chosen = F.array_distinct(F.array(F.min("id"), F.max_by("id", F.struct("degree", F.col("id"))), *drawn))
+    led = members.groupBy("bucket").agg(F.count("*").alias("n"), chosen.alias("chosen")).where("n > 1")
     met = members.join(led, "bucket")
-    pairs = met.select("id", F.explode(F.array_distinct(F.array("least", "central"))).alias("other")).where("id <> other")
+    pairs = met.select("id", F.explode("chosen").alias("other")).where("id <> other")
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -214,32 +244,48 @@ def divided(members: DataFrame, classed: DataFrame) -> DataFrame:
     return named.join(several.select("bucket"), "bucket")
 
 
-def apart(met: DataFrame) -> int:
-    """How many pairs of members of different classes the buckets have."""
-    per_class = met.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    pairs = per_class.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs"))
-    return pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-
-
-def drawn(met: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): of each bucket every member with two members of other classes, drawn anew in each turn."""
-    chosen = [F.min_by(F.struct("id", "class"), F.xxhash64("id", F.lit(2 * turn + i))) for i in range(2)]
-    led = met.groupBy("bucket").agg(F.array(*chosen).alias("chosen"))
-    pairs = met.join(led, "bucket").select("id", "class", F.explode("chosen").alias("other")).where("other.class <> class")
-    return pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+def prefixes(met: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
+    """bucket (a shingle), id, class and h of the prefixes of all members of `met` (bucket, id, class)."""
 
+    def run(batches):
+        for batch in batches:
+            for i, shape in zip(batch.column("id").to_pylist(), batch.column("shape"), strict=True):
+                keys, counts = np.unique(np.frombuffer(shape.as_buffer(), np.int64), return_counts=True)
+                n = len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.binary()), pa.array(keys), pa.array(counts.astype(np.int32)), pa.array(np.full(n, counts.sum(), np.int32))], names=["id", "bucket", "n", "total"])
+
+    own = met.groupBy("id").agg(F.first("class").alias("class"))
+    grams = saved(shown.join(own, "id", "left_semi").select("id", "shape").mapInArrow(run, "id binary, bucket long, n int, total int"), "grams")
+    common = grams.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1")
+    order = Window.partitionBy("id").orderBy("texts", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = grams.join(common, "bucket", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
+    placed = placed.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    near = placed.where((F.col("texts") > 1) & (F.col("before") <= (1 - p.threshold + 1e-6) * F.col("total")))
+    return near.select("bucket", "id", (F.col("total") / (F.col("total") - F.col("before"))).alias("h")).join(own, "id")
+
+
+def meeting(members: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs (a, b) of members (bucket, id, class, h) of a bucket that are of different classes and may be links."""
+    limit = 1 + 1 / p.threshold + 1e-6
+    several = members.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most")
+    dealt = members.join(several.select("bucket", F.ceil(F.col("n") / PART).alias("parts")), "bucket")
+    lists = dealt.groupBy("bucket", "class", F.pmod(F.hash("id"), "parts").alias("part")).agg(F.collect_list(F.struct("id", "h")).alias("of"), F.min("h").alias("least"))
+    lists = saved(lists, "lists")
+    one = lists.where(F.col("least") <= limit / 2).select("bucket", F.col("class").alias("a_class"), F.col("of.id").alias("a"), F.col("of.h").alias("a_h"), F.col("least").alias("a_least"))
+    other = lists.select("bucket", F.col("class").alias("b_class"), F.col("of.id").alias("b"), F.col("of.h").alias("b_h"), F.col("least").alias("b_least"))
 
-def across(met: DataFrame) -> DataFrame:
-    """Pairs (a, b): all members of a bucket that are of different classes.
+    def run(batches):
+        for batch in batches:
+            left, right = [], []
+            for a, x, b, y in zip(*[batch.column(c).to_pylist() for c in ("a", "a_h", "b", "b_h")], strict=True):
+                x, y = np.array(x)[:, None], np.array(y)[None, :]
+                for i, j in zip(*np.nonzero((x <= limit / 2) & (x + y <= limit)), strict=True):
+                    left.append(min(a[i], b[j]))
+                    right.append(max(a[i], b[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    A bucket is dealt into parts of about PART members, each of which meets the whole bucket, so that no
-    bucket is joined in one task.
-    """
-    parts = met.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = met.join(parts, "bucket")
-    one = dealt.select("bucket", F.col("id").alias("a"), F.col("class").alias("a_class"), F.pmod(F.hash("id"), "parts").alias("part"))
-    other = dealt.select("bucket", F.col("id").alias("b"), F.col("class").alias("b_class"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return one.join(other, ["bucket", "part"]).where("a < b and a_class <> b_class").select("a", "b").distinct()
+    met = one.join(other, "bucket").where((F.col("a_class") != F.col("b_class")) & (F.col("a_least") + F.col("b_least") <= limit))
+    return met.select("a", "a_h", "b", "b_h").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def verify(pairs: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
@@ -251,7 +297,7 @@ def verify(pairs: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
         for batch in batches:
             out = []
             for a, b in zip(batch.column("a_shape"), batch.column("b_shape"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 out.append(probability_jaccard(*np.unique(x, return_counts=True), *np.unique(y, return_counts=True)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
@@ -270,54 +316,39 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("class").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("class", "other").alias("step"), F.col("class").alias("before"))
         jump = step.join(labels.select(F.col("id").alias("step"), F.col("class").alias("jump")), "step")
-        new = saved(jump.select("id", F.least("step", "jump").alias("class"), "before"), "labels")
-        moved = new.where("class <> before").limit(1).count()
-        labels = new.select("id", "class")
-        if not moved:
+        old, new = labels, saved(jump.select("id", F.least("step", "jump").alias("class"), "before"), "labels")
+        dropped(old)
+        labels = new
+        if not new.where("class <> before").limit(1).count():
             break
-    return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("class", "id").alias("class"))
+    return nodes.select("id").join(labels.select("id", "class"), "id", "left").select("id", F.coalesce("class", "id").alias("class"))
 
 
 def classed_texts(df: DataFrame, p: NearDup, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """All rows as doc_id and id (the key of the text), and of every distinct text: id, least_doc,
-    n_copies, class and n_links."""
+    n_copies and class."""
     keyed = saved(banded(df, p, doc_id, text), "banded")
-    texts = saved(keyed.groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "texts")
+    first = [F.first(c).alias(c) for c in ("bands", "sketch")]
+    texts = saved(keyed.groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"), *first), "texts")
+    sketches = texts.select("id", "sketch")
     found = texts.select("id", F.explode("bands").alias("bucket"))
     sizes = found.groupBy("bucket").agg((F.count("*") - 1).alias("others")).where("others > 0")
     met = saved(found.join(sizes, "bucket"), "buckets")
     degree = met.groupBy("id").agg(F.sum("others").alias("degree"))
-    members = saved(met.select("bucket", "id").join(degree, "id"), "members")
-    pairs = saved(leaders(members), "pairs")
-    in_pairs = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
-    shown = saved(shapes(df, texts.select("id", "least_doc").join(in_pairs, "id", "left_semi"), p, doc_id, text), "shapes")
+    members = met.select("bucket", "id")
+    pairs = saved(promising(leaders(members.join(degree, "id")), sketches, p), "pairs")
+    shown = saved(shapes(df, texts.select("id", "least_doc").join(degree.select("id"), "id", "left_semi"), p, doc_id, text), "shapes")
     links = saved(verify(pairs, shown, p), "verified")
     classed = saved(components(texts, links), "classes")
-    tried, verified, turn = pairs, links, 0
-    # Every member of these buckets had a pair in the first round, so its shape is at hand.
-    while True:
-        met = saved(divided(members, classed), "divided")
-        last = apart(met) <= FEW * members.count()
-        more = saved((across(met) if last else drawn(met, turn)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        got = saved(verify(more, shown, p), "verified")
-        found = got.limit(1).count() > 0
-        tried, verified, turn = tried.union(more), verified.union(got), turn + 1
-        if found:
-            classed = saved(components(texts, verified), "classes")
-        if last:
-            break
-        if not found:  # Drawing has nothing more to give: all that are left are compared.
-            more = saved(across(met).join(tried, ["a", "b"], "left_anti"), "pairs")
-            verified = verified.union(saved(verify(more, shown, p), "verified"))
-            classed = saved(components(texts, verified), "classes")
-            break
-    linked = verified.select(F.col("a").alias("id")).union(verified.select(F.col("b"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = texts.select("id", "least_doc", "n_copies").join(classed, "id").join(linked, "id", "left")
-    return keyed.select("doc_id", "id"), named.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    rest = meeting(prefixes(saved(divided(members, classed), "divided"), shown, p), p).join(pairs, ["a", "b"], "left_anti")
+    more = saved(verify(saved(promising(rest, sketches, p), "pairs"), shown, p), "verified")
+    if not more.isEmpty():
+        classed = saved(components(texts, links.union(more)), "classes")
+    return keyed.select("doc_id", "id"), texts.select("id", "least_doc", "n_copies").join(classed, "id")
 
 
 def classes(df: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """One row per input row: doc_id, class_id, n_links (verified links of its text), n_copies (rows of equal text).
+    """One row per input row: doc_id, class_id, n_copies (rows of equal text).
 
     class_id is the least doc_id of the class.  Null and empty texts are equal texts; texts without
     words that differ stay apart.  Rows may repeat an id; null ids have class_id null unless their class
@@ -325,7 +356,7 @@ def classes(df: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id", text:
     """
     keyed, named = classed_texts(df, p, doc_id, text)
     least = named.groupBy("class").agg(F.min("least_doc").alias("class_id"))
-    return keyed.join(named.join(least, "class").select("id", "class_id", "n_links", "n_copies"), "id").select("doc_id", "class_id", "n_links", "n_copies")
+    return keyed.join(named.join(least, "class").select("id", "class_id", "n_copies"), "id").select("doc_id", "class_id", "n_copies")
 
 
 def keep_one(df: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
@@ -333,7 +364,7 @@ def keep_one(df: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id", text
     rows one.  All columns stay."""
     _, named = classed_texts(df, p, doc_id, text)
     first = F.min(F.struct(F.col("least_doc").isNull().alias("no_id"), "least_doc", "id"))
-    kept = named.groupBy("class").agg(first.alias("first")).select(F.col("first.least_doc").alias("__doc"), F.col("first.id").alias("__of"))
-    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(doc_id).cast("long").alias("__id"), text_key(F.col(text)).alias("__key"))
-    own = rows.join(kept, (F.col("__key") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__doc")))
-    return own.groupBy("__key", "__id").agg(F.first("__row").alias("__row")).select("__row.*")
+    kept = named.groupBy("class").agg(first.alias("first")).select(F.col("first.least_doc").alias("doc"), F.col("first.id").alias("of"))
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("key"))
+    own = rows.join(kept, (F.col("key") == F.col("of")) & F.col("id").eqNullSafe(F.col("doc")))
+    return own.groupBy("key", "id").agg(F.first("row").alias("row")).select("row.*")
