@@ -12,7 +12,8 @@ first among equals).
 Decoding.  The bytes of all tokens lie in one buffer; ids select ranges of it through an
 offset table.
 
-Both run as mapInArrow over the rows; nothing is shuffled and every text is encoded whole.
+Both run as mapInArrow over the rows; nothing is shuffled and every text is encoded whole: tokens never
+cross white space, so each distinct word of a batch is encoded once and its ids are put at all its places.
 """
 
 from __future__ import annotations
@@ -28,14 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracewell.llm.common import slices
+from tracewell.llm.common import Known, pieces, slices, spread
 
 #: Unicode white space as the tokenizer's pattern engine has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Fixed pattern of the word vocabulary, with its white space spelled out.
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-#: Words whose ids a Python worker remembers at once.
-REMEMBERED = 300_000
+#: Words, or pairs of tokens, that a Python worker remembers at least.
+REMEMBERED, PAIRS = 150_000, 50_000
 END = "\0"
 
 
@@ -60,7 +59,7 @@ class BacktrackingBpe:
             if whole is not None and left in vocab and right in vocab:
                 self.rank.setdefault((vocab[left], vocab[right]), rank)
                 self.parts.setdefault(whole, (rank, vocab[left], vocab[right]))
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible = Known(lambda pair: not self._crossed(*pair), PAIRS)  # the pair table, filled as pairs occur
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             if i not in self.parts or self._stands(i):
@@ -94,15 +93,6 @@ class BacktrackingBpe:
                     return True
         return False
 
-    def fits(self, left: int, right: int) -> bool:
-        """The pair-compatibility table, filled as pairs occur (at most half of REMEMBERED pairs are held)."""
-        known = self.compatible.get((left, right))
-        if known is None:
-            if len(self.compatible) > REMEMBERED // 2:
-                self.compatible.clear()
-            known = self.compatible[left, right] = not self._crossed(left, right)
-        return known
-
     def encode(self, word: str) -> list[int]:
         """Ids of one word, which is given in byte letters."""
         text = word + END if self.suffix else word
@@ -117,7 +107,7 @@ class BacktrackingBpe:
             found = starts[at]
             while k >= 0:
                 i, length = found[k]
-                if not dead[at + length] and (not taken or self.fits(taken[-1][0], i)):
+                if not dead[at + length] and (not taken or self.compatible[taken[-1][0], i]):
                     break
                 k -= 1
             if k >= 0:
@@ -141,26 +131,27 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        try:
+            pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        except (KeyError, TypeError):
+            raise ValueError(f"{path} isn't a word-level file: it has no pattern of words") from None
+        self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.model = BacktrackingBpe(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.letters = byte_letters()
         self.split = regex.compile("|".join(f"({regex.escape(t)})" for t in self.special)) if self.special else None
-        self.known = Known(lambda w: np.array(self.model.encode("".join([self.letters[b] for b in w.encode()])), np.int32).tobytes())
-        by_id = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
-        tokens = [by_id.get(i, "").encode() + b" " for i in range(max(by_id) + 1)]
-        self.buffer = np.frombuffer(b"".join(tokens), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+        self.known = Known(lambda w: np.array(self.model.encode("".join([self.letters[b] for b in w.encode()])), np.int32).tobytes(), REMEMBERED)
 
     def words(self, text: str) -> list[str]:
         if not text.isascii():
             text = text if is_normalized("NFC", text) else normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower case letter by letter: no final form
-        return WORDS.findall(text.lower())
+        return self.pattern.findall(text.lower())
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        get = self.known.__getitem__
-        if self.split is None or "<" not in text or not self.split.search(text):
+    def one(self, piece: bytes) -> bytes:
+        """Ids of a piece of text as little-endian 32-bit integers."""
+        text, get = piece.decode(), self.known.__getitem__
+        if self.split is None or not self.split.search(text):
             return b"".join(map(get, self.words(text)))
         out = []
         for part in self.split.split(text):
@@ -170,6 +161,23 @@ class WordTokenizer:
                 out += map(get, self.words(part))
         return b"".join(out)
 
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids end."""
+        distinct, index, ends = pieces(column)
+        return spread([self.one(w) for w in distinct], np.int32, index, ends)
+
+
+class OffsetTable:
+    """The tokens of a word-level file in one buffer; ids select ranges of it."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        by_id = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        tokens = [by_id.get(i, "").encode() + b" " for i in range(max(by_id) + 1)]
+        self.buffer = np.frombuffer(b"".join(tokens), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts one after the other, and where each ends; `ends`: where each text's ids end.
 
@@ -186,48 +194,49 @@ class WordTokenizer:
         return data[keep], text_ends - np.cumsum(full)
 
 
-class Known(dict):
-    """What `make` gives for each key; forgotten all at once when there are too many."""
-
-    def __init__(self, make, most: int = REMEMBERED):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker."""
     return WordTokenizer(path)
 
 
+@lru_cache(maxsize=1)
+def offset_table(path: str) -> OffsetTable:
+    return OffsetTable(path)
+
+
 def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*[f for f in schema.fields if f.name != name], T.StructField(name, kind, True)])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def _text(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A string column from the bytes of all texts and where each ends."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """Add the ids of every text as array<int> in column `out` (which replaces one of that name).
 
     `path` names the vocabulary file, which every worker must have.  Null and empty texts give an
-    empty array; texts of any length are encoded whole.  `keep` lists the columns that stay (all).
+    empty array; texts of any length are encoded whole.  `keep` lists the columns that stay (all).  With
+    `decoded` the ids are turned back in the same pass, and the text they give is added in a column of that name.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c != out]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (out, decoded)]
     rows = df.select(*dict.fromkeys([*keep, text]))
     schema = _with(rows.select(*keep).schema, out, T.ArrayType(T.IntegerType(), True))
+    if decoded:
+        schema = _with(schema, decoded, T.StringType())
 
     def run(batches):
-        tok = tokenizer(path)
+        tok, table = tokenizer(path), offset_table(path) if decoded else None
         for whole in batches:
             for batch in slices(whole, text, 1 << 20):
-                made = [tok.encode(t or "") for t in batch.column(text).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), np.int32)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], names=[*keep, out])
+                flat, ends = tok.encode(batch.column(text))
+                made = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))]
+                if decoded:
+                    made.append(_text(*table.decode(flat, ends)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -250,15 +259,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     schema = _with(df.schema, out, T.StringType())
 
     def run(batches):
-        tok = tokenizer(path)
+        table = offset_table(path)
         for whole in batches:
             for batch in _id_slices(whole, ids):
                 lists = batch.column(ids)
                 sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, ends = tok.decode(flat, np.cumsum(sizes).astype(np.int64))
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                text = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], text], names=[*keep, out])
+                data, ends = table.decode(flat, np.cumsum(sizes).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], _text(data, ends)], names=[*keep, out])
 
     return df.mapInArrow(run, schema)

@@ -57,8 +57,7 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text with the word vocabulary."""
     path = vocabulary("word_bpe_49k.json")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
-    both = bpe.decode(ids, path)
+    both = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"], decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
