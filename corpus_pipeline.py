@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and the digest of the text that the ids decode to."""
     path = vocabulary("word_bpe_49k.json")
-    both = bpe.decode(bpe.encode(docs, path, keep=["doc_id", "source"]), path)
+    both = bpe.encode(docs, path, keep=["doc_id", "source"], decoded="decoded")
     return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
