@@ -20,6 +20,7 @@ records in any order through it.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -136,6 +137,11 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or cut.get("type") != "ByteLevel" or cut["add_prefix_space"] or not cut.get("use_regex", True):
+            raise ValueError(f"{path} isn't a byte-level file that cuts texts by PIECES")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special = {t.content: self.raw([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split = regex.compile("|".join(f"({regex.escape(t)})" for t in self.special)) if self.special else None
