@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, lm, media, mixing, neardup, pii, quality, records, toxicity, warc
+from tracewell.llm import bpe, clustering, lexical, lm, media, mixing, neardup, pii, quality, records, sharding, toxicity, warc
 from tracewell.llm.common import fold, saved, shared_dir, table
 
 
@@ -86,6 +86,27 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of 16 centroids over all vectors, and the assignment to where these end."""
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that score highest for each item, of all documents."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard among 40, its slot there, and its shard among 41."""
+    placed = sharding.shards(table(spark, sf_dir, "documents"), sharding.layout(40))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def hash_tree_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op13 does without the checksum of the texts, which SQL can't express."""
+    return op13_hash_tree(spark, sf_dir).drop("text_crc32")
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of op2 starts from: every document's size, its source's size and target."""
     measured = saved(mixing.sizes(table(spark, sf_dir, "documents")), "sizes")
@@ -109,12 +130,77 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_binary_records": op8_binary_records,
     "op9_toxicity": op9_toxicity,
     "op10_probminhash": op10_probminhash,
+    "op11_annulus": op11_annulus,
+    "op12_bucket_search": op12_bucket_search,
+    "op13_hash_tree": op13_hash_tree,
+    "hash_tree_placement": hash_tree_placement,
     "mixing_targets": mixing_targets,
     "quality_base_counts": quality_base_counts,
 }
 
+#: Vectors, first centroids and rounds of op11 in SQL; an array is a list of 64-bit integers.
+_NEAREST = """
+    SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT p.vec_id, p.v, k.c, list_sum(list_transform(list_zip(p.v, k.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM p, {centroids} k
+    ) GROUP BY vec_id, v"""
+_MEANS = """
+    SELECT k.c, coalesce(m.v, k.v) AS v FROM {centroids} k LEFT JOIN (
+        SELECT c, list(s ORDER BY i) AS v FROM (
+            SELECT c, i, CAST((sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS s FROM {assigned}, range(1, 65) t(i) GROUP BY c, i
+        ) GROUP BY c
+    ) m USING (c)"""
+ANNULUS_SQL = f"""
+    WITH p AS MATERIALIZED (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    ),
+    k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM p ORDER BY sha256('1:' || vec_id) LIMIT 16),
+    a0 AS MATERIALIZED ({_NEAREST.format(centroids="k0")}),
+    k1 AS MATERIALIZED ({_MEANS.format(centroids="k0", assigned="a0")}),
+    a1 AS MATERIALIZED ({_NEAREST.format(centroids="k1")}),
+    k2 AS MATERIALIZED ({_MEANS.format(centroids="k1", assigned="a1")}),
+    a2 AS MATERIALIZED ({_NEAREST.format(centroids="k2")}),
+    k3 AS MATERIALIZED ({_MEANS.format(centroids="k2", assigned="a2")}),
+    a3 AS MATERIALIZED ({_NEAREST.format(centroids="k3")})
+    SELECT a3.vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(k3.v, ',')) AS centroid_sha256
+    FROM a3 JOIN k3 USING (c)
+"""
+
+
+def _draws(level: int, leaves: list[sharding.Leaf]) -> str:
+    """SQL of the winner among the children of one node, as sharding.shard_of draws it."""
+    names: dict[tuple[int, str], list[sharding.Leaf]] = {}
+    for leaf in leaves:
+        names.setdefault((leaf.layer, leaf.path[level]), []).append(leaf)
+    below = [_draws(level + 1, own) if level < 2 else str(own[0].shard) for own in names.values()]
+    if len(below) == 1:
+        return below[0]
+    draws = ", ".join(f"-ln((CAST('0x' || substr(md5(k || '|{name}|{layer}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / {sum(x.weight for x in own)}" for (layer, name), own in names.items())
+    cases = " ".join(f"WHEN {i} THEN {one}" for i, one in enumerate(below, 1))
+    return f"(CASE list_position([{draws}], list_min([{draws}])) {cases} END)"
+
+
+HASH_TREE_SQL = f"""
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+    FROM (SELECT *, {_draws(0, list(sharding.layout(40)))} AS shard, {_draws(0, list(sharding.grown(sharding.layout(40))))} AS grown_shard FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents))
+"""
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op11_annulus": ANNULUS_SQL,
+    "hash_tree_placement": HASH_TREE_SQL,
+    "op12_bucket_search": r"""
+        WITH d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents) GROUP BY ALL),
+        n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM d GROUP BY doc_id),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+        m AS (SELECT doc_id, 50 + (50 * n * docs) // total AS m FROM n, s),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM d, s GROUP BY term),
+        r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN d USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50
+    """,
     "mixing_targets": r"""
         WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
         s AS (SELECT *, 3 * source_size AS stop, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
