@@ -373,14 +373,19 @@ def plain_hex(*parts):
     return hashlib.sha256(f"{seed}\n0".encode()).digest() + hashlib.sha256(f"{seed}\n1".encode()).digest()
 
 
-def plain_surrogate(key, kind, canon):
-    """The first surrogate of an address, a number or a Latin name, in plain Python."""
-    h = plain_hex(key, kind, canon, "0")
-    digits = lambda n: "".join(str(h[i % 64] % 10) for i in range(max(n, 1)))
+def plain_surrogate(key, kind, canon, attempt=0):
+    """The surrogate of an address, a number or a Latin name, in plain Python (the first of its domain or surname)."""
+    h = plain_hex(key, kind, canon, str(attempt))
+    drawn = lambda h, n: "".join(str(h[i % 64] % 10) for i in range(max(n, 1)))
+    digits = lambda n: drawn(h, n)
     if kind == "email":
         local, domain = canon.split("@")
-        host = "".join(chr(ord("g") + int(c)) if c.isdigit() else c for c in plain_hex(key, "domain", domain).hex()[:10])
-        return "".join(str(h[i % 64] % 10) if c.isdigit() else chr(97 + h[i % 64] % 26) if c.isalpha() else c for i, c in enumerate(local)) + f"@{host}.example"
+        host = "".join(chr(ord("g") + int(c)) if c.isdigit() else c for c in plain_hex(key, "domain", domain, "0").hex()[:10])
+        more = drawn(plain_hex(key, "more", canon, str(attempt)), attempt) if attempt else ""
+        return "".join(str(h[i % 64] % 10) if c.isdigit() else chr(97 + h[i % 64] % 26) if c.isalpha() else c for i, c in enumerate(local)) + f"{more}@{host}.example"
+    if kind == "phone":
+        plus = re.match(r"(\+1)?", canon)[0]
+        return f"{plus}{2 + h[60] % 8}{digits(len(canon) - len(plus) - 1)}"
     if kind == "ip":
         return f"{10 if canon.startswith('10.') else 240 + h[0] % 15}.{h[1]}.{h[2]}.{1 + h[3] % 254}"
     if kind == "ssn":
@@ -390,18 +395,51 @@ def plain_surrogate(key, kind, canon):
         total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate((body + "0")[::-1]))
         return body + str((10 - total % 10) % 10)
     gender, full = canon.split(":")
-    s = plain_hex(key, "surname", full.split(" ")[-1])
+    s = plain_hex(key, "surname", full.split(" ")[-1], "0")
     syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
     surname = "".join(syllables[s[i] % 70] for i in range(4)).capitalize()
-    return f"{pii.GIVEN[gender, 'latin'][h[0] % 16]} {surname}" if " " in full else surname
+    more = "".join(syllables[h[1 + i] % 70] for i in range(attempt)).capitalize() + " " if attempt else ""
+    return f"{pii.GIVEN[gender, 'latin'][h[0] % 16]} {more}{surname}" if " " in full else more + surname
 
 
 def test_surrogates_equal_a_plain_version(spark):
     entities = [("email", f"user{i}.x@host{i % 3}.org") for i in range(30)] + [("ip", f"10.1.2.{i}") for i in range(30)] + [("ip", f"9.8.7.{i}") for i in range(30)]
     entities += [("ssn", f"{i:09d}") for i in range(100, 130)] + [("card", f"4{i:015d}") for i in range(30)] + [("name", f"{g}:anna{i} smith{i}") for i in range(10) for g in "fmn"] + [("name", "f:lee")]
+    entities += [("name", f"f:x{i} lee") for i in range(60)] + [("email", f"{c}@one.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("phone", f"{p}132555{i:04d}") for i in range(20) for p in ("", "+1")]
     got = {(r.kind, r.canon): (r.attempt, r.surrogate) for r in pii.surrogates(spark.createDataFrame(entities, "kind string, canon string"), "key").collect()}
-    assert len(got) == len(entities) and sum(a == 0 for a, _ in got.values()) > len(got) - 10
-    assert all(s == plain_surrogate("key", *e) for e, (a, s) in got.items() if a == 0)
+    assert len(got) == len(entities) and sum(a > 0 for a, _ in got.values()) > 20
+    assert all(s == plain_surrogate("key", *e, a) for e, (a, s) in got.items())
+    assert len({(k, s) for (k, _), (_, s) in got.items()}) == len(got)
+
+
+def test_one_letter_mailboxes_end(spark):
+    letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0xE0, 0x300), *range(0x1E00, 0x1F00)) if chr(c).isalpha() and chr(c) == chr(c).lower()][:420]
+    got = pii.surrogates(spark.createDataFrame([("email", f"{c}@x.org") for c in letters], "kind string, canon string"), "k").collect()
+    assert len(letters) == 420 == len({r.surrogate for r in got}) and max(r.attempt for r in got) < 8
+
+
+def test_surnames_and_domains_stay_distinct(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "be", "bi", "bo", "da", "de", "di", "do"])  # 4,096 surnames at first
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    names = spark.createDataFrame([("name", f"f:ann {word(i)}") for i in range(3000)] + [("email", f"a@{word(i)}.org") for i in range(20_000)], "kind string, canon string")
+    got = pii.surrogates(names, "k").collect()
+    assert len({r.surrogate.split()[-1] for r in got if r.kind == "name"}) == 3000
+    assert len({r.surrogate.split("@")[1] for r in got if r.kind == "email"}) == 20_000
+
+
+def test_a_full_space_of_numbers_is_an_error(spark, monkeypatch):
+    few = spark.createDataFrame([("ip", f"10.0.0.{i}") for i in range(1, 200)], "kind string, canon string")
+    assert pii.surrogates(few, "k").count() == 199
+    monkeypatch.setattr(pii, "FORMS", 100_000)
+    with pytest.raises(ValueError, match="too many"):
+        pii.surrogates(few, "k")
+
+
+def test_gender_of_a_name_without_one(spark):
+    rows = ["Ms Jane Smith", "Dr Jane Smith", "Mr Kim Lee", "Ms Kim Lee", "Prof Kim Lee", "Dr Lee Ray"]
+    got = [r.text.split(" ", 1)[1] for r in pii.replace(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+    assert got[0] == got[1] and got[0].split()[0] in pii.GIVEN["f", "latin"]
+    assert len(set(got[2:5])) == 3 and len({x.split()[-1] for x in got[2:5]}) == 1 and len(set(got)) == 5
 
 
 def test_surrogates_leave_rows_and_clean_texts(spark, edge, none, texts):

@@ -6,20 +6,23 @@ an issuer's prefix: other long numbers stay.  Each entity is reduced to a canoni
 without separators, lower case), so that its spellings are one entity wherever they occur, and the
 distinct entities of the whole corpus get surrogates from a keyed SHA-256:
 
-* e-mail: letters by letters of the same script, digits by digits; one surrogate domain per domain.  A
-  local part has 64 characters at most and a domain 127 labels, as the rules of addresses have it; what
-  is beyond is plain text
+* e-mail: letters by letters of the same script, digits by digits, and one digit more each time it is drawn
+  again; one surrogate domain per domain.  A local part has 64 characters at most and a domain 127 labels, as the
+  rules of addresses have it; what is beyond is plain text
 * IPv4: an address of the reserved block 240/4, of 10/8 for private ones
 * phone: country code and layout stay; card: issuer digit, layout and a valid check digit stay
 * name: only after a form of address (a rule set: names without one are not found); a given name of the
   same gender (by the form of address) and script (from lists for Latin, Cyrillic, Greek and Armenian;
   letters of the script for others), one more syllable each time it is drawn again, and a surname that is
-  the same for all who share the surname
-
-Surrogates that two entities of a type share, or that occur in the corpus themselves, are drawn
-again with the next attempt until none is left, so distinct entities stay distinct.  The texts
-are then cut at the matches and put together again.  Equal texts share their replacements, so a text
-that many rows repeat is worked out once.
+  the same for all who share the surname.  A name that has a gender by one form of address keeps it where
+  the form has none (Ms Jane Smith is Dr Jane Smith); with both genders about, the three are three people
+
+Domains and surnames are entities of their own, drawn first, so two of them never become one.  Surrogates that
+two entities of a type share, or that occur in the corpus themselves, are drawn again with the next attempt until
+none is left.  Words have more forms with each attempt.  Numbers can't: where the distinct entities of one layout
+(say private IPv4 addresses) are more than a quarter of its forms, `surrogates` raises ValueError; below that, at
+least every second draw succeeds.  The texts are then cut at the matches and put together again.  Equal texts share
+their replacements, so a text that many rows repeat is worked out once.
 """
 
 from __future__ import annotations
@@ -68,6 +71,13 @@ LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежз
 SYLLABLES = {"latin": [a + b for a in "bdfgklmnprstvz" for b in "aeiou"], "cyrillic": [a + b for a in "бвгдзклмнпрст" for b in "аеиоу"], "greek": [a + b for a in "βγδζθκλμνπρτφχ" for b in "αειου"], "armenian": [a + b for a in "բգդզլխկհմնպռստ" for b in "աեիոէ"]}
 
 
+#: Private IPv4 addresses; a phone number's country code.
+PRIVATE = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
+PLUS = r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))"
+#: Forms that a layout of numbers must have for each entity of it: as many may be real, and half stay free.
+FORMS = 4
+
+
 def _hex(*parts) -> Column:
     """128 hex digits that the key and the parts give."""
     seed = F.concat_ws("\n", *parts)
@@ -149,37 +159,54 @@ def _redrawn(text: Column, h: Column) -> Column:
     return F.array_join(F.transform(_chars(text), one), "")
 
 
-def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate of an entity, in canonical form."""
+def _script(text: Column) -> Column:
+    """The script of a word, if it is one with lists."""
+    script = F.lit(None).cast("string")
+    for block in ("IsCyrillic", "IsGreek", "IsArmenian", "IsLatin"):
+        script = F.when(script.isNull() & text.rlike(rf"\p{{{block}}}"), block[2:].lower()).otherwise(script)
+    return script
+
+
+def _syllables(script: str, h: Column, start: Column, n: Column) -> Column:
+    """n syllables of a script, drawn from the bytes of h behind `start`; none for n = 0."""
+    return F.array_join(F.transform(F.slice(F.sequence(F.lit(0), n), 2, n), lambda i: _pick(SYLLABLES[script], _byte(h, start + i - 1))), "")
+
+
+def part_surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    """The surrogate of a domain or a surname, in lower case; longer by one sign or syllable each time it is drawn again."""
     h = _hex(F.lit(key), kind, canon, attempt.cast("string"))
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    host = F.translate(F.substring(_hex(F.lit(key), F.lit("domain"), domain), 1, 10), "0123456789", "ghijklmnop")
-    # A local part that is drawn again also gets a digit, as short ones have few forms.
-    email = F.concat(_redrawn(local, h), F.when(attempt > 0, (attempt % 10).cast("string")).otherwise(""), F.lit("@"), host, F.lit(".example"))
-    private = canon.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)")
-    ip = F.concat_ws(".", F.when(private, F.lit("10")).otherwise((240 + _byte(h, 0) % 15).cast("string")), *[_byte(h, i).cast("string") for i in (1, 2)], (1 + _byte(h, 3) % 254).cast("string"))
+    host = F.translate(F.substring(h, F.lit(1), 10 + attempt), "0123456789", "ghijklmnop")
+    script = _script(canon)
+    # Scripts without lists: letters by letters, and one more for each attempt; letters that stand alone get Latin ones at last.
+    own = F.concat(_redrawn(canon, h), _redrawn(F.repeat(F.substring(canon, 1, 1), attempt), h), _syllables("latin", h, F.lit(0), F.greatest(attempt - 4, F.lit(0))))
+    for name in SYLLABLES:
+        own = F.when(script == name, _syllables(name, h, F.lit(0), 4 + attempt)).otherwise(own)
+    return F.when(kind == "domain", F.concat(host, F.lit(".example"))).otherwise(own)
+
+
+def surrogate(key: str, kind: Column, canon: Column, part: Column, attempt: Column) -> Column:
+    """The surrogate of an entity, in canonical form.  part: that of its domain or surname."""
+    h = _hex(F.lit(key), kind, canon, attempt.cast("string"))
+    again = F.when(attempt > 0, _drawn_digits(_hex(F.lit(key), F.lit("more"), canon, attempt.cast("string")), attempt)).otherwise("")
+    email = F.concat(_redrawn(F.substring_index(canon, "@", 1), h), again, F.lit("@"), part)
+    ip = F.concat_ws(".", F.when(canon.rlike(PRIVATE), F.lit("10")).otherwise((240 + _byte(h, 0) % 15).cast("string")), *[_byte(h, i).cast("string") for i in (1, 2)], (1 + _byte(h, 3) % 254).cast("string"))
     body = F.concat(F.substring(canon, 1, 1), _drawn_digits(h, F.length(canon) - 2))
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.concat(body, check.cast("string"))
-    plus = F.regexp_extract(canon, r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))", 1)
+    plus = F.regexp_extract(canon, PLUS, 1)
     phone = F.concat(plus, (2 + _byte(h, 60) % 8).cast("string"), _drawn_digits(h, F.length(canon) - F.length(plus) - 1))
     ssn = F.concat(F.lit("9"), _drawn_digits(h, F.lit(8)))
     gender, full = F.substring(canon, 1, 1), F.substring_index(canon, ":", -1)
-    surname = F.substring_index(full, " ", -1)
-    script = F.lit(None).cast("string")
-    for block in ("IsCyrillic", "IsGreek", "IsArmenian", "IsLatin"):
-        script = F.when(script.isNull() & full.rlike(rf"\p{{{block}}}"), block[2:].lower()).otherwise(script)
-    s = _hex(F.lit(key), F.lit("surname"), surname)
-    # Scripts without lists: letters by letters, and one more for each attempt.
-    own, first, more = _redrawn(surname, s), _redrawn(F.substring_index(full, " ", 1), h), _redrawn(F.repeat(F.substring(surname, 1, 1), F.greatest(attempt, F.lit(1))), h)
+    script, surname = _script(full), F.substring_index(full, " ", -1)
+    first = _redrawn(F.substring_index(full, " ", 1), h)
+    more = F.concat(_redrawn(F.repeat(F.substring(surname, 1, 1), attempt), h), _syllables("latin", h, F.lit(1), F.greatest(attempt - 4, F.lit(0))))
     for name in SYLLABLES:
-        own = F.when(script == name, F.concat(*[_pick(SYLLABLES[name], _byte(s, i)) for i in range(4)])).otherwise(own)
         # As many syllables as attempts, so that any number of people can share a surname.
-        more = F.when(script == name, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: _pick(SYLLABLES[name], _byte(h, i))), "")).otherwise(more)  # noqa: B023
+        more = F.when(script == name, _syllables(name, h, F.lit(1), attempt)).otherwise(more)
         for g in "fmn":
             first = F.when((script == name) & (gender == g), _pick(GIVEN[g, name], _byte(h, 0))).otherwise(first)
     more = F.when(attempt > 0, F.concat(more, F.lit(" "))).otherwise("")
-    name = F.initcap(F.when(full.contains(" "), F.concat(first, F.lit(" "), more, own)).otherwise(F.concat(more, own)))
+    name = F.initcap(F.when(full.contains(" "), F.concat(first, F.lit(" "), more, part)).otherwise(F.concat(more, part)))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(name)
 
 
@@ -198,12 +225,27 @@ def laid_out(kind: Column, match: Column, drawn: Column) -> Column:
     return F.when(kind.isin("card", "ssn", "phone"), walk).when(kind == "name", named).when(kind == "email", upper).otherwise(drawn)
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon, attempt and surrogate of distinct entities (kind, canon), none shared, none real.
+def crowded(entities: DataFrame) -> None:
+    """Raise ValueError if entities (kind, canon) of one layout are too many for the forms that it has."""
+    kind, canon = F.col("kind"), F.col("canon")
+    plus = F.length(F.regexp_extract(canon, PLUS, 1))
+    layout = F.when(kind == "ip", canon.rlike(PRIVATE).cast("string")).when(kind == "card", F.concat(F.substring(canon, 1, 1), F.length(canon).cast("string")))
+    layout = layout.when(kind == "phone", F.concat(F.substring(canon, F.lit(1), plus), F.length(canon).cast("string"))).otherwise("")
+    forms = F.when(kind == "ip", F.when(canon.rlike(PRIVATE), 254.0 * 2**16).otherwise(15 * 254.0 * 2**16)).when(kind == "card", F.pow(F.lit(10.0), F.length(canon) - 2))
+    forms = forms.when(kind == "phone", 8 * F.pow(F.lit(10.0), F.length(canon) - plus - 1)).otherwise(1e8)
+    full = entities.where(kind.isin("ip", "card", "ssn", "phone")).groupBy("kind", layout.alias("layout")).agg(F.count("*").alias("n"), F.min(forms).alias("forms")).where(FORMS * F.col("n") > F.col("forms")).take(1)
+    if full:
+        raise ValueError(f"{full[0]['n']} distinct entities of type {full[0]['kind']} (layout {full[0]['layout']!r}) are too many for surrogates of {full[0]['forms']:.0f} forms")
+
+
+def distinct(entities: DataFrame, make) -> DataFrame:
+    """kind, canon, attempt and surrogate of distinct entities (kind, canon, part), none shared, none real.
 
-    Of those that share one, that of least canonical form keeps it; the others are drawn again.
+    make(kind, canon, part, attempt) draws.  Of those that share one, that of least canonical form keeps it; the others
+    are drawn again.
     """
-    table = saved(entities.select("kind", "canon", F.lit(0).alias("attempt")).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "surrogates")
+    draw = make(F.col("kind"), F.col("canon"), F.col("part"), F.col("attempt"))
+    table = saved(entities.select("kind", "canon", "part", F.lit(0).alias("attempt")).withColumn("surrogate", draw), "surrogates")
     while True:
         bare = F.when(F.col("kind") == "name", F.expr("substring(canon, 3)")).otherwise(F.col("canon"))
         shown = F.when(F.col("kind") == "name", F.lower("surrogate")).otherwise(F.col("surrogate"))
@@ -212,14 +254,33 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         real = table.select("kind", "canon", shown.alias("form")).join(table.select("kind", bare.alias("form")).distinct(), ["kind", "form"], "left_semi").select("kind", "canon")
         again = saved(shared.union(real).distinct().withColumn("again", F.lit(1)), "collisions")
         if not again.limit(1).count():
-            return table
+            dropped(again)
+            return table.select("kind", "canon", "attempt", "surrogate")
         tried = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-        drawn = F.when(F.col("again") == 1, surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))).otherwise(F.col("surrogate"))
-        old, table = table, saved(tried.select("kind", "canon", "attempt", drawn.alias("surrogate")), "surrogates")
+        old, table = table, saved(tried.select("kind", "canon", "part", "attempt", F.when(F.col("again") == 1, draw).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
         dropped(old)
         dropped(again)
 
 
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """kind, canon, attempt and surrogate of distinct entities (kind, canon): first of their domains and surnames,
+    then of themselves."""
+    kind, canon = F.col("kind"), F.col("canon")
+    crowded(entities)
+    own = entities.select("kind", "canon", F.when(kind == "email", "domain").when(kind == "name", "surname").alias("part_kind"), F.when(kind == "email", F.substring_index(canon, "@", -1)).when(kind == "name", F.substring_index(F.expr("substring(canon, 3)"), " ", -1)).alias("part_canon"))
+    parts = own.where("part_kind is not null").select(F.col("part_kind").alias("kind"), F.col("part_canon").alias("canon"), F.lit("").alias("part")).distinct()
+    drawn = distinct(parts, lambda kind, canon, _, attempt: part_surrogate(key, kind, canon, attempt)).select(F.col("kind").alias("part_kind"), F.col("canon").alias("part_canon"), F.col("surrogate").alias("part"))
+    return distinct(own.join(drawn, ["part_kind", "part_canon"], "left"), lambda *columns: surrogate(key, *columns))
+
+
+def one_gender(spelled: DataFrame) -> DataFrame:
+    """Spellings (match, kind, canon) in which a name without a gender has the one that it has elsewhere, if that is one."""
+    bare, neutral = F.expr("substring(canon, 3)"), (F.col("kind") == "name") & F.col("canon").startswith("n:")
+    told = spelled.where((F.col("kind") == "name") & ~neutral).groupBy(bare.alias("canon")).agg(F.min(F.substring("canon", 1, 1)).alias("least"), F.max(F.substring("canon", 1, 1)).alias("most"))
+    told = told.where("least = most").select(F.concat(F.lit("n:"), F.col("canon")).alias("canon"), F.concat("least", F.lit(":"), F.col("canon")).alias("told"), F.lit("name").alias("kind"))
+    return spelled.join(told, ["kind", "canon"], "left").select("match", "kind", F.coalesce("told", "canon").alias("canon"))
+
+
 def replace(df: DataFrame, key: str, text: str = "text", count: str = "n_entities") -> DataFrame:
     """df with its texts' entities replaced, and the number of entities replaced in column `count`.
 
@@ -235,6 +296,7 @@ def replace(df: DataFrame, key: str, text: str = "text", count: str = "n_entitie
     spots = hits.select("of", F.posexplode("matches").alias("at", "match"))
     kind = kind_of(F.col("match"))
     spelled = saved(spots.select("match").distinct().withColumn("kind", kind).where("kind is not null").withColumn("canon", canonical(F.col("kind"), F.col("match"))), "spellings")
+    spelled = one_gender(spelled)
     drawn = surrogates(spelled.select("kind", "canon").distinct(), key)
     new = spelled.join(drawn, ["kind", "canon"]).select("match", laid_out(F.col("kind"), F.col("match"), F.col("surrogate")).alias("new"))
     placed = spots.join(new, "match", "left").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("new", "match").alias("new")))).alias("spots"), F.count("new").alias("count"))
