@@ -728,16 +728,39 @@ def test_prefixes_lose_no_link(spark):
         shapes.append({k: n * scale for k, n in own.items()})
     pack = lambda s: (np.array(sorted(s), np.uint64), np.array([s[k] for k in sorted(s)]))
     raw = lambda s: np.repeat(*pack(s)).tobytes()
+    bits = lambda s: np.packbits(np.isin(np.arange(neardup.MAP), [hash((k,)) % neardup.MAP for k in s])).tobytes()
     ids = [bytes([i]) * 16 for i in range(len(shapes))]
-    shown = spark.createDataFrame([(i, raw(s)) for i, s in zip(ids, shapes, strict=True)], "id binary, shape binary")
+    shown = spark.createDataFrame([(i, raw(s), bits(s)) for i, s in zip(ids, shapes, strict=True)], "id binary, shape binary, map binary")
     met = spark.createDataFrame([(1, i, ids[k // 2]) for k, i in enumerate(ids)], "bucket long, id binary, class binary")
     got = {(bytes(r.a), bytes(r.b)) for r in neardup.meeting(neardup.prefixes(met, shown, neardup.NearDup()), neardup.NearDup()).collect()}
     links = {(ids[i], ids[j]) for i, j in itertools.combinations(range(len(ids)), 2) if i // 2 != j // 2 and neardup.probability_jaccard(*pack(shapes[i]), *pack(shapes[j])) >= 0.8}
-    assert len(links) > 50 and links <= got and len(got) < len(ids) * (len(ids) - 1) / 2 * 0.75
+    assert len(links) > 50 and links <= got and len(got) < len(ids) * (len(ids) - 1) / 2 * 0.6
+    full = shown.withColumn("map", F.lit(b"\xff" * (neardup.MAP // 8)))  # maps that tell nothing
+    more = {(bytes(r.a), bytes(r.b)) for r in neardup.meeting(neardup.prefixes(met, full, neardup.NearDup()), neardup.NearDup()).collect()}
+    assert got < more and len(more) < len(ids) * (len(ids) - 1) / 2 * 0.75
+
+
+def test_recall_of_every_twentieth_document(spark):
+    """Rows with ids divisible by 20 against all rows: every link of exact J_P >= 0.8 is within one class."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    classes = {r.doc_id: r.class_id for r in neardup.classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    sets, holders = {}, collections.defaultdict(set)
+    for i, t in docs.items():
+        keys, counts, _ = neardup.shingles(pa.array([t]), 5)
+        sets[i] = (keys, counts)
+        for k in keys.tolist():
+            holders[k].add(i)
+    links = [(i, j) for i in docs if i % 20 == 0 for j in {j for k in sets[i][0].tolist() for j in holders[k]} - {i} if neardup.probability_jaccard(*sets[i], *sets[j]) >= 0.8 - neardup.ROUNDING]
+    found = sum(classes[i] == classes[j] for i, j in links)
+    assert len(links) >= 5 and found == len(links)
 
 
 def test_near_duplicates_edges(spark, edge, none):
-    got = sorted(((r.doc_id or 0), r.class_id, r.n_copies) for r in neardup.classes(edge).collect())
+    found = neardup.classes(edge).collect()
+    assert {r.n_links for r in found} == {0}
+    named = neardup.classes(edge.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))).collect()
+    assert sorted((r.doc_id or "", r.class_id) for r in named) == sorted((f"d{r.doc_id}" if r.doc_id is not None else "", f"d{r.class_id}" if r.class_id is not None else None) for r in found)
+    got = sorted(((r.doc_id or 0), r.class_id, r.n_copies) for r in found)
     assert got == [(0, None, 1), (1, 1, 3), (2, 2, 2), (3, 2, 2), (4, 4, 1), (5, 1, 3), (5, 1, 3), (6, 6, 1), (7, 7, 1)]
     assert neardup.classes(none).count() == 0
     assert sorted((r.doc_id or 0) for r in neardup.keep_one(edge).collect()) == [0, 1, 2, 4, 6, 7]

@@ -25,6 +25,10 @@ classes are therefore joined once more, by the shingles of their prefixes, and n
   >= 0.8, and its rarest common shingle is in both prefixes.
 * What stands before that shingle isn't common.  With h = 1 / (1 - weight before it), a link has h + h' <= 2.25, so
   one of both has h <= 1.125: only such members look for partners, and pairs beyond the sum are left out.
+* The same bound holds for all that isn't common.  Every member carries a map of MAP bits in which each of its shingles
+  sets one.  A bit that only a's map has stands for at least one shingle that b hasn't, so the bits tell how much isn't
+  common at least; pairs that the bound then rules out are left out before anything is made of them.  In a large
+  group of copies around 0.75 this is nearly all.  Maps of very long texts are full and rule out nothing.
 
 Members of one class and shingle are packed into lists of about PART, so that a large class is met by
 lists; leaders are found by aggregates and joined back.  No bucket is brought into one task.
@@ -39,6 +43,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +59,8 @@ SPREAD = 5.2
 DRAWN = 2
 #: Members of a class that are packed into one list.
 PART = 64
+#: Bits of a text's map; a power of two.
+MAP = 4096
 
 
 @dataclass(frozen=True)
@@ -169,7 +176,7 @@ def text_key(text) -> F.Column:
 
 def banded(df: DataFrame, p: NearDup, doc_id: str, text: str) -> DataFrame:
     """Of every row: doc_id, the key of its text, its band keys and a byte of each register (none for a text without words)."""
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
         for whole in batches:
@@ -188,7 +195,7 @@ def banded(df: DataFrame, p: NearDup, doc_id: str, text: str) -> DataFrame:
                 sketch = pa.array([x.tobytes() if f else b"" for x, f in zip(bytes_, filled, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), bands, sketch], names=["doc_id", "id", "bands", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, id binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, id binary, bands array<long>, sketch binary")
 
 
 def promising(pairs: DataFrame, sketches: DataFrame, p: NearDup) -> DataFrame:
@@ -206,9 +213,10 @@ def promising(pairs: DataFrame, sketches: DataFrame, p: NearDup) -> DataFrame:
 
 
 def shapes(df: DataFrame, wanted: DataFrame, p: NearDup, doc_id: str, text: str) -> DataFrame:
-    """id and shingles of the wanted texts (id, least_doc): sorted 64-bit shingle hashes as bytes, each
-    as often as it occurs.  One row of each text is read; a row without an id stands for texts that have none."""
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """id, shape and map of the wanted texts (id, least_doc): sorted 64-bit shingle hashes as bytes, each
+    as often as it occurs, and the bits that they set.  One row of each text is read; a row without an id stands for texts
+    that have none."""
+    rows = df.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = rows.join(wanted.withColumnRenamed("id", "wanted_id"), (F.col("id") == F.col("wanted_id")) & F.col("doc_id").eqNullSafe(F.col("least_doc")))
     one = own.groupBy("id", "doc_id").agg(F.first("text").alias("text"))
 
@@ -218,9 +226,12 @@ def shapes(df: DataFrame, wanted: DataFrame, p: NearDup, doc_id: str, text: str)
                 grams, counts, owners = shingles(batch.column("text"), p.words)
                 ends = np.searchsorted(np.repeat(owners, counts), np.arange(batch.num_rows), "right")
                 made = [x.tobytes() for x in np.split(np.repeat(grams, counts), ends[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], names=["id", "shape"])
+                bits = np.zeros((batch.num_rows, MAP), bool)
+                bits[owners, (grams >> np.uint64(40)) % np.uint64(MAP)] = True
+                maps = [x.tobytes() for x in np.packbits(bits, axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary()), pa.array(maps, pa.binary())], names=["id", "shape", "map"])
 
-    return one.select("id", "text").mapInArrow(run, "id binary, shape binary")
+    return one.select("id", "text").mapInArrow(run, "id binary, shape binary, map binary")
 
 
 def leaders(members: DataFrame) -> DataFrame:
@@ -245,47 +256,69 @@ def divided(members: DataFrame, classed: DataFrame) -> DataFrame:
 
 
 def prefixes(met: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
-    """bucket (a shingle), id, class and h of the prefixes of all members of `met` (bucket, id, class)."""
+    """bucket (a shingle), id, class, h, units (weight in multiples of that of the lightest shingle) and map of the prefixes of all members of `met` (bucket, id, class)."""
 
     def run(batches):
         for batch in batches:
             for i, shape in zip(batch.column("id").to_pylist(), batch.column("shape"), strict=True):
                 keys, counts = np.unique(np.frombuffer(shape.as_buffer(), np.int64), return_counts=True)
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.binary()), pa.array(keys), pa.array(counts.astype(np.int32)), pa.array(np.full(n, counts.sum(), np.int32))], names=["id", "bucket", "n", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.binary()), pa.array(keys), pa.array(counts.astype(np.int32)), pa.array(np.full(n, counts.sum(), np.int32)), pa.array(np.full(n, counts.sum() / counts.min()))], names=["id", "bucket", "n", "total", "units"])
 
     own = met.groupBy("id").agg(F.first("class").alias("class"))
-    grams = saved(shown.join(own, "id", "left_semi").select("id", "shape").mapInArrow(run, "id binary, bucket long, n int, total int"), "grams")
+    grams = saved(shown.join(own, "id", "left_semi").select("id", "shape").mapInArrow(run, "id binary, bucket long, n int, total int, units double"), "grams")
     common = grams.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1")
     order = Window.partitionBy("id").orderBy("texts", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = grams.join(common, "bucket", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
     placed = placed.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     near = placed.where((F.col("texts") > 1) & (F.col("before") <= (1 - p.threshold + 1e-6) * F.col("total")))
-    return near.select("bucket", "id", (F.col("total") / (F.col("total") - F.col("before"))).alias("h")).join(own, "id")
+    return near.select("bucket", "id", "units", (F.col("total") / (F.col("total") - F.col("before"))).alias("h")).join(own, "id").join(shown.select("id", "map"), "id")
 
 
 def meeting(members: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs (a, b) of members (bucket, id, class, h) of a bucket that are of different classes and may be links."""
+    """Pairs (a, b) of members (bucket, id, class, h, units, map) of a bucket that are of different classes and may be links."""
     limit = 1 + 1 / p.threshold + 1e-6
     several = members.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most")
     dealt = members.join(several.select("bucket", F.ceil(F.col("n") / PART).alias("parts")), "bucket")
-    lists = dealt.groupBy("bucket", "class", F.pmod(F.hash("id"), "parts").alias("part")).agg(F.collect_list(F.struct("id", "h")).alias("of"), F.min("h").alias("least"))
+    own = F.collect_list(F.struct("id", "h", "units", "map"))
+    lists = dealt.groupBy("bucket", "class", F.pmod(F.hash("id"), "parts").alias("part")).agg(own.alias("of"), F.min("h").alias("least"))
     lists = saved(lists, "lists")
-    one = lists.where(F.col("least") <= limit / 2).select("bucket", F.col("class").alias("a_class"), F.col("of.id").alias("a"), F.col("of.h").alias("a_h"), F.col("least").alias("a_least"))
-    other = lists.select("bucket", F.col("class").alias("b_class"), F.col("of.id").alias("b"), F.col("of.h").alias("b_h"), F.col("least").alias("b_least"))
+    one = lists.where(F.col("least") <= limit / 2).select("bucket", F.col("class").alias("a_class"), F.col("of").alias("a"), F.col("least").alias("a_least"))
+    other = lists.select("bucket", F.col("class").alias("b_class"), F.col("of").alias("b"), F.col("least").alias("b_least"))
 
     def run(batches):
         for batch in batches:
             left, right = [], []
-            for a, x, b, y in zip(*[batch.column(c).to_pylist() for c in ("a", "a_h", "b", "b_h")], strict=True):
-                x, y = np.array(x)[:, None], np.array(y)[None, :]
-                for i, j in zip(*np.nonzero((x <= limit / 2) & (x + y <= limit)), strict=True):
-                    left.append(min(a[i], b[j]))
-                    right.append(max(a[i], b[j]))
+            for a, b in zip(listed(batch.column("a")), listed(batch.column("b")), strict=True):
+                x, y = a["h"][:, None], b["h"][None, :]
+                i, j = np.nonzero((x <= limit / 2) & (x + y <= limit))
+                i, j = kept(a, b, i, j, limit)
+                left += [min(a["id"][m], b["id"][n]) for m, n in zip(i, j, strict=True)]
+                right += [max(a["id"][m], b["id"][n]) for m, n in zip(i, j, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
     met = one.join(other, "bucket").where((F.col("a_class") != F.col("b_class")) & (F.col("a_least") + F.col("b_least") <= limit))
-    return met.select("a", "a_h", "b", "b_h").mapInArrow(run, "a binary, b binary").distinct()
+    return met.select("a", "b").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def listed(column: pa.Array):
+    """The members of each row's list: ids, h, units and maps (as 64-bit words)."""
+    flat, ends = column.flatten(), np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    ids = flat.field("id").to_pylist()
+    h, units = flat.field("h").to_numpy(zero_copy_only=False), flat.field("units").to_numpy(zero_copy_only=False)
+    words = np.frombuffer(b"".join(flat.field("map").to_pylist()), np.uint64).reshape(-1, MAP // 64)
+    for a, b in zip([0, *ends], ends, strict=False):
+        yield {"id": ids[a:b], "h": h[a:b], "units": units[a:b], "map": words[a:b]}
+
+
+def kept(a: dict, b: dict, i: np.ndarray, j: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of i-th and j-th members those that the bits of their maps don't rule out."""
+    x, y = a["map"][i], b["map"][j]
+    # Shares of their weights that may be common.
+    s = np.maximum(1 - np.bitwise_count(x & ~y).sum(axis=1) / a["units"][i], 1e-9)
+    t = np.maximum(1 - np.bitwise_count(y & ~x).sum(axis=1) / b["units"][j], 1e-9)
+    near = 1 / s + 1 / t <= limit
+    return i[near], j[near]
 
 
 def verify(pairs: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
@@ -324,9 +357,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").join(labels.select("id", "class"), "id", "left").select("id", F.coalesce("class", "id").alias("class"))
 
 
-def classed_texts(df: DataFrame, p: NearDup, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """All rows as doc_id and id (the key of the text), and of every distinct text: id, least_doc,
-    n_copies and class."""
+def classed_texts(df: DataFrame, p: NearDup, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows as doc_id and id (the key of the text); of every distinct text id, least_doc, n_copies and class; and the
+    verified links (a, b)."""
     keyed = saved(banded(df, p, doc_id, text), "banded")
     first = [F.first(c).alias(c) for c in ("bands", "sketch")]
     texts = saved(keyed.groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"), *first), "texts")
@@ -343,28 +376,32 @@ def classed_texts(df: DataFrame, p: NearDup, doc_id: str, text: str) -> tuple[Da
     rest = meeting(prefixes(saved(divided(members, classed), "divided"), shown, p), p).join(pairs, ["a", "b"], "left_anti")
     more = saved(verify(saved(promising(rest, sketches, p), "pairs"), shown, p), "verified")
     if not more.isEmpty():
-        classed = saved(components(texts, links.union(more)), "classes")
-    return keyed.select("doc_id", "id"), texts.select("id", "least_doc", "n_copies").join(classed, "id")
+        links = links.union(more)
+        classed = saved(components(texts, links), "classes")
+    return keyed.select("doc_id", "id"), texts.select("id", "least_doc", "n_copies").join(classed, "id"), links.select("a", "b")
 
 
 def classes(df: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """One row per input row: doc_id, class_id, n_copies (rows of equal text).
+    """One row per input row: doc_id, class_id, n_copies (rows of equal text) and n_links (verified links of its text to
+    other texts: those that hold the classes together, not all pairs of a class).
 
     class_id is the least doc_id of the class.  Null and empty texts are equal texts; texts without
     words that differ stay apart.  Rows may repeat an id; null ids have class_id null unless their class
-    has an id.  An empty table gives an empty result.
+    has an id.  Ids keep their type.  An empty table gives an empty result.
     """
-    keyed, named = classed_texts(df, p, doc_id, text)
+    keyed, named, links = classed_texts(df, p, doc_id, text)
     least = named.groupBy("class").agg(F.min("least_doc").alias("class_id"))
-    return keyed.join(named.join(least, "class").select("id", "class_id", "n_copies"), "id").select("doc_id", "class_id", "n_copies")
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    told = named.join(least, "class").join(degree, "id", "left").select("id", "class_id", "n_copies", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return keyed.join(told, "id").select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def keep_one(df: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """One row of df for each class: of its texts that with the least doc_id (null last), and of equal
     rows one.  All columns stay."""
-    _, named = classed_texts(df, p, doc_id, text)
+    _, named, _ = classed_texts(df, p, doc_id, text)
     first = F.min(F.struct(F.col("least_doc").isNull().alias("no_id"), "least_doc", "id"))
     kept = named.groupBy("class").agg(first.alias("first")).select(F.col("first.least_doc").alias("doc"), F.col("first.id").alias("of"))
-    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), text_key(F.col(text)).alias("key"))
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"))
     own = rows.join(kept, (F.col("key") == F.col("of")) & F.col("id").eqNullSafe(F.col("doc")))
     return own.groupBy("key", "id").agg(F.first("row").alias("row")).select("row.*")

@@ -82,7 +82,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class and number of links of every document at a similarity of 0.8 on five-word shingles."""
+    """Class, number of copies and of verified links of every document, at a similarity of 0.8 on five-word shingles."""
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
