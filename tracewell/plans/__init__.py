@@ -4,10 +4,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _name in ("catalog_queries", "lineage_queries", "data_queries", "stream_queries", "summary_queries", "filter_queries", "sequence_queries", "registration_queries", "pipeline_queries"):
+for _name in ("catalog_queries", "lineage_queries", "data_queries", "stream_queries", "summary_queries", "filter_queries", "sequence_queries", "registration_queries", "pipeline_queries", "read_queries"):
     _module = import_module(f"tracewell.plans.{_name}")
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
-#: Earlier names of queries, which once had a whole-table and a smaller form.
-for _name in ("kmer_best_match", "nearest_value", "unregistered_files", "missing_file_report", "removal_closure", "rerun_resolution"):
-    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
