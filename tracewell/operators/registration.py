@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.retention import running_total_within
+
 
 def registered(files: DataFrame, content: str = "content", path: str = "path", roots: DataFrame | None = None) -> DataFrame:
     """files with md5, size and, below a known root (name, root), where they lie: root_name and relative path.
@@ -54,48 +58,55 @@ def listed_updates(rows: DataFrame, ids: DataFrame, key: str, **changes: Column)
     return updated(marked, F.col("__in"), **changes).drop("__in").select(*rows.columns)
 
 
-#: Moves that a run's state may make.
-MOVES = {"N": "LX", "L": "RSFX", "R": "SCFX", "S": "CFX"}
+#: Fixed states of a run, and those that may follow each: any active one may fail or be stopped.
+MOVES = {"N": "LFX", "L": "RFX", "R": "SFX", "S": "CFX"}
+
+
+def may_follow(before: Column, after: Column) -> Column:
+    """Whether a run may go from one state to another."""
+    return F.coalesce(F.contains(F.try_element_at(F.create_map(*[F.lit(x) for pair in MOVES.items() for x in pair]), before), after), F.lit(False))
 
 
 def moved(runs: DataFrame, wishes: DataFrame) -> DataFrame:
     """Runs (id, state) after wished states (id, new_state), each of which counts only if it is a move that the
     present state allows; `refused` tells where it wasn't."""
     met = runs.join(wishes, "id", "left")
-    allowed = F.lit(False)
-    for state, to in MOVES.items():
-        allowed = allowed | ((F.col("state") == state) & F.col("new_state").isin(*to))
+    allowed = may_follow(F.col("state"), F.col("new_state"))
     asked = F.col("new_state").isNotNull()
     return met.withColumns({"refused": asked & ~allowed, "state": F.when(asked & allowed, F.col("new_state")).otherwise(F.col("state"))}).drop("new_state")
 
 
 def free_names(wanted: DataFrame, taken: DataFrame, name: str = "name", order: str = "id", sep: str = "_") -> DataFrame:
-    """wanted with `free`: the name itself if nobody has it, else with the first free number behind it.
+    """wanted with `free`: the name itself for the first who wants it if nobody has it, else with the first free
+    number behind it, the others' in their order.
 
-    Several who want one name get numbers in their order.
+    A number isn't free if somebody has or wants that very name, so all names that are given are distinct.  Null names stay
+    null.  Ranks and numbers are counted by ranges of all rows: any number of rows may want one name.
     """
-    own = F.col(name)
-    bare = F.regexp_extract(own, rf"^(.*?)(?:{sep}([0-9]+))?$", 1)
-    number = F.regexp_extract(own, rf"^(.*?)(?:{sep}([0-9]+))?$", 2)
-    whole = taken.select(own.alias(name), F.lit(0).alias("number"))
-    numbered = taken.where(number != "").select(bare.alias(name), number.try_cast("int").alias("number"))
-    used = whole.unionByName(numbered).groupBy(name).agg(F.collect_set("number").alias("used"))
-    nth = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    met = wanted.withColumn("__nth", nth).join(used, name, "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    free = F.element_at(F.array_except(F.sequence(F.lit(0), F.size("used") + F.col("__nth")), "used"), F.col("__nth"))
-    return met.withColumn("free", F.when(free == 0, own).otherwise(F.concat(own, F.lit(sep), free.cast("string")))).drop("__nth", "used")
+    own, step = F.col(name), F.lit(1).cast("long")
+    rows = wanted.where(own.isNotNull())
+    ranked = running_total_within(rows.withColumn("__one", step), name, [F.col(order)], "__one", "__rank").drop("__one")
+    had = taken.where(own.isNotNull()).select(own.alias("__had")).distinct()
+    asked = ranked.join(had, own == F.col("__had"), "left").withColumn("__rank", F.col("__rank") + F.when(F.col("__had").isNotNull(), 1).otherwise(0)).drop("__had")
+    # Numbers that are gone, and how many free ones lie below each.
+    cut = rf"^(.*){re.escape(sep)}([1-9][0-9]{{0,17}})$"
+    gone = had.select(F.col("__had").alias("full")).union(rows.select(own)).distinct()
+    gone = gone.where(F.col("full").rlike(cut)).select(F.regexp_extract("full", cut, 1).alias("base"), F.regexp_extract("full", cut, 2).cast("long").alias("number"))
+    gone = gone.join(rows.select(own.alias("base")).distinct(), "base", "left_semi").withColumn("one", step)
+    gone = running_total_within(gone, "base", [F.col("number")], "one", "below").select("base", (F.col("number") - F.col("below") - 1).alias("at"), F.lit(None).cast("long").alias("rank"), step.alias("gone"))
+    # The m-th free number is m and the gone ones that fewer than m free numbers lie below.
+    places = asked.where("__rank > 0").select(own.alias("base"), F.col("__rank").alias("at"), F.col("__rank").alias("rank"), F.lit(0).cast("long").alias("gone"))
+    counted = running_total_within(gone.union(places), "base", [F.col("at"), F.col("rank").desc_nulls_last()], "gone", "before").where("rank is not null")
+    numbers = counted.select(F.col("base").alias("__base"), F.col("rank").alias("__at"), (F.col("rank") + F.col("before")).alias("__number"))
+    met = asked.join(numbers, (own == F.col("__base")) & (F.col("__rank") == F.col("__at")), "left")
+    given = met.withColumn("free", F.when(F.col("__rank") == 0, own).otherwise(F.concat(own, F.lit(sep), F.col("__number").cast("string"))))
+    return given.select(*wanted.columns, "free").unionByName(wanted.where(own.isNull()).withColumn("free", F.lit(None).cast("string")))
 
 
 def first_free_entry(entries: DataFrame, archive: str, name: str, pattern: str = "pipelines/pipeline{}.json") -> DataFrame:
     """archive and the first numbered entry name, from 1 on, that it doesn't have yet."""
     before, after = pattern.split("{}")
-    number = F.regexp_extract(name, "^" + _literal(before) + "([1-9][0-9]*)" + _literal(after) + "$", 1).try_cast("int")
+    number = F.regexp_extract(name, "^" + re.escape(before) + "([1-9][0-9]*)" + re.escape(after) + "$", 1).try_cast("int")
     used = entries.groupBy(archive).agg(F.collect_set(number).alias("used"))
     n = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), "used"))
     return used.select(archive, F.concat(F.lit(before), n.cast("string"), F.lit(after)).alias("entry"))
-
-
-def _literal(text: str) -> str:
-    import re
-
-    return re.escape(text)

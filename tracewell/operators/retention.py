@@ -25,6 +25,17 @@ def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str,
     return local.join(bases, "__part").withColumn(out, F.col("__base") + F.col("__local")).drop("__part", "__local", "__base")
 
 
+def running_total_within(df: DataFrame, group: str, order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """Add the sum of `value` over the rows of the same group before each row.
+
+    Sums run over ranges of all rows, from which the sum before the group's first row is taken; so a group of any
+    size is spread over tasks.
+    """
+    total = running_total(df, [F.col(group), *order], value, "__all")
+    first = total.groupBy(F.col(group).alias("__group")).agg(F.min("__all").alias("__first"))
+    return total.join(first, F.col(group).eqNullSafe(F.col("__group"))).withColumn(out, F.col("__all") - F.col("__first")).drop("__all", "__group", "__first")
+
+
 def purge_plan(candidates: DataFrame, total: int, start: int, stop: int) -> DataFrame:
     """The candidates (kind, id, age, size) to delete: oldest first while more than `stop` is left.
 

@@ -97,7 +97,7 @@ def listed_update(spark, d):
 
 
 @query(f"""WITH r AS (SELECT id, CASE state WHEN 'C' THEN 'N' ELSE state END s, CASE WHEN id % 4 <> 0 THEN substr('LRSFCX', CAST(id % 6 + 1 AS INTEGER), 1) END w FROM {RUNS})
-    SELECT id, CASE WHEN ok THEN w ELSE s END state, w IS NOT NULL AND NOT ok refused FROM (SELECT *, coalesce((s = 'N' AND w IN ('L', 'X')) OR (s = 'R' AND w IN ('S', 'C', 'F', 'X')), false) ok FROM r)""")
+    SELECT id, CASE WHEN ok THEN w ELSE s END state, w IS NOT NULL AND NOT ok refused FROM (SELECT *, coalesce((s IN ('N', 'L', 'R', 'S') AND w IN ('F', 'X')) OR s || w IN ('NL', 'LR', 'RS', 'SC'), false) ok FROM r)""")
 def state_moves(spark, d):
     """Wished states of runs, granted where the present one allows the move."""
     runs = catalog.runs(spark, d).select("id", F.when(F.col("state") == "C", "N").otherwise(F.col("state")).alias("state"))
@@ -105,12 +105,17 @@ def state_moves(spark, d):
     return registration.moved(runs, wishes)
 
 
-@query("""WITH w AS (SELECT p_partkey id, p_name AS name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) k FROM part), t AS (SELECT DISTINCT p_name AS name, p_size % 9 n FROM part WHERE p_partkey % 7 = 0 AND p_size % 9 <> 4)
-    SELECT id, name, CASE WHEN f = 0 THEN name ELSE name || '_' || f END free FROM (SELECT w.id, w.name, (SELECT list(i ORDER BY i) FROM range(0, 20000) r(i) WHERE i <= 9 + k AND i NOT IN (SELECT n FROM t WHERE t.name = w.name))[k] f FROM w)""")
+@query("""WITH p AS (SELECT p_partkey id, CASE WHEN p_partkey % 11 = 0 THEN p_name || '_' || p_size % 5 ELSE p_name END AS name, p_name || CASE WHEN p_size % 9 > 0 THEN '_' || p_size % 9 ELSE '' END AS other, p_size FROM part),
+    t AS (SELECT DISTINCT other AS name FROM p WHERE id % 7 = 0 AND p_size % 9 <> 4), gone AS (SELECT name FROM t UNION SELECT name FROM p),
+    w AS (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) - 1 + CASE WHEN name IN (SELECT name FROM t) THEN 1 ELSE 0 END AS k FROM p), n AS (SELECT name, max(k) AS most FROM w GROUP BY name),
+    free AS (SELECT name, i, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM n, range(1, most + 20) r(i) WHERE name || '_' || i NOT IN (SELECT name FROM gone))
+    SELECT id, name, CASE WHEN k = 0 THEN name ELSE name || '_' || i END free FROM w LEFT JOIN free USING (name, k)""")
 def free_names(spark, d):
     """A free name for every part: its own, or its own with the first free number."""
-    parts = catalog.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 9).alias("n"))
-    taken = parts.where("id % 7 = 0 and n <> 4").select(F.concat("name", F.when(F.col("n") > 0, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")).alias("name"))
+    numbered = lambda n: F.concat("p_name", F.lit("_"), n.cast("string"))
+    part, n = catalog.read(spark, d, "part"), F.col("p_size") % 9
+    parts = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 11 == 0, numbered(F.col("p_size") % 5)).otherwise(F.col("p_name")).alias("name"))
+    taken = part.where((F.col("p_partkey") % 7 == 0) & (n != 4)).select(F.when(n > 0, numbered(n)).otherwise(F.col("p_name")).alias("name"))
     return registration.free_names(parts.select("id", "name"), taken).select("id", "name", "free")
 
 

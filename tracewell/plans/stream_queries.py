@@ -35,7 +35,7 @@ ORACLE_SQL = {
         UNION ALL SELECT e.key, e.id, e.ts, e.s, e.n, CASE WHEN t >= 1 THEN t - 1 ELSE t END, CASE WHEN t >= 1 THEN 0 ELSE gone + 1 END, t >= 1, gone
         FROM (SELECT key, n + 1 n, gone, tokens, s FROM w) b JOIN e ON e.key = b.key AND e.n = b.n, LATERAL (SELECT least(CAST(2 AS DOUBLE), b.tokens + (e.s - b.s) / 43200) t) x)
         SELECT key, id, ts, suppressed FROM w WHERE passed""",
-    "run_transitions": f"""SELECT id, event, state, before, CASE WHEN before IS NULL THEN state = 'N' WHEN before = 'N' THEN state IN ('L', 'X') WHEN before = 'L' THEN state IN ('R', 'X', 'F') WHEN before = 'R' THEN state IN ('S', 'X', 'F') WHEN before = 'S' THEN state IN ('C', 'F') ELSE false END legal
+    "run_transitions": f"""SELECT id, event, state, before, CASE WHEN before IS NULL THEN state = 'N' WHEN before IN ('N', 'L', 'R', 'S') AND state IN ('F', 'X') THEN true ELSE before || state IN ('NL', 'LR', 'RS', 'SC') END legal
         FROM (SELECT user_id id, event_id AS event, {STATES} state, lag({STATES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)""",
     "tumbling_weeks": "SELECT time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS start, event_type AS key, count(*) n FROM events GROUP BY ALL",
 }

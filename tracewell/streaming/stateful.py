@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewell.operators.registration import may_follow
+
 LIMITED = "key string, id long, ts timestamp, suppressed long"
 BUCKET = "tokens double, last double, suppressed long"
 
@@ -105,15 +107,8 @@ def windowed_counts(rows: DataFrame, late: str = "1 hour", width: str = "7 days"
     return typed.groupBy(F.window("ts", width, startTime=start), "key").agg(F.count("*").alias("n"))
 
 
-#: Fixed states of a run, and those that may follow each.
-FOLLOWS = {"N": "LX", "L": "RXF", "R": "SXF", "S": "CF"}
-
-
 def legal_transitions(changes: DataFrame) -> DataFrame:
     """Changes (id, at, state) in order, with whether each may follow the one before (the first must be N)."""
-    from pyspark.sql import Window
-
     before = F.lag("state").over(Window.partitionBy("id").orderBy("at"))
-    table = F.create_map(*[F.lit(x) for pair in FOLLOWS.items() for x in pair])
-    allowed = F.coalesce(F.try_element_at(table, F.col("before")), F.lit(""))
-    return changes.withColumn("before", before).withColumn("legal", F.when(F.col("before").isNull(), F.col("state") == "N").otherwise(F.contains(allowed, F.col("state"))))
+    rows = changes.withColumn("before", before)
+    return rows.withColumn("legal", F.when(F.col("before").isNull(), F.col("state") == "N").otherwise(may_follow(F.col("before"), F.col("state"))))
