@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell import catalog
 from tracewell.sources import files, remote, sinks
@@ -123,6 +124,67 @@ def test_messages_alike_share_a_bucket(spark):
     assert [got["a", i] for i in range(6)] == want == [got["b", i] for i in range(6)] and got["c", 0] == "disk 22 is full"
 
 
+def plain_buckets(messages, ratio=0.75):
+    from difflib import SequenceMatcher
+
+    buckets, out = [], []
+    for m in messages:
+        b = m if m in buckets else next((b for b in buckets if SequenceMatcher(None, b, m).ratio() >= ratio), None)
+        buckets += [m] if b is None else []
+        out.append(b or m)
+    return out
+
+
+def test_bucket_index_misses_no_message_alike():
+    import random
+
+    random.seed(12)
+    words = ["disk", "node", "full", "lost", "route", "a", "", "xx"]
+    for ratio in (0.6, 0.75, 0.9):
+        messages = [" ".join(random.choices(words, k=random.randint(0, 6))) for _ in range(300)] + ["y" * 250, "y" * 240 + "z", "ab" * 150, "ba" * 149]
+        index = stateful.Buckets(ratio)
+        assert index.place(messages)[0] == plain_buckets(messages, ratio)
+
+
+def test_many_unlike_messages_end(spark):
+    rows = spark.range(100_000).select(F.lit("k").alias("key"), "id", F.timestamp_seconds("id").alias("ts"), F.substring(F.translate(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "=", ""), 1, 30).alias("message"))
+    assert stateful.alike(rows).select("bucket").distinct().count() == 100_000
+
+
+def test_message_buckets_stream_equals_batch(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    said = ["disk 1 is full", "disk 22 is full", "no route to host", "node lost", "no route to hosts", "x", "node n7 lost", "disk 1 is full", "what"]
+    rows = [(k, i, datetime(2024, 1, 1) + timedelta(seconds=i), m) for i, m in enumerate(said * 3) for k in ("a", "b")]
+    df = spark.createDataFrame(rows, "key string, id long, ts timestamp, message string")
+    for k in range(3):
+        df.where(f"id div 9 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    provider, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = stateful.alike_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        assert q.exception() is None
+    finally:
+        spark.conf.set(provider, before)
+    got = {(r.key, r.id): r.bucket for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(r.key, r.id): r.bucket for r in stateful.alike(df).collect()} and len(got) == 54
+    assert [got["a", i] for i in range(27)] == plain_buckets(said * 3)
+
+
+def test_query_of_message_buckets(spark):
+    from tracewell import plans
+
+    by_key = {}
+    for r in plans.QUERIES["message_buckets"](spark, "/root/testdata/sf0.001").collect():
+        by_key.setdefault(r.key, []).append((r.id, r.message, r.bucket))
+    assert len(by_key) > 2
+    for own in by_key.values():
+        own.sort()
+        assert [b for _, _, b in own] == plain_buckets([m for _, m, _ in own])
+
+
 def test_sample_log_appends_each_batch_once(spark, tmp_path):
     write = sinks.sample_log(str(tmp_path / "log"), "t", "node", "free", ["n0", "n1"])
     one = spark.createDataFrame([(1, "n0", 5), (1, "n1", 6)], "t int, node string, free int")

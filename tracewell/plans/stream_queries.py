@@ -27,7 +27,14 @@ def tumbling_weeks(spark, d):
     return stateful.windowed_counts(catalog.jobs(spark, d)).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "key", "n")
 
 
-QUERIES = {f.__name__: f for f in (token_bucket_suppressed, run_transitions, tumbling_weeks)}
+def message_buckets(spark, d):
+    """Log lines of every kind of event, each with the bucket of messages alike that it falls in."""
+    jobs = catalog.read(spark, d, "events")
+    message = F.concat_ws(" ", F.lit("user"), F.col("user_id").cast("string"), F.col("event_type"), F.col("props"), F.round("value", 1).cast("string"), F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1, 12))
+    return stateful.alike(jobs.select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), "ts", message.alias("message"))).drop("ts")
+
+
+QUERIES = {f.__name__: f for f in (token_bucket_suppressed, run_transitions, tumbling_weeks, message_buckets)}
 STATES = "substr('NLRSC', CAST(event_id % 5 + 1 AS INTEGER), 1)"
 ORACLE_SQL = {
     "token_bucket_suppressed": """WITH RECURSIVE e AS (SELECT event_type || '/' || user_id AS key, event_id id, ts, epoch_us(ts) / 1e6 s, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) n FROM events),

@@ -6,12 +6,17 @@ micro-batches, so both give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tracewell.operators.registration import may_follow
 
@@ -73,32 +78,118 @@ def rate_limited_stream(rows: DataFrame, rate: float = 1, per: float = 300, burs
     return typed.groupBy("key").applyInPandasWithState(step, LIMITED, BUCKET, "append", GroupStateTimeout.NoTimeout)
 
 
+class Buckets:
+    """Messages of a logger in the order in which they came up, and an index that finds those alike.
+
+    Alike is a ratio (twice the letters in matching blocks by both lengths) of at least `ratio`.  With M letters in blocks
+    of two messages of T letters together there are at most T - 2M + 1 blocks, so they have at least 3M - 1 - T pairs
+    of neighbouring letters in common.  Only buckets with as many are looked at, oldest first, by lengths and letters
+    before the ratio itself.
+    """
+
+    def __init__(self, ratio: float, messages: Iterable[str] = ()):
+        self.ratio, self.known, self.messages = ratio, {}, []
+        self.lengths, self.holders = array("q"), defaultdict(lambda: (array("q"), array("q")))
+        for message in messages:
+            self.add(message)
+
+    def add(self, message: str) -> None:
+        at = len(self.messages)
+        self.known[message] = at
+        self.messages.append(message)
+        self.lengths.append(len(message))
+        for pair, n in Counter(zip(message, message[1:], strict=False)).items():
+            places, counts = self.holders[pair]
+            places.append(at)
+            counts.append(n)
+
+    def candidates(self, message: str) -> np.ndarray:
+        lengths = np.frombuffer(self.lengths, np.int64)
+        both = lengths + len(message)
+        common = np.zeros(len(lengths), np.int64)
+        for pair, n in Counter(zip(message, message[1:], strict=False)).items():
+            if pair in self.holders:
+                places, counts = (np.frombuffer(x, np.int64) for x in self.holders[pair])
+                common[places] += np.minimum(counts, n)
+        near = (common >= (1.5 * self.ratio - 1) * both - 1 - 1e-9) & (2 * np.minimum(lengths, len(message)) >= self.ratio * both - 1e-9)
+        return np.flatnonzero(near)
+
+    def find(self, message: str) -> str | None:
+        """The message itself if it has a bucket, else the oldest one alike; None if there is none."""
+        if message in self.known or not self.messages:
+            return message if message in self.known else None
+        matcher = SequenceMatcher(None, "", message)
+        for at in self.candidates(message):
+            matcher.set_seq1(self.messages[at])
+            if matcher.quick_ratio() >= self.ratio and matcher.ratio() >= self.ratio:
+                return self.messages[at]
+        return None
+
+    def place(self, messages: Iterable[str]) -> tuple[list[str], list[str]]:
+        """The bucket of each message in turn, and the buckets that are new."""
+        chosen, new = [], []
+        for message in messages:
+            found = self.find(message)
+            if found is None:
+                found = message
+                self.add(message)
+                new.append(message)
+            chosen.append(found)
+        return chosen, new
+
+
+ALIKE = "key string, id long, ts timestamp, message string, bucket string"
+
+
 def alike(rows: DataFrame, ratio: float = 0.75) -> DataFrame:
     """Rows (key, id, ts, message) with `bucket`: the message of the first bucket, in the order in which they were made,
     that is the same or alike by `ratio` of its letters; a message unlike all makes a bucket of its own.
 
-    Each key (a logger) has its buckets; rows stream through in the order of time, and only buckets are held.
+    Each key (a logger) has its buckets, which depend on all its messages before; rows stream through in the order of
+    time, and only buckets are held.  Null messages have no bucket and no key is a key as well.
     """
-    from difflib import SequenceMatcher
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, buckets = None, {}
+        key, buckets = object(), None
         for pdf in frames:
             chosen = []
-            for own, message in zip(pdf["key"], pdf["message"], strict=True):
-                if own != key:
-                    key, buckets = own, {}
-                if message not in buckets:
-                    match = next((b for b in buckets if SequenceMatcher(None, b, message).ratio() >= ratio), None)
-                    if match is None:
-                        buckets[message] = None
-                    chosen.append(message if match is None else match)
-                else:
-                    chosen.append(message)
+            for own, group in pdf.groupby("key", sort=False, dropna=False):
+                own = None if pd.isna(own) else own
+                if buckets is None or own != key:
+                    key, buckets = own, Buckets(ratio)
+                chosen += buckets.place(group["message"])[0]
             yield pdf.assign(bucket=chosen)
 
     typed = rows.select("key", "id", F.col("ts").cast("timestamp").alias("ts"), "message")
-    return typed.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, "key string, id long, ts timestamp, message string, bucket string")
+    told = typed.where("message is not null").repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, ALIKE)
+    return told.unionByName(typed.where("message is null").withColumn("bucket", F.lit(None).cast("string")))
+
+
+class AlikeProcessor(StatefulProcessor):
+    """Keeps each key's buckets as a list in the state store, to which new ones are appended."""
+
+    def __init__(self, ratio: float):
+        self.ratio = ratio
+
+    def init(self, handle) -> None:
+        self.state = handle.getListState("buckets", "message string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(rows).sort_values(["ts", "id"])
+        chosen, new = Buckets(self.ratio, [m for (m,) in self.state.get()]).place(pdf["message"])
+        if new:
+            self.state.appendList([(m,) for m in new])
+        yield pdf.assign(bucket=chosen)[["key", "id", "ts", "message", "bucket"]]
+
+    def close(self) -> None:
+        pass
+
+
+def alike_stream(rows: DataFrame, ratio: float = 0.75) -> DataFrame:
+    """The same over a stream, whose micro-batches must come in the order of time.  The buckets are list state, which
+    needs a state store with column families (RocksDB); rows without a message are left out."""
+    typed = rows.select("key", "id", F.col("ts").cast("timestamp").alias("ts"), "message").where("message is not null")
+    return typed.groupBy("key").transformWithStateInPandas(AlikeProcessor(ratio), ALIKE, "append", "none")
 
 
 def windowed_counts(rows: DataFrame, late: str = "1 hour", width: str = "7 days", start: str = "0 seconds") -> DataFrame:
