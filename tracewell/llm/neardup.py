@@ -340,21 +340,33 @@ def verify(pairs: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id and class (least id of its connected component) of all nodes.
 
-    Minimum labels pass along the links and then jump to the label of the label; each round is a
-    table in the shared folder, and rounds end when nothing changes.
+    Each round every end of a link goes to its least neighbour if that is less than itself, and on to where that went; then
+    the links are rewritten by where their ends went, and those within one place are gone.  At least half of the places
+    go in a round, so the links that are left are few after the first.  Tables of a round are in the shared folder.
     """
-    both = saved(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("class")).withColumnRenamed("a", "id"), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("class").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("class", "other").alias("step"), F.col("class").alias("before"))
-        jump = step.join(labels.select(F.col("id").alias("step"), F.col("class").alias("jump")), "step")
-        old, new = labels, saved(jump.select("id", F.least("step", "jump").alias("class"), "before"), "labels")
+    edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    names = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("class", F.col("id")), "names")
+    while not edges.isEmpty():
+        ends = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+        steps = saved(ends.select(F.col("a").alias("at"), F.least("a", "b").alias("to")), "steps")
+        jumps = saved(steps.join(steps.select(F.col("at").alias("to"), F.col("to").alias("on")), "to").select("at", F.col("on").alias("to")), "jumps")
+        old, names = names, saved(names.join(jumps.withColumnRenamed("at", "class"), "class", "left").select("id", F.coalesce("to", "class").alias("class")), "names")
         dropped(old)
-        labels = new
-        if not new.where("class <> before").limit(1).count():
-            break
-    return nodes.select("id").join(labels.select("id", "class"), "id", "left").select("id", F.coalesce("class", "id").alias("class"))
+        first = edges.join(jumps.select(F.col("at").alias("a"), F.col("to").alias("x")), "a")
+        both = first.join(jumps.select(F.col("at").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        old, edges = edges, saved(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        for table in (old, steps, jumps):
+            dropped(table)
+    dropped(edges)
+    return nodes.select("id").join(names, "id", "left").select("id", F.coalesce("class", "id").alias("class"))
+
+
+def joined_classes(classed: DataFrame, more: DataFrame) -> DataFrame:
+    """Classes (id, class) after more links (a, b): only the classes that these join are looked at."""
+    at = lambda c: classed.select(F.col("id").alias(c), F.col("class").alias(f"{c}_class"))
+    met = saved(more.join(at("a"), "a").join(at("b"), "b").select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).where("a <> b").distinct(), "class-links")
+    renamed = components(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), met).select(F.col("id").alias("class"), F.col("class").alias("new"))
+    return classed.join(renamed, "class", "left").select("id", F.coalesce("new", "class").alias("class"))
 
 
 def classed_texts(df: DataFrame, p: NearDup, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -377,7 +389,7 @@ def classed_texts(df: DataFrame, p: NearDup, doc_id: str, text: str) -> tuple[Da
     more = saved(verify(saved(promising(rest, sketches, p), "pairs"), shown, p), "verified")
     if not more.isEmpty():
         links = links.union(more)
-        classed = saved(components(texts, links), "classes")
+        classed = saved(joined_classes(classed, more), "classes")
     return keyed.select("doc_id", "id"), texts.select("id", "least_doc", "n_copies").join(classed, "id"), links.select("a", "b")
 
 
