@@ -5,12 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import text
+from tracewell.operators import ordered
+
 
 def jobs_with_batch(rows: DataFrame, job: str, is_batch: str, memory: str) -> DataFrame:
     """One row per job id: the job's own start, with the memory of its batch row."""
     return rows.groupBy(job).agg(F.min(F.when(~F.col(is_batch), F.col("ts"))).alias("start"), F.max(F.when(F.col(is_batch), F.col(memory))).alias("memory"))
 
 
+def dump_rows(lines_: DataFrame, fields: dict[str, int]) -> DataFrame:
+    """Columns of a dump without header: each the tab-separated field at its position (from 0), null where a line is too
+    short; other columns of lines_ stay."""
+    parts = F.split("value", "\t", -1)
+    return lines_.select(*[c for c in lines_.columns if c != "value"], *[F.get(parts, F.lit(k)).alias(name) for name, k in fields.items()])
+
+
+#: Fixed positions of the fields of a job dump; start and end are epoch seconds.
+JOB_DUMP = {"JobID": 0, "JobName": 12, "NodeList": 28, "Start": 37, "End": 38}
+
+
+def dumped_jobs(jobs: DataFrame, steps: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Accounting rows (place, JobID, JobName, MaxRSS, NodeList, Start, Elapsed) of a dump's lines: the jobs that began from
+    start to end, with the greatest memory (field 23 of the steps, in K) of their steps, 0 without steps."""
+    used = dump_rows(steps, {"JobID": 0, "rss": 23}).groupBy("JobID").agg(F.max(F.col("rss").try_cast("long")).alias("rss"))
+    rows = dump_rows(jobs, JOB_DUMP).withColumns({c: F.timestamp_seconds(F.col(c).try_cast("long")) for c in ("Start", "End")})
+    rows = rows.where(F.col("Start").between(start, end)).join(used, "JobID", "left")
+    seconds = F.unix_timestamp("End") - F.unix_timestamp("Start")
+    return rows.select("place", "JobID", "JobName", F.concat(F.coalesce("rss", F.lit(0)).cast("string"), F.lit("K")).alias("MaxRSS"), "NodeList", F.date_format("Start", "yyyy-MM-dd'T'HH:mm:ss").alias("Start"), F.concat(F.lit("0:0:"), seconds.cast("string")).alias("Elapsed"))
+
+
+def job_batches(rows: DataFrame, order: list[str], start: Column, end: Column) -> DataFrame:
+    """type, run, start, seconds, memory (MB) and node of each job in accounting rows (JobID, JobName, MaxRSS, NodeList, Start,
+    Elapsed) that are in the order of their source.
+
+    A job row and the rows of the same job that follow it directly are one job: the last job row counts, and the memory
+    is that of the last row, which may be the job's batch row.  Batch rows without their job before them, jobs without a
+    node, without a run in their name or outside of start to end are left out.
+    """
+    is_batch = F.col("JobName") == "batch"
+    named = rows.withColumn("__job", F.when(is_batch, F.regexp_replace("JobID", r"\.batch$", "")).otherwise(F.col("JobID")))
+    numbered = ordered.runs(named, [F.col(c) for c in order], "__job", "__run")
+    at, job = F.struct(*order), ~F.coalesce(is_batch, F.lit(False))
+    latest = lambda c: F.max_by(c, F.when(job, at)).alias(c)
+    jobs = numbered.groupBy("__run").agg(latest("JobName"), latest("NodeList"), latest("Start"), latest("Elapsed"), F.max_by("MaxRSS", at).alias("MaxRSS"), F.count_if(job).alias("__jobs"))
+    named = jobs.where("__jobs > 0").withColumns({"job": job_name(F.col("JobName")), "start": F.try_to_timestamp("Start", F.lit("yyyy-MM-dd'T'HH:mm:ss"))})
+    kept = named.where((F.col("NodeList") != "None assigned") & F.col("start").between(start, end) & (F.col("job.run") != 0))
+    return kept.select(F.col("job.type").alias("type"), F.col("job.run").alias("run"), "start", text.parse_duration(F.col("Elapsed")).alias("seconds"), F.floor(0.5 + text.parse_memory(F.col("MaxRSS"))).alias("memory"), F.col("NodeList").alias("node"))
+
+
 def sessions(rows: DataFrame, actor: str, ts: str, gap_seconds: int) -> DataFrame:
     """Sessions of each actor: a new one after a pause of more than gap seconds."""
     w = Window.partitionBy(actor).orderBy(ts)

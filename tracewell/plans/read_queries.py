@@ -1,4 +1,4 @@
-"""Pairs of aligned reads as queries.
+"""Pairs of aligned reads, and rows in the order of their source, as queries.
 
 The reads are made of lineitem: each order has a template of 96 letters, each of its lines reads 40 of them at a
 place, with a CIGAR, qualities and flags of the line's own.  Orders with an odd number of lines have a read without
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import catalog
-from tracewell.operators import reads, summaries
+from tracewell.operators import ordered, reads, summaries, telemetry
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -138,3 +138,60 @@ def seen_ranges(spark, d):
 def clipped_reads(spark, d):
     """Pairs of reads that reach into the regions of their reference, clipped to these, merged with insertions, counted."""
     return reads.clipped_pairs(sam(spark, d), seen_ranges(spark, d), ORDER)
+
+
+#: Accounting rows made of events: a job row each, and behind two of three its batch row; some jobs come up twice in a row.
+_ACCOUNTING = """accounting AS (
+    SELECT event_id AS at, 0 AS k, CAST(event_id // 2 * 2 + CASE WHEN user_id % 5 = 0 THEN 0 ELSE event_id % 2 END AS VARCHAR) AS JobID, 'r' || user_id || '_' || event_type AS JobName, (event_id * 37 % 9000) || 'K' AS MaxRSS,
+        CASE WHEN event_id % 13 = 0 THEN 'None assigned' ELSE 'node' || event_id % 4 END AS NodeList, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') AS Start, CASE WHEN event_id % 9 = 0 THEN '1-' ELSE '' END || '02:03:' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') AS Elapsed FROM events
+    UNION ALL SELECT event_id, 1, CAST(event_id // 2 * 2 + CASE WHEN user_id % 5 = 0 THEN 0 ELSE event_id % 2 END AS VARCHAR) || '.batch', 'batch', (event_id * 7919 % 5000) || CASE event_id % 2 WHEN 0 THEN 'M' ELSE 'K' END, NULL, NULL, NULL FROM events WHERE event_id % 3 <> 0
+)"""
+
+
+def accounting(spark, d):
+    """at, k and the columns of accounting rows, whose order is that of (at, k)."""
+    e, i = catalog.read(spark, d, "events"), F.col("event_id")
+    job = (F.floor(i / 2) * 2 + F.when(F.col("user_id") % 5 == 0, 0).otherwise(i % 2)).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    elapsed = F.concat(F.when(i % 9 == 0, "1-").otherwise(""), F.lit("02:03:"), F.lpad((i % 60).cast("string"), 2, "0"))
+    jobs = e.select(i.alias("at"), F.lit(0).alias("k"), job.alias("JobID"), text("r", F.col("user_id"), "_", F.col("event_type")).alias("JobName"), text(i * 37 % 9000, "K").alias("MaxRSS"), F.when(i % 13 == 0, "None assigned").otherwise(text("node", i % 4)).alias("NodeList"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Start"), elapsed.alias("Elapsed"))
+    none = F.lit(None).cast("string")
+    batches = e.where(i % 3 != 0).select(i.alias("at"), F.lit(1).alias("k"), text(job, ".batch").alias("JobID"), F.lit("batch").alias("JobName"), text(i * 7919 % 5000, F.when(i % 2 == 0, "M").otherwise("K")).alias("MaxRSS"), none.alias("NodeList"), none.alias("Start"), none.alias("Elapsed"))
+    return jobs.unionByName(batches)
+
+
+@query(f"""WITH {_ACCOUNTING}, n AS (SELECT *, CASE WHEN JobName = 'batch' THEN regexp_replace(JobID, '\\.batch$', '') ELSE JobID END AS job FROM accounting),
+    f AS (SELECT *, CASE WHEN lag(job) OVER (ORDER BY "at", k) IS NOT DISTINCT FROM job THEN 0 ELSE 1 END AS new FROM n), g AS (SELECT *, sum(new) OVER (ORDER BY "at", k) AS run FROM f),
+    j AS (SELECT run, arg_max(JobName, "at") FILTER (k = 0) AS name, arg_max(NodeList, "at") FILTER (k = 0) AS node, arg_max(Start, "at") FILTER (k = 0) AS start, arg_max(Elapsed, "at") FILTER (k = 0) AS elapsed, arg_max(MaxRSS, "at" * 2 + k) AS rss FROM g GROUP BY run)
+    SELECT regexp_extract(name, '_(.*)$', 1) AS type, CAST(regexp_extract(name, '^r([0-9]+)_', 1) AS BIGINT) AS run, CAST(start AS TIMESTAMP) AS start, CASE WHEN elapsed LIKE '1-%' THEN 86400 ELSE 0 END + 7380 + CAST(right(elapsed, 2) AS INTEGER) AS seconds,
+        CAST(floor(0.5 + CAST(rss[:-2] AS DOUBLE) / CASE right(rss, 1) WHEN 'K' THEN 1024 ELSE 1 END) AS BIGINT) AS memory, node FROM j
+    WHERE node <> 'None assigned' AND regexp_extract(name, '^r([0-9]+)_', 1) <> '0' AND CAST(start AS TIMESTAMP) BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-20'""")
+def job_batches(spark, d):
+    """Jobs of accounting rows in source order, each with the memory of the batch row behind it."""
+    found = telemetry.job_batches(accounting(spark, d), ["at", "k"], F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def order_lines(spark, d):
+    """Lines of a CSV file of orders: a header, and a row each, some with quotes, line breaks and faulty numbers."""
+    o, key = catalog.read(spark, d, "orders"), F.col("o_orderkey")
+    note = F.when(key % 5 == 0, F.concat(F.lit('"said ""'), F.col("o_orderpriority"), F.lit('"",\nthen no more"'))).otherwise(F.col("o_orderpriority"))
+    price = F.when(key % 997 == 500, "n/a").when(key % 499 == 450, "").otherwise(key.cast("string"))
+    row = F.concat_ws(",", key.cast("string"), note, price, F.when(key % 701 == 300, "?").otherwise(F.col("o_orderstatus")))
+    cut = o.select(key.alias("key"), F.posexplode(F.split(row, "\n")).alias("part", "value"))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(0).alias("part"), F.lit("key,note,price,status").alias("value"))
+    return head.union(cut).select(F.lit(0).alias("source"), "value", F.struct("key", "part").alias("place"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) AS number, CASE WHEN o_orderkey % 5 = 0 THEN 'said "' || o_orderpriority || '",' || chr(10) || 'then no more' ELSE o_orderpriority END AS note,
+        CASE WHEN o_orderkey % 997 = 500 THEN 'n/a' WHEN o_orderkey % 499 = 450 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS price, CASE WHEN o_orderkey % 701 = 300 THEN '?' ELSE o_orderstatus END AS status FROM orders),
+    e AS (SELECT *, concat_ws(',', CASE WHEN price = '' THEN 'not blank' END, CASE WHEN NOT regexp_full_match(price, '[0-9]+') THEN 'number' END) AS bad_price, CASE WHEN status NOT IN ('O', 'F', 'P') THEN 'known' ELSE '' END AS bad_status FROM r),
+    f AS (SELECT min(number) AS number FROM e WHERE bad_price <> '' UNION SELECT min(number) FROM e WHERE bad_status <> ''),
+    c AS (SELECT number, number > 100 AS extra, unnest([CAST(key AS VARCHAR), note, '', price, status]) AS value, unnest(['', '', '', bad_price, bad_status]) AS errors, unnest([0, 1, 2, 3, 4]) AS column FROM e WHERE number <= 100 OR number IN (SELECT number FROM f))
+    SELECT CAST(number AS BIGINT) AS number, extra, CAST("column" AS INTEGER) AS "column", value, errors FROM c""")
+def dataset_rows(spark, d):
+    """Rows of a CSV file with the errors of their cells, up to a limit, and those beyond it with the first error of a column."""
+    value = F.col("value")
+    checks = {3: [("not blank", value != ""), ("number", value.rlike("^[0-9]+$"))], 4: [("known", value.isin("O", "F", "P"))]}
+    rows = ordered.data_rows(ordered.records(order_lines(spark, d)), checks, limit=100, insert_at=[2])
+    return rows.select("number", "extra", F.posexplode("cells").alias("column", "cell")).select("number", "extra", "column", "cell.value", F.array_join("cell.errors", ",").alias("errors"))
