@@ -341,8 +341,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id and class (least id of its connected component) of all nodes.
 
     Each round every end of a link goes to its least neighbour if that is less than itself, and on to where that went; then
-    the links are rewritten by where their ends went, and those within one place are gone.  At least half of the places
-    go in a round, so the links that are left are few after the first.  Tables of a round are in the shared folder.
+    the links are rewritten by where their ends went, and those within one place are gone.  Ids are digests, so chains of
+    less and less neighbours are short and few links are left after the first round; in any order of ids each round
+    ends some, until none is left.  Tables of a round are in the shared folder.
     """
     edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     names = saved(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("class", F.col("id")), "names")
