@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import longest_match
-from tracewell.operators.reads import is_unmapped
+from tracewell.operators.reads import is_unmapped, let
+from tracewell.operators.retention import running_total
 from tracewell.session import checkpointed
 
 #: Fixed genetic code: amino acids of codons in the order T, C, A, G of each base.
@@ -29,19 +32,75 @@ def kmers(sequence: Column, k: int = 3, keep_last: bool = True) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(sequence, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
-def best_match(queries: DataFrame, references: DataFrame, k: int = 3) -> DataFrame:
+#: References that are compared as one block.
+BLOCK = 256
+
+
+def best_match(queries: DataFrame, references: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:
     """For every query (id, seq) the reference of highest score, sum q*r / sum r*r over k-mer counts.
 
-    Sequences meet by shared k-mers; ties go to the least id, and a query that shares none has no match.
+    Ties go to the least id, and a query that shares no k-mer has no match.  References of one count vector are one; they
+    stand in blocks of like norm.  A block bounds the scores of all in it, by its greatest count of each k-mer
+    over its least norm: each query is compared with the block of its greatest bound first, and then with those
+    blocks only whose bound isn't below the score that it has.  Queries meet blocks, not references: a task multiplies the
+    counts of a block by those of the queries that come to it.
     """
-    q = queries.select("id", F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("id", "kmer").agg(F.count("*").alias("q"))
-    r = references.select(F.col("id").alias("ref"), F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("ref", "kmer").agg(F.count("*").alias("r"))
-    norm = r.groupBy("ref").agg(F.sum(F.col("r") * F.col("r")).alias("norm"))
-    score = q.join(r, "kmer").groupBy("id", "ref").agg(F.sum(F.col("q") * F.col("r")).alias("dot")).join(norm, "ref").withColumn("score", F.col("dot") / F.col("norm"))
-    best = score.groupBy("id").agg(F.max_by(F.struct("ref", "score"), F.struct("score", -F.col("ref"))).alias("b"))
+
+    def vectors(df: DataFrame, name: str) -> DataFrame:
+        each = df.select(F.col("id").alias(name), F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy(name, "kmer").agg(F.count("*").alias("n"))
+        return each.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("kmer", "n"))).alias("v"))
+
+    norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"])
+    refs = vectors(references, "ref").groupBy("v").agg(F.min("ref").alias("ref")).withColumn("norm", norm).withColumn("one", F.lit(1).cast("long"))
+    placed = running_total(refs, [F.col("norm"), F.col("ref")], "one", "at").withColumn("block", F.floor(F.col("at") / block).cast("int"))
+    whole = placed.groupBy("block").agg(F.min("norm").alias("least"), F.collect_list(F.struct("ref", "norm", F.col("v.kmer").alias("kmers"), F.col("v.n").alias("counts"))).alias("x"))
+    packed = checkpointed(whole.select("block", "least", F.col("x.ref").alias("refs"), F.col("x.norm").alias("norms"), F.col("x.kmers").alias("kmers"), F.col("x.counts").alias("counts")))
+    tops = placed.select("block", F.explode("v").alias("x")).groupBy("block", F.col("x.kmer").alias("kmer")).agg(F.max("x.n").alias("top")).join(packed.select("block", "least"), "block")
+    asked = checkpointed(vectors(queries, "id"))
+    bounds = checkpointed(asked.select("id", F.explode("v").alias("x")).select("id", F.col("x.kmer").alias("kmer"), F.col("x.n").alias("n")).join(tops, "kmer").groupBy("id", "block").agg((F.sum(F.col("n") * F.col("top")) / F.first("least")).alias("bound")))
+    first = bounds.groupBy("id").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    start = checkpointed(_scored(first, asked, packed))
+    left = bounds.join(start.select("id", "score", F.col("block").alias("done")), "id").where((F.col("block") != F.col("done")) & (F.col("bound") * (1 + 1e-12) >= F.col("score"))).select("id", "block")
+    every = start.unionByName(_scored(left, asked, packed))
+    best = every.groupBy("id").agg(F.max_by(F.struct("ref", "score"), F.struct("score", -F.col("ref"))).alias("b"))
     return queries.select("id").join(best, "id", "left").select("id", F.col("b.ref").alias("best"), F.col("b.score").alias("score"))
 
 
+def _scored(pairs: DataFrame, asked: DataFrame, packed: DataFrame) -> DataFrame:
+    """id, block, ref and score of the best reference of the block for each pair (id, block)."""
+
+    def run(key: tuple, queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(blocks):
+            return pd.DataFrame({"id": [], "block": [], "ref": [], "score": []})
+        own = blocks.iloc[0]
+        columns: dict[str, int] = {}
+        rows, cols, counts = [], [], []
+        for i, (words, numbers) in enumerate(zip(own["kmers"], own["counts"], strict=True)):
+            rows += [i] * len(words)
+            cols += [columns.setdefault(w, len(columns)) for w in words]
+            counts += list(numbers)
+        table = np.zeros((len(own["refs"]), len(columns)), np.int64)
+        table[rows, cols] = counts
+        refs, norms = np.array(own["refs"]), np.array(own["norms"], np.int64)
+        out = []
+        for id_, words, numbers in zip(queries["id"], queries["kmers"], queries["counts"], strict=True):
+            known = [(columns[w], n) for w, n in zip(words, numbers, strict=True) if w in columns]
+            dots = table[:, [c for c, _ in known]] @ np.array([n for _, n in known], np.int64) if known else np.zeros(len(table), np.int64)
+            scores = dots / norms
+            at = np.lexsort((refs, -scores))[0]
+            if dots[at]:
+                out.append((id_, key[0], refs[at], scores[at]))
+        return pd.DataFrame(out, columns=["id", "block", "ref", "score"])
+
+    # A block's queries come in parts, so that one that all of them need isn't one task's.
+    parts = F.lit(16)
+    spread = pairs.join(asked, "id").select("id", "block", F.col("v.kmer").alias("kmers"), F.col("v.n").alias("counts"), F.pmod(F.hash("id"), parts).alias("part"))
+    met = spread.select(F.col("block").alias("of"), F.col("part").alias("share")).distinct()
+    copies = packed.drop("least").withColumnRenamed("block", "of").join(met, "of")
+    kinds = f"id {asked.schema['id'].dataType.simpleString()}, block int, ref {packed.schema['refs'].dataType.elementType.simpleString()}, score double"
+    return spread.groupBy("block", "part").cogroup(copies.groupBy("of", "share")).applyInPandas(run, kinds)
+
+
 def collapsed(reads: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """Equal reads counted, ranked from 0 by count, gap prefix and sequence, all descending."""
     counts = reads.groupBy(*keys, seq).agg(F.count("*").alias("count")).withColumn("offset", F.length(F.regexp_extract(seq, "^-*", 0)))
@@ -124,24 +183,35 @@ def nearest(points: DataFrame, curve: DataFrame, x: str, low: float, high: float
     return points.join(found, x, "left")
 
 
-#: Seeds that are met by a broadcast; more of them go by a plain join.
+#: Seeds that one row holds as an array.
 MOST_SEEDS = 10_000
 
 
 def closest_seed(sequences: DataFrame, seeds: DataFrame, own: str | None = None) -> DataFrame:
     """Edit distance of each sequence (id, seq) to the nearest seed (seed, seq; least name on ties).
 
-    Every sequence meets every seed, as the distance asks for, but all at once only if the seeds are few (counted
-    first).  With `own` (the column of a sequence's seed) also `kept`: no other seed is closer.
+    A sequence goes through an array of seeds, those of like length first, and works a distance out only as far as it
+    may be below the best one so far.  Seeds are in arrays of at most MOST_SEEDS: a sequence is one row for each.  With
+    `own` (the column of a sequence's seed) also `kept`: no other seed is closer.
     """
-    few = seeds.limit(MOST_SEEDS + 1).count() <= MOST_SEEDS
-    listed = seeds.select("seed", F.col("seq").alias("seed_seq"))
-    met = sequences.crossJoin(F.broadcast(listed) if few else listed.repartition("seed"))
-    distance = F.levenshtein("seq", "seed_seq")
-    best = [F.min(F.struct(distance.alias("distance"), F.col("seed"))).alias("b")]
+    parts = seeds.count() // MOST_SEEDS + 1
+    listed = seeds.groupBy(F.pmod(F.xxhash64("seed"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("seed", "seq"))).alias("seeds"))
+    met = sequences.crossJoin(F.broadcast(listed.select("seeds")) if parts == 1 else listed.select("seeds"))
+    away = lambda x: F.abs(F.length(x["seq"]) - F.length("seq"))
+    near = F.array_sort(F.transform("seeds", lambda x: F.struct(away(x).alias("away"), x["seed"].alias("seed"), x["seq"].alias("seq"))))
+
+    def step(best, x):
+        # Lengths alone may rule a seed out; -1 says that the distance is beyond the limit.
+        distance = F.when(x["away"] <= best["distance"], F.call_function("levenshtein", F.col("seq"), x["seq"], best["distance"])).otherwise(-1)
+        return let(distance, lambda d: F.when((d >= 0) & ((d < best["distance"]) | best["seed"].isNull() | (x["seed"] < best["seed"])), F.struct(d.alias("distance"), x["seed"].alias("seed"))).otherwise(best))
+
+    most = F.greatest(F.length("seq"), F.array_max(F.transform("seeds", lambda x: F.length(x["seq"]))))
+    best = F.aggregate(near, F.struct(most.alias("distance"), F.lit(None).cast("string").alias("seed")), step)
+    held = [F.min(best).alias("b")]
     if own:
-        best.append(F.min(F.when(F.col("seed") == F.col(own), distance)).alias("own"))
-    out = met.groupBy("id").agg(*best)
+        mine = F.filter("seeds", lambda x: x["seed"] == F.col(own))
+        held.append(F.min(F.levenshtein("seq", F.get(mine, F.lit(0))["seq"])).alias("own"))
+    out = met.groupBy("id").agg(*held)
     plain = out.select("id", F.col("b.seed").alias("seed"), F.col("b.distance").alias("distance"), *(["own"] if own else []))
     return plain.withColumn("kept", F.coalesce(F.col("own") <= F.col("distance"), F.lit(False))).drop("own") if own else plain
 
