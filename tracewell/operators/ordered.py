@@ -36,8 +36,7 @@ def previous(df: DataFrame, order: Sequence[Column], columns: Sequence[str], pre
     carried = F.struct(*columns)
     within = Window.partitionBy("__part").orderBy(*order)
     back = ranged.withColumn("__back", F.lag(carried).over(within)).withColumn("__first", F.row_number().over(within) == 1)
-    keys = F.struct(*[F.struct(c) if not isinstance(c, str) else F.col(c) for c in order])
-    ends = ranged.groupBy("__part").agg(F.max_by(carried, keys).alias("__end"))
+    ends = ranged.withColumn("__more", F.lead(F.lit(True)).over(within)).where("__more is null").select("__part", carried.alias("__end"))
     before = ends.select("__part", F.lag("__end").over(Window.orderBy("__part")).alias("__carried"))
     met = back.join(before, "__part").withColumn("__back", F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__back")))
     return met.select(*df.columns, *[F.col(f"__back.{c}").alias(f"{prefix}{c}") for c in columns])

@@ -6,10 +6,11 @@ grow with the depth, and rounds are as many as the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import Rounds, checkpointed
+from tracewell.operators.ordered import previous
+from tracewell.session import Rounds, checkpointed, dropped
 
 
 def fingerprint(items: DataFrame, run: str, order: list[str], digest: str) -> DataFrame:
@@ -35,6 +36,39 @@ def levels(tree: DataFrame, child: str, parent: str) -> DataFrame:
     return found.all()
 
 
+def preorder(tree: DataFrame, child: str, parent: str) -> DataFrame:
+    """id, parent, first and last of every node of a forest: its number in pre-order (from 0; roots and children by id) and
+    that of the last node below it, so that what is below a node is a range of numbers.
+
+    The tour that enters and leaves every node is a list; each round every place jumps as far again as it came and adds
+    what lies between, so the numbers are there after the logarithm of the list's length in rounds, however deep
+    the forest is.  A parent that isn't a node counts as none; nodes of a circle, and those below, have no numbers.
+    """
+    nodes = tree.select(F.col(child).cast("long").alias("id"), F.col(parent).cast("long").alias("own"))
+    known = nodes.select(F.col("id").alias("up"))
+    nodes = checkpointed(nodes.join(known, F.col("own") == F.col("up"), "left"))
+    siblings = nodes.withColumn("next", F.lead("id").over(Window.partitionBy("up").orderBy("id"))).where("up is not null")
+    roots = previous(nodes.where("up is null"), [F.col("id").desc()], ["id"], "next_").withColumnRenamed("next_id", "next")
+    around = siblings.unionByName(roots.select(*siblings.columns))
+    below = nodes.where("up is not null").groupBy(F.col("up").alias("parent")).agg(F.min("id").alias("first"))
+    # A place is a node's number doubled, odd where the node is left.
+    enter, leave = lambda c: c * 2, lambda c: c * 2 + 1
+    met = around.join(below, F.col("id") == F.col("parent"), "left")
+    entering = met.select(enter(F.col("id")).alias("at"), F.coalesce(enter(F.col("first")), leave(F.col("id"))).alias("next"), F.lit(1).cast("long").alias("n"))
+    leaving = met.select(leave(F.col("id")).alias("at"), F.coalesce(enter(F.col("next")), leave(F.col("up"))).alias("next"), F.lit(0).cast("long").alias("n"))
+    places = checkpointed(entering.unionByName(leaving))
+    size = places.count()
+    for _ in range(max(size - 1, 0).bit_length()):
+        ahead = places.select(F.col("at").alias("next"), F.col("next").alias("on"), F.col("n").alias("more"))
+        old, places = places, checkpointed(places.join(ahead, "next", "left").select("at", F.col("on").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        dropped(old)
+    whole = places.where("next is null").agg(F.max("n").alias("all"))
+    node = F.floor(F.col("at") / 2)
+    sums = places.where("next is null").groupBy(node.alias("id")).agg(F.max(F.when(F.col("at") % 2 == 0, F.col("n"))).alias("here"), F.max(F.when(F.col("at") % 2 == 1, F.col("n"))).alias("behind"))
+    found = sums.crossJoin(F.broadcast(whole)).select("id", (F.col("all") - F.col("here")).alias("first"), (F.col("all") - F.col("behind") - 1).alias("last"))
+    return nodes.select("id", F.col("own").alias("parent")).join(found, "id", "left")
+
+
 def closure(hops: list[tuple[str, str, DataFrame]], start: DataFrame) -> DataFrame:
     """Everything (kind, id) that the start rows reach.
 

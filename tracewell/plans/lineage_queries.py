@@ -125,6 +125,15 @@ def rerun_levels(spark, d):
     return provenance.levels(catalog.containers(spark, d), "id", "parent")
 
 
+@query(f"""WITH RECURSIVE t AS (SELECT id, CAST(NULL AS BIGINT) AS parent, [id] AS path FROM {RUNS} WHERE original IS NULL OR original = id UNION ALL SELECT r.id, r.original, list_append(path, r.id) FROM {RUNS} r JOIN t ON r.original = t.id WHERE r.original <> r.id),
+    a AS (SELECT unnest(path) AS id, count(*) AS n FROM t GROUP BY 1)
+    SELECT id, parent, row_number() OVER (ORDER BY path) - 1 AS first, row_number() OVER (ORDER BY path) + n - 2 AS last FROM t JOIN a USING (id)""")
+def rerun_tree(spark, d):
+    """Every run's place among the reruns of reruns: what it led to is a range of numbers."""
+    runs = catalog.runs(spark, d)
+    return provenance.preorder(runs.select("id", F.when(F.col("original") != F.col("id"), F.col("original")).alias("original")), "id", "original")
+
+
 @query(f"""WITH RECURSIVE t AS (
     SELECT 'run' kind, id FROM {RUNS} WHERE owner = 1
     UNION

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import catalog
-from tracewell.operators import ordered, reads, summaries, telemetry
+from tracewell.operators import ordered, reads, remap, summaries, telemetry
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -195,3 +195,30 @@ def dataset_rows(spark, d):
     checks = {3: [("not blank", value != ""), ("number", value.rlike("^[0-9]+$"))], 4: [("known", value.isin("O", "F", "P"))]}
     rows = ordered.data_rows(ordered.records(order_lines(spark, d)), checks, limit=100, insert_at=[2])
     return rows.select("number", "extra", F.posexplode("cells").alias("column", "cell")).select("number", "extra", "column", "cell.value", F.array_join("cell.errors", ",").alias("errors"))
+
+
+#: Rules that end the loop in each part of remap_rounds: share of mapped reads that is enough, and most rounds.
+RULES = {"settled": (1.0, 50), "mapped": (0.05, 50), "rounds": (1.0, 1)}
+
+
+def drifting_reads(spark, d):
+    """read and seq, 40 letters: each part's type has a sequence, from which its parts are up to seven letters away."""
+    p, i = catalog.read(spark, d, "part"), F.col("p_partkey")
+    letters = lambda c: F.translate(F.concat(*[F.md5(F.concat(c, F.lit(x)).cast("binary")) for x in "ab"]), HEX, LETTERS)
+    base, other = F.substring(letters(F.col("p_type")), 1, 40), F.substring(letters(i.cast("string")), 1, 40)
+    at = (i * 7 % 34).cast("int")
+    return p.select(i.alias("read"), F.concat(F.substring(base, F.lit(1), at), F.substring(other, at + 1, (i % 7).cast("int")), F.substring(base, at + 1 + (i % 7).cast("int"), F.lit(40))).alias("seq"), F.col("p_type").alias("type"))
+
+
+@query(None)
+def remap_rounds(spark, d):
+    """Reads mapped to references that are rebuilt from them, ended by each of three rules: rule, round, mapped, references."""
+    rows = drifting_reads(spark, d)
+    seeds = rows.groupBy(F.col("type").alias("ref")).agg(F.min_by("seq", "read").alias("seq"))
+    reads_ = rows.select("read", "seq")
+    none = spark.createDataFrame([], "ref string, n long")
+    out = []
+    for rule, (enough, most) in RULES.items():
+        *_, rounds, ended = remap.remapped(reads_, seeds, none, enough=enough, most=most)
+        out += [(rule, ended, r["round"], r["mapped"], r["references"]) for r in rounds]
+    return spark.createDataFrame(out, "asked string, rule string, round int, mapped long, references long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +41,23 @@ class Rounds:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.folder)
 
 
+#: The folder of each table that checkpointed() wrote.
+FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df as a table in the shared folder: lineage, and what the optimizer derived on the
     way, end here, so loops keep plans of one size."""
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    FOLDERS[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what checkpointed() wrote for tables whose rows have been read for the last time."""
+    for table in tables:
+        spark, path = table.sparkSession, FOLDERS.pop(table)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
