@@ -13,7 +13,7 @@ Links.  Equal texts are taken together first; everything below runs on one row p
 Registers are banded; texts that share a band's key share a bucket.  No bucket is expanded into
 pairs: each member is paired with two leaders of its bucket, the member that meets most others over
 all bands (the text that the other copies come from, in a group of near copies) and the one of
-least id, and with two members drawn from it.  Pairs whose registers agree far less than the threshold asks for are left out (see `least`);
+least id.  Pairs whose registers agree far less than the threshold asks for are left out (see `least`);
 the others are verified by exact J_P >= `threshold`, and classes are the connected components.
 
 What leaders can't tell.  Two texts may be alike although their buckets' leaders are unlike both: a
@@ -55,8 +55,6 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ROUNDING = 1e-9
 #: Standard deviations that registers may agree below the threshold.
 SPREAD = 5.2
-#: Members of a bucket that all others of it are compared with besides its leaders.
-DRAWN = 2
 #: Members of a class that are packed into one list.
 PART = 64
 #: Bits of a text's map; a power of two.
@@ -235,13 +233,11 @@ def shapes(df: DataFrame, wanted: DataFrame, p: NearDup, doc_id: str, text: str)
 
 
 def leaders(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b): every member with the two leaders of its bucket and DRAWN others of it.
+    """Candidate pairs (a, b): every member with the two leaders of its bucket.
 
-    members: bucket, id and degree (how many others the text meets over all its buckets).  The others are drawn
-    anew in every bucket: in a large group whose members are alike by chance, each meets some that link it.
+    members: bucket, id and degree (how many others the text meets over all its buckets).
     """
-    drawn = [F.min_by("id", F.xxhash64("id", "bucket", F.lit(i))) for i in range(DRAWN)]
-    chosen = F.array_distinct(F.array(F.min("id"), F.max_by("id", F.struct("degree", F.col("id"))), *drawn))
+    chosen = F.array_distinct(F.array(F.min("id"), F.max_by("id", F.struct("degree", F.col("id")))))
     led = members.groupBy("bucket").agg(F.count("*").alias("n"), chosen.alias("chosen")).where("n > 1")
     met = members.join(led, "bucket")
     pairs = met.select("id", F.explode("chosen").alias("other")).where("id <> other")
@@ -255,8 +251,9 @@ def divided(members: DataFrame, classed: DataFrame) -> DataFrame:
     return named.join(several.select("bucket"), "bucket")
 
 
-def prefixes(met: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
-    """bucket (a shingle), id, class, h, units (weight in multiples of that of the lightest shingle) and map of the prefixes of all members of `met` (bucket, id, class)."""
+def prefixes(met: DataFrame, shown: DataFrame, p: NearDup, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """bucket (a shingle), id, class, h, units (weight in multiples of that of the lightest shingle) and map of the prefixes of all members of `met` (bucket, id, class).
+    Tables that are written on the way are added to `scratch`."""
 
     def run(batches):
         for batch in batches:
@@ -267,6 +264,8 @@ def prefixes(met: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
 
     own = met.groupBy("id").agg(F.first("class").alias("class"))
     grams = saved(shown.join(own, "id", "left_semi").select("id", "shape").mapInArrow(run, "id binary, bucket long, n int, total int, units double"), "grams")
+    if scratch is not None:
+        scratch.append(grams)
     common = grams.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1")
     order = Window.partitionBy("id").orderBy("texts", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = grams.join(common, "bucket", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
@@ -275,7 +274,7 @@ def prefixes(met: DataFrame, shown: DataFrame, p: NearDup) -> DataFrame:
     return near.select("bucket", "id", "units", (F.col("total") / (F.col("total") - F.col("before"))).alias("h")).join(own, "id").join(shown.select("id", "map"), "id")
 
 
-def meeting(members: DataFrame, p: NearDup) -> DataFrame:
+def meeting(members: DataFrame, p: NearDup, scratch: list[DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) of members (bucket, id, class, h, units, map) of a bucket that are of different classes and may be links."""
     limit = 1 + 1 / p.threshold + 1e-6
     several = members.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most")
@@ -283,6 +282,8 @@ def meeting(members: DataFrame, p: NearDup) -> DataFrame:
     own = F.collect_list(F.struct("id", "h", "units", "map"))
     lists = dealt.groupBy("bucket", "class", F.pmod(F.hash("id"), "parts").alias("part")).agg(own.alias("of"), F.min("h").alias("least"))
     lists = saved(lists, "lists")
+    if scratch is not None:
+        scratch.append(lists)
     one = lists.where(F.col("least") <= limit / 2).select("bucket", F.col("class").alias("a_class"), F.col("of").alias("a"), F.col("least").alias("a_least"))
     other = lists.select("bucket", F.col("class").alias("b_class"), F.col("of").alias("b"), F.col("least").alias("b_least"))
 
@@ -373,9 +374,8 @@ def joined_classes(classed: DataFrame, more: DataFrame) -> DataFrame:
 def classed_texts(df: DataFrame, p: NearDup, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows as doc_id and id (the key of the text); of every distinct text id, least_doc, n_copies and class; and the
     verified links (a, b)."""
-    keyed = saved(banded(df, p, doc_id, text), "banded")
     first = [F.first(c).alias(c) for c in ("bands", "sketch")]
-    texts = saved(keyed.groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"), *first), "texts")
+    texts = saved(banded(df, p, doc_id, text).groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"), *first), "texts")
     sketches = texts.select("id", "sketch")
     found = texts.select("id", F.explode("bands").alias("bucket"))
     sizes = found.groupBy("bucket").agg((F.count("*") - 1).alias("others")).where("others > 0")
@@ -386,12 +386,19 @@ def classed_texts(df: DataFrame, p: NearDup, doc_id: str, text: str) -> tuple[Da
     shown = saved(shapes(df, texts.select("id", "least_doc").join(degree.select("id"), "id", "left_semi"), p, doc_id, text), "shapes")
     links = saved(verify(pairs, shown, p), "verified")
     classed = saved(components(texts, links), "classes")
-    rest = meeting(prefixes(saved(divided(members, classed), "divided"), shown, p), p).join(pairs, ["a", "b"], "left_anti")
+    apart = saved(divided(members, classed), "divided")
+    dropped(met)
+    scratch: list[DataFrame] = []
+    rest = meeting(prefixes(apart, shown, p, scratch), p, scratch).join(pairs, ["a", "b"], "left_anti")
+    dropped(scratch.pop(0))  # shingles of the members, which are in the lists by now
     more = saved(verify(saved(promising(rest, sketches, p), "pairs"), shown, p), "verified")
+    for table in (apart, pairs, shown, *scratch):
+        dropped(table)
     if not more.isEmpty():
         links = links.union(more)
         classed = saved(joined_classes(classed, more), "classes")
-    return keyed.select("doc_id", "id"), texts.select("id", "least_doc", "n_copies").join(classed, "id"), links.select("a", "b")
+    keyed = df.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("id"))
+    return keyed, texts.select("id", "least_doc", "n_copies").join(classed, "id"), links.select("a", "b")
 
 
 def classes(df: DataFrame, p: NearDup = NearDup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
