@@ -194,3 +194,17 @@ def undriven(steps: DataFrame, members: DataFrame) -> DataFrame:
     """Steps (pipeline, step, driver) whose driver is no member (pipeline, name, driver: starts with #!) of the archive."""
     drivers = members.where("driver").select("pipeline", F.col("name").alias("driver"))
     return steps.join(drivers, ["pipeline", "driver"], "left_anti")
+
+
+def neighbours(datasets: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, producer (the least run that made the dataset, null without one) and consumers (the number of runs that used it)."""
+    sides = edges.groupBy(F.col("dataset").alias("id")).agg(F.min(F.when(F.col("kind") == "O", F.col("run"))).alias("producer"), F.count_distinct(F.when(F.col("kind") == "I", F.col("run"))).alias("consumers"))
+    return datasets.join(sides, "id", "left").select("id", "producer", F.coalesce("consumers", F.lit(0)).alias("consumers"))
+
+
+def redacted(rows: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with the text columns of the chosen ones (id) empty, and whether that changed anything."""
+    marked = rows.join(chosen.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
+    hit = F.coalesce("__hit", F.lit(False))
+    full = F.concat(*[F.coalesce(c, F.lit("")) for c in columns]) != ""
+    return marked.withColumn("redacted", hit & full).withColumns({c: F.when(hit, "").otherwise(F.col(c)) for c in columns}).drop("__hit")

@@ -62,6 +62,11 @@ def listed_updates(rows: DataFrame, ids: DataFrame, key: str, **changes: Column)
 MOVES = {"N": "LFX", "L": "RFX", "R": "SFX", "S": "CFX"}
 
 
+def is_active(state: Column) -> Column:
+    """Whether a run's state may still change."""
+    return state.isin(*MOVES)
+
+
 def may_follow(before: Column, after: Column) -> Column:
     """Whether a run may go from one state to another."""
     return F.coalesce(F.contains(F.try_element_at(F.create_map(*[F.lit(x) for pair in MOVES.items() for x in pair]), before), after), F.lit(False))

@@ -88,3 +88,8 @@ def unsized(rows: DataFrame, file: str, size: str, date: str) -> DataFrame:
 def settled(files: DataFrame, modified: str, now: Column, wait: str = "1 hour") -> DataFrame:
     """Files that have not changed for a while: only those are looked at."""
     return files.where(F.col(modified) <= now - F.expr(f"interval {wait}"))
+
+
+def purgeable(rows: DataFrame, content: str, size: str) -> DataFrame:
+    """Rows whose content (a path or a text) is there and not empty, and whose size is known."""
+    return rows.where(F.col(size).isNotNull() & (F.coalesce(F.col(content), F.lit("")) != ""))

@@ -104,3 +104,41 @@ def enriched(rows: DataFrame, values: DataFrame, key: str, value: str) -> DataFr
 def sorted_members(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Names of each key's members in order, joined by commas."""
     return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("members"), F.count(name).alias("n"))
+
+
+def totals(rows: DataFrame, value: str) -> DataFrame:
+    """Number and sum of the values that are known."""
+    return rows.agg(F.count(value).alias("n"), F.sum(value).alias("total"))
+
+
+def greatest_of(lists: DataFrame, key: str, values: str, out: str) -> DataFrame:
+    """The greatest value of all lists of a key; null where they are empty."""
+    return lists.groupBy(key).agg(F.max(F.array_max(values)).alias(out))
+
+
+def nested(rows: DataFrame, children: DataFrame, key: str, columns: Sequence[str], out: str) -> DataFrame:
+    """rows with the structs (columns) of their children (whose `parent` is the key), in order; an empty list without any."""
+    lists = children.groupBy(F.col("parent").alias("__parent")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__list"))
+    met = rows.join(lists, F.col(key) == F.col("__parent"), "left")
+    # An empty list of the same kind: no child is kept.
+    none = F.filter(F.array(F.struct(*[F.lit(None).cast(children.schema[c].dataType).alias(c) for c in columns])), lambda x: F.lit(False))
+    return met.withColumn(out, F.coalesce("__list", none)).drop("__parent", "__list")
+
+
+def first_known(rows: DataFrame, out: str, columns: Sequence[str]) -> DataFrame:
+    """rows with the first of several columns that isn't null."""
+    return rows.withColumn(out, F.coalesce(*columns))
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Values of each key with their number and rank from 1: the most frequent first, then in order."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), value)))
+
+
+def first_seen(rows: DataFrame, key: str, item: str, order: str) -> DataFrame:
+    """The rows (key, item, order) in which an item comes up for the first time under its key, once each.
+
+    A minimum by (key, item) says so: nothing of a key is held together.
+    """
+    return rows.groupBy(key, item).agg(F.min(order).alias(order))

@@ -80,9 +80,10 @@ def slowest(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 
 
-def by_table(rows: DataFrame, table: Column, seconds: str, k: int = 20) -> DataFrame:
-    """Number and total time of the statements on each table, the k most frequent (then by name)."""
-    return rows.groupBy(table.alias("table")).agg(F.count("*").alias("n"), F.sum(seconds).alias("seconds")).orderBy(F.desc("n"), "table").limit(k)
+def by_table(rows: DataFrame, table: Column, seconds: str, k: int = 20, by_time: bool = False) -> DataFrame:
+    """Number and total time of the statements on each table: the k most frequent, or those of most time (then by name)."""
+    sums = rows.groupBy(table.alias("table")).agg(F.count("*").alias("n"), F.sum(seconds).alias("seconds"))
+    return sums.orderBy(F.desc("seconds" if by_time else "n"), "table").limit(k)
 
 
 def memory_wide(rows: DataFrame, key: str, node: str, value: str, nodes: list[str]) -> DataFrame:
