@@ -559,9 +559,9 @@ def test_toxicity_held_out(spark):
     assert np.mean(hit) > 0.9 and sum(hit) > 0.6 * sum(labels[r.doc_id] for r in got)
 
 
-def plain_ftrl(rows, p, rounds):
-    """FTRL-proximal with one weight at a time."""
-    z, n = collections.defaultdict(float), collections.defaultdict(float)
+def plain_ftrl(rows, p, rounds, state=None):
+    """FTRL-proximal with one weight at a time, from a state (z and n by place), which it changes."""
+    z, n = state or (collections.defaultdict(float), collections.defaultdict(float))
 
     def weight(i):
         if i == 1 << p.bits:
@@ -604,6 +604,30 @@ def test_toxicity_equals_plain_ftrl(spark):
         assert math.isclose(r.score, 1 / (1 + math.exp(-want)), abs_tol=1e-9)
 
 
+def test_toxicity_shards_equal_plain_ones_that_are_averaged(spark):
+    p = toxicity.Ftrl(bits=12, shards=8, rounds=3, passes=2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels, p)
+    joined = docs.join(labels, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).orderBy(F.xxhash64("doc_id")).collect()
+    shards = collections.defaultdict(list)
+    for r in joined:
+        shards[r.shard].append((plain_features(r.text, p.bits), r.label))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    for _ in range(p.rounds):
+        sums = collections.defaultdict(float), collections.defaultdict(float)
+        for rows in shards.values():
+            own = collections.defaultdict(float, z), collections.defaultdict(float, n)
+            plain_ftrl(rows, p, p.passes, own)
+            for total, part in zip(sums, own, strict=True):
+                for i, x in part.items():
+                    total[i] += x
+        z, n = (collections.defaultdict(float, {i: x / p.shards for i, x in total.items()}) for total in sums)
+    weight, places = plain_ftrl([], p, 0, (z, n))
+    assert len(shards) == 8 and dict(zip(model["places"].tolist(), np.round(model["weights"], 9).tolist())) == {i: round(w, 9) for i in places if (w := weight(i))}
+    assert math.isclose(model["intercept"][0], weight(1 << p.bits), abs_tol=1e-9)
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (5, 0), (5, 1)], "doc_id long, label int")
     model = toxicity.fit(edge, labels)
