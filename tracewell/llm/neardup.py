@@ -56,9 +56,11 @@ ROUNDING = 1e-9
 #: Standard deviations that registers may agree below the threshold.
 SPREAD = 5.2
 #: Members of a class that are packed into one list.
-PART = 64
+PART = 32
+#: Rows of lists that are compared together: their members are copied, the rest of a batch isn't.
+ROWS = 256
 #: Bits of a text's map; a power of two.
-MAP = 4096
+MAP = 2048
 
 
 @dataclass(frozen=True)
@@ -290,12 +292,14 @@ def meeting(members: DataFrame, p: NearDup, scratch: list[DataFrame] | None = No
     def run(batches):
         for batch in batches:
             left, right = [], []
-            for a, b in zip(listed(batch.column("a")), listed(batch.column("b")), strict=True):
-                x, y = a["h"][:, None], b["h"][None, :]
-                i, j = np.nonzero((x <= limit / 2) & (x + y <= limit))
-                i, j = kept(a, b, i, j, limit)
-                left += [min(a["id"][m], b["id"][n]) for m, n in zip(i, j, strict=True)]
-                right += [max(a["id"][m], b["id"][n]) for m, n in zip(i, j, strict=True)]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for a, b in zip(listed(part.column("a")), listed(part.column("b")), strict=True):
+                    x, y = a["h"][:, None], b["h"][None, :]
+                    i, j = np.nonzero((x <= limit / 2) & (x + y <= limit))
+                    i, j = kept(a, b, i, j, limit)
+                    left += [min(a["id"][m], b["id"][n]) for m, n in zip(i, j, strict=True)]
+                    right += [max(a["id"][m], b["id"][n]) for m, n in zip(i, j, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
     met = one.join(other, "bucket").where((F.col("a_class") != F.col("b_class")) & (F.col("a_least") + F.col("b_least") <= limit))
