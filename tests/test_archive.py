@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import registration
 from tracewell.sources import archive
 
-FILES = [("run.py", b"#!/bin/x\n1"), ("d/data.csv", b"a,b\n"), ("kive/pipeline1.json", b'{"n": 1}'), ("kive/pipeline3.json", '{"é": 3}'.encode())]
+FILES = [("run.py", b"#!/bin/x\n1"), ("d/data.csv", b"a,b\n"), ("pipelines/pipeline1.json", b'{"n": 1}'), ("pipelines/pipeline3.json", '{"é": 3}'.encode())]
 
 
 def made(tmp_path):
@@ -44,13 +44,13 @@ def test_last_entry_counts_and_a_number_is_appended_once(spark, tmp_path):
     texts = spark.createDataFrame([(f"file://{path}/{n}", f"new é {n}") for n in ("a.zip", "b.tar", "c.tar")], "path string, text string")
     for _ in range(2):  # a task that is run again adds nothing
         names = {r.path.rpartition("/")[2]: r.name for r in archive.appended(spark, texts).collect()}
-        assert names == {"a.zip": "kive/pipeline2.json", "b.tar": "kive/pipeline1.json", "c.tar": "kive/pipeline2.json"}
+        assert names == {"a.zip": "pipelines/pipeline2.json", "b.tar": "pipelines/pipeline1.json", "c.tar": "pipelines/pipeline2.json"}
         assert shown() == {n: f"new é {n}" for n in names}
     assert archive.entries(spark, path).count() == 11
 
 
 def test_bulk_upload_from_archives(spark, tmp_path):
-    read = archive.contents(archive.entries(spark, made(tmp_path)).where("name not like 'kive/%'"))
+    read = archive.contents(archive.entries(spark, made(tmp_path)).where("name not like 'pipelines/%'"))
     members = read.select("name", F.md5("content").alias("md5"), "size", F.concat("path", F.lit("/"), F.lpad(F.col("ordinal").cast("string"), 9, "0")).alias("ordinal"))
     had = spark.createDataFrame([("d_data.csv", "0")], "name string, md5 string")
     got = registration.uploaded(members, had).select("new_name", "error").collect()

@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed pattern of the entries that hold an archive's pipeline.
-PIPELINE = r"^kive/pipeline[0-9]+\.json"
+#: Folder of what the catalog itself puts into archives, and the pattern of the entries that hold an archive's pipeline.
+OWN = "pipelines/"
+PIPELINE = r"^pipelines/pipeline[0-9]+\.json"
 
 
 def _store(uri: str):
@@ -123,12 +124,12 @@ def pipelines(spark: SparkSession, path: str, pattern: str = PIPELINE) -> DataFr
     return last.select("path").join(read, "path", "left")
 
 
-def files_of(spark: SparkSession, path: str) -> DataFrame:
+def files_of(spark: SparkSession, path: str, own: str = OWN) -> DataFrame:
     """path, name and driver of the files of archives, without what the catalog itself has put there."""
-    return contents(entries(spark, path).where(~F.col("name").startswith("kive/"))).select("path", "name", "driver")
+    return contents(entries(spark, path).where(~F.col("name").startswith(own))).select("path", "name", "driver")
 
 
-def appended(spark: SparkSession, texts: DataFrame, before: str = "kive/pipeline", after: str = ".json") -> DataFrame:
+def appended(spark: SparkSession, texts: DataFrame, before: str = "pipelines/pipeline", after: str = ".json") -> DataFrame:
     """Append to each archive of texts (path, text) an entry with the text, under the first number (from 1) that no entry has;
     returns path and name.
 
