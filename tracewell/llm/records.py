@@ -228,6 +228,8 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, doc_id: str = "doc
 
     Returns the index.  Null texts are empty (the end id alone), null ids are kept and come first,
     rows with equal ids each get a record, an empty table gives an empty index and no file.
+    Ids are 64-bit integers (others are cast, and fail where they can't be).  Files are ranges of ids, so rows of one id, or
+    without one, are in one file, whatever their number: give repeated rows ids of their own first.
     Every task holds a few MB of text at a time; a file and its index are streamed out.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -53,7 +53,8 @@ def pack(pages: DataFrame, date: str = "20080103120000", limit: int = 4 << 20) -
     """Legacy archives (name, content) of page rows (page_id, url, html), of about `limit` bytes each.
 
     Archives take turns in both versions.  Null html is empty, null urls are named after the page;
-    spaces in urls are written %20 (the header line is split at spaces).
+    spaces in urls are written %20 (the header line is split at spaces).  Ids are 64-bit integers (others
+    are cast, and fail where they can't be).
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
 
