@@ -237,6 +237,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep:
                 if decoded:
                     made.append(_text(*table.decode(flat, ends)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=schema.names)
+        tok.known.forget()  # the worker goes on to other stages
 
     return rows.mapInArrow(run, schema)
 

@@ -128,6 +128,10 @@ class Known(dict):
             self.clear()
         self[key] = value
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
     def peek(self, key):
         """The value of a key that is remembered, None of others."""
         value = self.get(key)

@@ -134,7 +134,7 @@ def _shard(sent, p: Ftrl):
             at, z0, n0 = sent.value
             z[at], n[at] = z0, n0
         pdf = pdf.sort_values("h", kind="stable")
-        rows = [(np.cumsum(np.frombuffer(zlib.decompress(x), np.int32)), y) for x, y in zip(pdf["places"], pdf["label"], strict=True)]
+        rows = [(np.cumsum(np.frombuffer(zlib.decompress(x), np.int32), dtype=np.int32), y) for x, y in zip(pdf["places"], pdf["label"], strict=True)]
         for _ in range(p.passes):
             learn(rows, z, n, p)
         at = np.flatnonzero(n)
