@@ -46,7 +46,7 @@ def shifted_to(rows: DataFrame, ts: str, start: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(first)).withColumn(ts, F.date_trunc("second", F.to_timestamp_ntz(F.lit(start)) + (F.col(ts) - F.col("__first"))).cast("timestamp_ntz")).drop("__first")
 
 
-def first_seen(rows: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
+def first_rows(rows: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
     """Of each value the first row by order."""
     n = F.row_number().over(Window.partitionBy(value).orderBy(*order))
     return rows.withColumn("__n", n).where("__n = 1").drop("__n")

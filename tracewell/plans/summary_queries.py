@@ -49,7 +49,7 @@ def normalized_times(spark, d):
 @query("SELECT l_partkey part, l_orderkey run FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) k FROM lineitem) WHERE k = 1")
 def first_outputs(spark, d):
     rows = catalog.read(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("run"))
-    return summaries.first_seen(rows, "part", ["run"])
+    return summaries.first_rows(rows, "part", ["run"])
 
 
 @query(f"""SELECT owner, arg_min(CASE WHEN original IS NOT NULL THEN id END, id) AS first, arg_max(CASE WHEN original IS NOT NULL THEN id END, id) AS last FROM {RUNS} WHERE original IS NOT NULL GROUP BY owner
