@@ -12,6 +12,8 @@ from tracewell.session import checkpointed
 
 #: Rounds and share of mapped reads that end the loop.
 MOST_ROUNDS, ENOUGH = 3, 0.95
+#: Reads of one task: each meets references at all its k-mers, so a task holds many times as many rows.
+READS = 10_000
 
 
 def by_kmers(reads: DataFrame, references: DataFrame, k: int = 6, least: int = 4) -> DataFrame:
@@ -42,12 +44,15 @@ def remapped(
     the next references.  The names of references must be the same before and after a round (neither table has rows
     beyond the other's) for it to be the last, and then one of three rules ends the loop: no reference has more reads than
     the round before (settled), more than a share of `enough` of all reads is mapped (mapped), or there were `most`
-    rounds (rounds).  Without references it ends as well (gone).  Returns the last mapping and references, of each round
+    rounds (rounds).  Without references it ends as well (gone).  The mapper gets reads dealt out by `read` in parts of about
+    READS, however few files they came from.  Returns the last mapping and references, of each round
     {round, mapped, references}, and the rule.  Each round's tables are in the shared folder.
     """
+    reads, references = checkpointed(reads), checkpointed(references)
     total, rounds, mapped = reads.count(), [], None
+    spread = reads.repartition(max(total // READS + 1, reads.sparkSession.sparkContext.defaultParallelism), "read")
     while not references.isEmpty():
-        mapped = checkpointed(mapper(reads, references))
+        mapped = checkpointed(mapper(spread, references))
         new = checkpointed(mapped.groupBy("ref").agg(F.count("*").alias("n")))
         before, references = references, checkpointed(rebuild(mapped, references))
         n = new.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
