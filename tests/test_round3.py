@@ -3,7 +3,11 @@
 import ast
 from pathlib import Path
 
-from tracewell.operators import summaries
+from pyspark.sql import functions as F
+
+from tracewell import session
+from tracewell.operators import provenance, reads, remap, summaries
+from tracewell.plans import read_queries
 
 
 def test_no_module_defines_a_name_twice():
@@ -15,3 +19,85 @@ def test_no_module_defines_a_name_twice():
 def test_first_rows_by_order(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 3, "z"), (2, 9, "a"), (1, 3, "c")], "k int, at int, x string")
     assert sorted(map(tuple, summaries.first_rows(df, "k", ["at", "x"]).collect())) == [(1, 3, "c"), (2, 9, "a")]
+
+
+def test_remap_deals_out_reads_of_one_file(spark, monkeypatch):
+    monkeypatch.setattr(remap, "READS", 100)
+    reads = spark.range(1000).coalesce(1).select(F.col("id").cast("int").alias("read"), F.lit("ACGTACGTAC").alias("seq"))
+    refs = spark.createDataFrame([("r", "ACGTACGTAC")], "ref string, seq string")
+    parts = []
+
+    def mapper(reads_, references):
+        parts.append(reads_.rdd.getNumPartitions())
+        return remap.by_kmers(reads_, references)
+
+    _, _, rounds, rule = remap.remapped(reads, refs, spark.createDataFrame([], "ref string, n long"), mapper)
+    assert (rounds[0]["mapped"], rule) == (1000, "mapped") and min(parts) >= 10
+
+
+def test_preorder_joins_no_rows_without_next(spark, monkeypatch):
+    joined = []
+    plain = provenance.checkpointed
+
+    def kept(df):
+        joined.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(provenance, "checkpointed", kept)
+    got = provenance.preorder(spark.createDataFrame([(i, None) for i in range(20)], "id long, up long"), "id", "up").orderBy("id").collect()
+    assert [(r.first, r.last) for r in got] == [(i, i) for i in range(20)]
+    assert not [p for p in joined[2:] if "LeftOuter" in p]
+
+
+def test_rerun_dataset_of_runs_with_two_originals(spark):
+    runs = spark.createDataFrame([(2, 1), (3, 2), (2, 3), (4, 3)], "id long, original long")
+    outputs = spark.createDataFrame([(4, 1, 40, True), (3, 2, 30, True), (2, 2, 20, True)], "run long, position int, dataset long, present boolean")
+    wanted = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (4, 1)], "run long, position int")
+    got = {(r.run, r.position): (r.dataset, r.depth) for r in provenance.rerun_dataset(runs, outputs, wanted).collect()}
+    assert got == {(1, 1): (40, 3), (1, 2): (20, 1), (1, 3): (None, None), (4, 1): (40, 0)}
+
+
+def test_rerun_dataset_leaves_hits_and_keeps_its_plans_small(spark, monkeypatch):
+    plans_ = []
+    plain = session.Rounds.add
+
+    def add(self, df):
+        plans_.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(self, df)
+
+    monkeypatch.setattr(session.Rounds, "add", add)
+    runs = spark.createDataFrame([(2 * i, i) for i in range(1, 9)], "id long, original long")
+    outputs = spark.createDataFrame([(16, 1, 5, True), (6, 1, 7, True)], "run long, position int, dataset long, present boolean")
+    wanted = spark.createDataFrame([(1, 1), (3, 1), (5, 1)], "run long, position int")
+    got = {(r.run, r.position): (r.dataset, r.depth) for r in provenance.rerun_dataset(runs, outputs, wanted).collect()}
+    assert got == {(1, 1): (5, 4), (3, 1): (7, 1), (5, 1): (None, None)}
+    assert all("LeftOuter" not in p and p.count("LeftAnti") <= 1 for p in plans_)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_read_pairs_are_read_and_laid_out_once(spark):
+    laid = reads.laid_pairs(read_queries.sam(spark, "/root/testdata/sf0.001"), read_queries.ORDER)
+    merged = reads.merged_pairs(laid).where("cause is null").drop("cause")
+    for df, layouts in ((merged, 2), (reads.aligned(reads.merged_pairs(laid)), 2), (reads.pair_inserts(laid), 2)):
+        plan = optimized(df)
+        assert "Union" not in plan and plan.count("Relation [") == 1 and plan.count("AS inserts") <= 2 * layouts * 3, plan
+    assert "Join" not in optimized(merged)
+    clipped = optimized(reads.clipped_pairs(read_queries.sam(spark, "/root/testdata/sf0.001"), read_queries.seen_ranges(spark, "/root/testdata/sf0.001"), read_queries.ORDER))
+    assert clipped.count("lineitem") <= 1 and "LeftSemi" not in clipped and clipped.count("Relation [") == 2
+
+
+def test_merged_pairs_have_a_row_for_each_cutoff(spark):
+    laid = reads.laid_pairs(read_queries.sam(spark, "/root/testdata/sf0.001"), read_queries.ORDER)
+    both = sorted(map(tuple, reads.merged_pairs(laid, (15, 20)).where("qcut is not null").collect()), key=repr)
+    each = [r for cut in (15, 20) for r in map(tuple, reads.merged_pairs(laid, (cut,)).where("qcut is not null").collect())]
+    assert both == sorted(each, key=repr) and len(both) == 2 * len(set(r[:2] for r in both))
+
+
+def test_fits_says_whether_a_layout_is(spark):
+    rows = [(c, "ACGT", q) for c in ("4M", "2M1D2M", "1M2I1M", "*", "", "5M", "4X", "99999999999M", None) for q in ("IIII", "II", None)] + [("4M", None, "IIII"), ("", "", "")]
+    df = spark.createDataFrame(rows, "cigar string, seq string, qual string")
+    met = df.select(reads.fits(F.col("cigar"), F.col("seq"), F.col("qual")).alias("fits"), reads.laid_out(F.col("cigar"), F.col("seq"), F.col("qual"), F.lit(0)).isNotNull().alias("laid")).collect()
+    assert all(r.fits == r.laid for r in met) and sum(r.fits for r in met) == 4

@@ -40,6 +40,12 @@ def operations(cigar: Column) -> Column:
     return F.when(F.array_join(parts, "") == cigar, F.transform(parts, lambda o: F.struct(F.substring(o, F.lit(1), F.length(o) - 1).try_cast("int").alias("n"), F.right(o, F.lit(1)).alias("op"))))
 
 
+def fits(cigar: Column, seq: Column, qual: Column) -> Column:
+    """Whether laid_out gives a layout: the CIGAR can be read and takes as many bases as the read and its qualities have."""
+    used = F.aggregate(operations(cigar), F.lit(0), lambda s, o: s + F.when(o["op"] == "D", 0).otherwise(o["n"]))
+    return F.coalesce((used == F.length(seq)) & (F.length(qual) == F.length(seq)), F.lit(False))
+
+
 def laid_out(cigar: Column, seq: Column, qual: Column, pos: Column, clip_from: Column | None = None, clip_to: Column | None = None) -> Column:
     """A read on its reference: struct seq, qual and inserts (array of pos, seq, qual); null if the CIGAR can't be read or
     doesn't fit the read.
@@ -137,39 +143,53 @@ MATE = ("flag", "rname", "pos", "cigar", "seq", "qual")
 def mates(reads: DataFrame, order: list[str]) -> DataFrame:
     """qname, pair, and the structs one and two of reads that follow each other under a name; the last of an odd
     number has no mate (two is null)."""
-    nth = F.row_number().over(Window.partitionBy("qname").orderBy(*order)) - 1
-    numbered = reads.select("qname", nth.alias("nth"), F.struct(*MATE).alias("read"))
-    side = lambda k: F.max(F.when(F.col("nth") % 2 == k, F.col("read")))
-    return numbered.groupBy("qname", F.expr("cast(nth div 2 as int)").alias("pair")).agg(side(0).alias("one"), side(1).alias("two"))
+    inside = Window.partitionBy("qname").orderBy(*order)
+    read = F.struct(*MATE)
+    numbered = reads.select("qname", (F.row_number().over(inside) - 1).alias("nth"), read.alias("one"), F.lead(read).over(inside).alias("two"))
+    return numbered.where("nth % 2 = 0").select("qname", F.expr("cast(nth div 2 as int)").alias("pair"), "one", "two")
 
 
 def laid_pairs(reads: DataFrame, order: list[str]) -> DataFrame:
-    """qname, pair, rname, flags, layouts a and b, and the cause of failure that is known before merging.
+    """qname, pair, rname, flags, layouts a and b (null with a cause), and the cause of failure that is known before merging.
 
-    Causes: unmatched (no mate), badCigar (* or one that doesn't fit), 2refs (mates on two references).
+    Causes: unmatched (no mate), badCigar (* or one that doesn't fit), 2refs (mates on two references).  A cause comes from
+    CIGARs and lengths alone, so that a filter by it lays nothing out.
     """
-    laid = lambda m: laid_out(F.col(f"{m}.cigar"), F.col(f"{m}.seq"), F.col(f"{m}.qual"), F.col(f"{m}.pos") - 1)
-    pairs = mates(reads, order).withColumns({"a": laid("one"), "b": laid("two")})
-    cause = F.when(F.col("two").isNull(), "unmatched").when((F.col("one.cigar") == "*") | (F.col("two.cigar") == "*"), "badCigar").when(F.col("one.rname") != F.col("two.rname"), "2refs").when(F.col("a").isNull() | F.col("b").isNull(), "badCigar")
-    return pairs.select("qname", "pair", F.col("one.rname").alias("rname"), F.col("one.flag").alias("flag_a"), F.col("two.flag").alias("flag_b"), "a", "b", cause.alias("cause"))
+    fit = lambda m: fits(F.col(f"{m}.cigar"), F.col(f"{m}.seq"), F.col(f"{m}.qual"))
+    laid = lambda m: F.when(F.col("cause").isNull(), laid_out(F.col(f"{m}.cigar"), F.col(f"{m}.seq"), F.col(f"{m}.qual"), F.col(f"{m}.pos") - 1))
+    cause = F.when(F.col("two").isNull(), "unmatched").when((F.col("one.cigar") == "*") | (F.col("two.cigar") == "*"), "badCigar").when(F.col("one.rname") != F.col("two.rname"), "2refs").when(~fit("one") | ~fit("two"), "badCigar")
+    pairs = mates(reads, order).withColumn("cause", cause)
+    return pairs.select("qname", "pair", F.col("one.rname").alias("rname"), F.col("one.flag").alias("flag_a"), F.col("two.flag").alias("flag_b"), laid("one").alias("a"), laid("two").alias("b"), "cause")
 
 
 def merged_pairs(laid: DataFrame, cutoffs: tuple[int, ...] = (15,), most: float = 0.5) -> DataFrame:
     """qname, pair, rname, qcut, seq and cause of laid_pairs: one row for each cutoff, or one without for pairs that
-    failed before.  A sequence with more than a share of `most` N (or without any base) fails as manyNs."""
-    fine = laid.where("cause is null").withColumn("qcut", F.explode(F.array(*map(F.lit, cutoffs))))
-    seq = fine.withColumn("seq", merged(F.col("a"), F.col("b"), F.col("qcut")))
-    inner = F.length(F.trim(F.col("seq"), F.lit("-")))
-    unknown = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))
-    failed = (inner == 0) | (unknown > most * inner)
-    done = seq.select("qname", "pair", "rname", "qcut", F.when(~failed, F.col("seq")).alias("seq"), F.when(failed, "manyNs").alias("cause"))
-    return done.unionByName(laid.where("cause is not null").select("qname", "pair", "rname", F.lit(None).cast("int").alias("qcut"), F.lit(None).cast("string").alias("seq"), "cause"))
+    failed before.  A sequence with more than a share of `most` N (or without any base) fails as manyNs.
+
+    All rows of a pair come out of one array, so that pairs are read once and no filter merges them another time.
+    """
+
+    def judged(cut: int) -> Callable[[Column], Column]:
+        def rows(seq: Column) -> Column:
+            inner = F.length(F.trim(seq, F.lit("-")))
+            unknown = F.length(seq) - F.length(F.replace(seq, F.lit("N"), F.lit("")))
+            failed = (inner == 0) | (unknown > most * inner)
+            return F.struct(F.lit(cut).alias("qcut"), F.when(~failed, seq).alias("seq"), F.when(failed, "manyNs").alias("cause"))
+
+        return rows
+
+    before = F.struct(F.lit(None).cast("int").alias("qcut"), F.lit(None).cast("string").alias("seq"), F.col("cause").alias("cause"))
+    each = lambda a, b: F.array(*[let(merged(a, b, cut), judged(cut)) for cut in cutoffs])
+    rows = F.when(F.col("cause").isNotNull(), F.array(before)).otherwise(let(F.struct("a", "b"), lambda m: each(m["a"], m["b"])))
+    # Not explode: for that the optimizer adds a filter by the array's size, which works it out twice.
+    return laid.select("qname", "pair", "rname", F.explode_outer(rows).alias("x")).select("qname", "pair", "rname", "x.qcut", "x.seq", "x.cause")
 
 
 def pair_inserts(laid: DataFrame) -> DataFrame:
     """qname, fwd_rev (F or R), refname, pos, insert and qual of the insertions of pairs that could be laid out."""
-    side = lambda s: laid.where("cause is null").select("qname", F.when(is_first(F.col(f"flag_{s}")), "F").otherwise("R").alias("fwd_rev"), F.col("rname").alias("refname"), F.explode(f"{s}.inserts").alias("x"))
-    return side("a").unionByName(side("b")).select("qname", "fwd_rev", "refname", "x.pos", F.col("x.seq").alias("insert"), "x.qual")
+    side = lambda s: F.transform(F.col(f"{s}.inserts"), lambda x: F.struct(F.when(is_first(F.col(f"flag_{s}")), "F").otherwise("R").alias("fwd_rev"), x["pos"].alias("pos"), x["seq"].alias("insert"), x["qual"].alias("qual")))
+    both = laid.where("cause is null").select("qname", F.col("rname").alias("refname"), F.explode_outer(F.concat(side("a"), side("b"))).alias("x")).where("x is not null")
+    return both.select("qname", "x.fwd_rev", "refname", "x.pos", "x.insert", "x.qual")
 
 
 def aligned(merged_: DataFrame) -> DataFrame:
@@ -200,16 +220,15 @@ def clipped_pairs(reads: DataFrame, ranges: DataFrame, order: list[str], cutoff:
     """rname, region, seq and n: the pairs of reads that reach into a range, clipped to it and merged with their
     insertions, counted by sequence.  A mate that doesn't reach into the range is blank there; reads with unusable
     CIGARs and names with one read are left out."""
-    paired = mates(reads, order).where("two is not null and one.rname = two.rname")
+    fit = lambda m: fits(F.col(f"{m}.cigar"), F.col(f"{m}.seq"), F.col(f"{m}.qual"))
+    paired = mates(reads, order).where("two is not null and one.rname = two.rname").where(fit("one") & fit("two"))
     both = paired.select("qname", "pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("one.*")), F.struct(F.lit(1).alias("side"), F.col("two.*")))).alias("r")).select("qname", "pair", "r.*")
-    usable = both.withColumn("__good", operations(F.col("cigar")).isNotNull())
-    met = overlapping(usable.where("__good"), ranges)
+    met = overlapping(both, ranges)
     laid = laid_out(F.col("cigar"), F.col("seq"), F.col("qual"), F.col("pos") - 1, F.col("first"), F.col("last"))
     clipped = met.withColumn("laid", laid).groupBy("qname", "pair", "rname", "region")
     sides = clipped.agg(*[F.max(F.when(F.col("side") == k, F.col("laid"))).alias(n) for k, n in ((0, "a"), (1, "b"))])
-    whole = usable.groupBy("qname", "pair").agg(F.every(F.col("__good") & laid_out(F.col("cigar"), F.col("seq"), F.col("qual"), F.lit(0)).isNotNull()).alias("fits")).where("fits")
     blank = F.struct(F.lit("").alias("seq"), F.lit("").alias("qual"), F.array().cast("array<struct<pos:int,seq:string,qual:string>>").alias("inserts"))
-    ready = sides.join(whole, ["qname", "pair"], "left_semi").withColumns({c: F.coalesce(c, blank) for c in ("a", "b")})
+    ready = sides.withColumns({c: F.coalesce(c, blank) for c in ("a", "b")})
     seq = with_inserts(merged(F.col("a"), F.col("b"), cutoff), merged_inserts(F.col("a.inserts"), F.col("b.inserts"), cutoff))
     return ready.withColumn("seq", seq).groupBy("rname", "region", "seq").agg(F.count("*").alias("n"))
 
