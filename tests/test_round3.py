@@ -1,12 +1,14 @@
 """What the third round of review found: names, and steps that must hold on larger tables."""
 
 import ast
+import random
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tracewell import session
-from tracewell.operators import provenance, reads, remap, summaries
+from tracewell.operators import provenance, reads, remap, sequences, summaries
 from tracewell.plans import read_queries
 
 
@@ -101,3 +103,21 @@ def test_fits_says_whether_a_layout_is(spark):
     df = spark.createDataFrame(rows, "cigar string, seq string, qual string")
     met = df.select(reads.fits(F.col("cigar"), F.col("seq"), F.col("qual")).alias("fits"), reads.laid_out(F.col("cigar"), F.col("seq"), F.col("qual"), F.lit(0)).isNotNull().alias("laid")).collect()
     assert all(r.fits == r.laid for r in met) and sum(r.fits for r in met) == 4
+
+
+def test_best_match_over_many_tiles(spark):
+    random.seed(8)
+    make = lambda n, letters, low=0: [(i, "".join(random.choices(letters, k=random.randint(low, 24)))) for i in range(n)]
+    refs = make(150, "ACG") + [(500 + i, s) for i, s in make(20, "ACG")] + [(900, None), (901, "é☃𝄞é☃𝄞"), (1, "ACGACG"), (0, "ACGACG"), (950, "A" * 5000)]
+    asked = make(60, "ACG") + [(70, None), (71, ""), (72, "TTTTT"), (73, "☃𝄞é"), (74, "ACGACG"), (75, "ACGACG"), (76, "A" * 6000)]
+    words = lambda s: Counter(s[i : i + 3] for i in range(len(s or "") - 2))
+    want = {}
+    for i, q in asked:
+        own = words(q)
+        scores = [(-sum(n * w[x] for x, n in own.items()) / sum(n * n for n in w.values()), ref) for ref, s in refs if (w := words(s))]
+        top = min(scores)
+        want[i] = (top[1], -top[0]) if top[0] else (None, None)
+    q, r = spark.createDataFrame(asked, "id long, seq string"), spark.createDataFrame(refs, "id long, seq string")
+    for block, n in ((10, 7), (1000, 1000)):
+        got = sequences.best_match(q, r, block=block, asked=n)
+        assert {x.id: (x.best, x.score) for x in got.collect()} == want
