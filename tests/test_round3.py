@@ -5,11 +5,13 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewell import session
 from tracewell.operators import provenance, reads, remap, sequences, summaries
 from tracewell.plans import read_queries
+from tracewell.streaming import stateful
 
 
 def test_no_module_defines_a_name_twice():
@@ -121,3 +123,51 @@ def test_best_match_over_many_tiles(spark):
     for block, n in ((10, 7), (1000, 1000)):
         got = sequences.best_match(q, r, block=block, asked=n)
         assert {x.id: (x.best, x.score) for x in got.collect()} == want
+
+
+def test_heavy_loggers_have_tasks_of_their_own(spark):
+    rows = spark.range(4000).select((F.col("id") % 4).cast("string").alias("key"), "id", F.timestamp_seconds("id").alias("ts"), F.lit("on").alias("message"))
+    assert stateful.alike(rows).where("message is not null").select("key", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().count() == 4
+
+
+def test_common_subsequences_rule_messages_out():
+    from difflib import SequenceMatcher
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    random.seed(5)
+    index = stateful.Buckets(0.75)
+    for n in (0, 1, 5, 40, 63, 64, 65, 100, 127, 128, 129, 300):
+        for _ in range(6):
+            index.add("".join(random.choices("abé☃", k=n)))
+    for n in (1, 30, 63, 64, 65, 90, 127, 128, 129):
+        message = "".join(random.choices("abéz", k=n))
+        kept = set(index.close(message, np.arange(len(index.messages))).tolist())
+        for i, m in enumerate(index.messages):
+            if max(n, len(m)) > index.WIDE:
+                assert i in kept
+            else:
+                assert (i in kept) == (2 * longest(message, m) >= 0.75 * (n + len(m)))
+            assert i in kept or SequenceMatcher(None, m, message).ratio() < 0.75
+
+
+def test_messages_of_like_letters_are_ruled_out_before_their_ratio(monkeypatch):
+    asked = []
+    plain = stateful.SequenceMatcher
+
+    class Counted(plain):
+        def ratio(self):
+            asked.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(stateful, "SequenceMatcher", Counted)
+    random.seed(6)
+    messages = [f'user {random.randrange(1500)} error {{"k": {random.randrange(99)}}} {random.randrange(9000) / 10} {random.getrandbits(48):012x}' for _ in range(300)]
+    stateful.Buckets(0.75).place(messages)
+    assert len(asked) < 20 * len(messages)

@@ -83,12 +83,16 @@ class Buckets:
 
     Alike is a ratio (twice the letters in matching blocks by both lengths) of at least `ratio`.  With M letters in blocks
     of two messages of T letters together there are at most T - 2M + 1 blocks, so they have at least 3M - 1 - T pairs
-    of neighbouring letters in common.  Only buckets with as many are looked at, oldest first, by lengths and letters
-    before the ratio itself.
+    of neighbouring letters in common.  Of buckets with as many, matching blocks are a common subsequence, so the longest
+    one bounds them as well: it is worked out for PART buckets at a time, in bits, where both have at most WIDE letters.  Only
+    what is left is looked at, oldest first, by the ratio itself.
     """
 
+    WIDE, PART = 128, 2048
+
     def __init__(self, ratio: float, messages: Iterable[str] = ()):
         self.ratio, self.known, self.messages = ratio, {}, []
+        self.letters, self.table = {}, np.zeros((64, self.WIDE), np.uint32)
         self.lengths, self.holders = array("q"), defaultdict(lambda: (array("q"), array("q")))
         for message in messages:
             self.add(message)
@@ -98,6 +102,11 @@ class Buckets:
         self.known[message] = at
         self.messages.append(message)
         self.lengths.append(len(message))
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if len(message) <= self.WIDE:
+            # Letters are numbered from 1; 0 stands behind the end.
+            self.table[at, : len(message)] = [self.letters.setdefault(c, len(self.letters) + 1) for c in message]
         for pair, n in Counter(zip(message, message[1:], strict=False)).items():
             places, counts = self.holders[pair]
             places.append(at)
@@ -114,15 +123,45 @@ class Buckets:
         near = (common >= (1.5 * self.ratio - 1) * both - 1 - 1e-9) & (2 * np.minimum(lengths, len(message)) >= self.ratio * both - 1e-9)
         return np.flatnonzero(near)
 
+    def close(self, message: str, places: np.ndarray) -> np.ndarray:
+        """Those of the places whose longest common subsequence with the message is long enough for the ratio."""
+        lengths = np.frombuffer(self.lengths, np.int64)[places]
+        short = lengths <= self.WIDE
+        if len(message) > self.WIDE or not short.any():
+            return places
+        words = len(message) // 64 + 1
+        masks = np.zeros((words, len(self.letters) + 1), np.uint64)
+        for i, c in enumerate(message):
+            if c in self.letters:
+                masks[i // 64, self.letters[c]] |= np.uint64(1 << i % 64)
+        codes = self.table[places[short], : lengths[short].max()]
+        # A bit of `open_` is 0 where the longest subsequence grows (Hyyro); sums carry from word to word.
+        open_ = np.full((words, len(codes)), ~np.uint64(0))
+        for column in codes.T:
+            carry = np.zeros(len(codes), np.uint64)
+            for w in range(words):
+                old = open_[w]
+                met = old & masks[w][column]
+                once = old + met
+                total = once + carry
+                carry = ((once < old) | (total < once)).astype(np.uint64)
+                open_[w] = total | (old - met)
+        common = np.bitwise_count(~open_).sum(axis=0, dtype=np.int64)
+        keep = np.ones(len(places), bool)
+        keep[short] = 2 * common >= self.ratio * (lengths[short] + len(message)) - 1e-9
+        return places[keep]
+
     def find(self, message: str) -> str | None:
         """The message itself if it has a bucket, else the oldest one alike; None if there is none."""
         if message in self.known or not self.messages:
             return message if message in self.known else None
         matcher = SequenceMatcher(None, "", message)
-        for at in self.candidates(message):
-            matcher.set_seq1(self.messages[at])
-            if matcher.quick_ratio() >= self.ratio and matcher.ratio() >= self.ratio:
-                return self.messages[at]
+        near = self.candidates(message)
+        for start in range(0, len(near), self.PART):
+            for at in self.close(message, near[start : start + self.PART]):
+                matcher.set_seq1(self.messages[at])
+                if matcher.quick_ratio() >= self.ratio and matcher.ratio() >= self.ratio:
+                    return self.messages[at]
         return None
 
     def place(self, messages: Iterable[str]) -> tuple[list[str], list[str]]:
@@ -161,7 +200,9 @@ def alike(rows: DataFrame, ratio: float = 0.75) -> DataFrame:
             yield pdf.assign(bucket=chosen)
 
     typed = rows.select("key", "id", F.col("ts").cast("timestamp").alias("ts"), "message")
-    told = typed.where("message is not null").repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, ALIKE)
+    # By ranges of a given number, heavy keys have tasks of their own: by size alone, small rows of long work would be put together.
+    parts = 4 * max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    told = typed.where("message is not null").repartitionByRange(parts, "key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, ALIKE)
     return told.unionByName(typed.where("message is null").withColumn("bucket", F.lit(None).cast("string")))
 
 
