@@ -101,19 +101,17 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), doc_id: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), pa.array(lists, pa.binary())], names=["h", "label", "places"])
 
     hashed = saved(rows.mapInArrow(to_features, "h long, label int, places binary").withColumn("shard", F.pmod("h", F.lit(p.shards))), "toxicity-train")
+    live = hashed.select("shard").distinct().count()
     state = None  # of all places that any shard has seen: (places, z, n)
     for _ in range(p.rounds):
         sent = spark.sparkContext.broadcast(state)
 
-        trained = hashed.groupBy("shard").applyInPandas(_shard(sent, p), "place long, z double, n double")
+        trained = hashed.groupBy("shard").applyInPandas(_shard(sent, p), f"part int, shard int, {PACKED}")
         # The mean over all shards; a shard that never saw a place holds zeros for it.
-        mixed = trained.groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-        got = mixed.toArrow()  # at most 2**bits + 1 rows of three numbers
-        if not got.num_rows:
+        parts = sorted(trained.groupBy("part").applyInPandas(_mean(sent, live, p), f"part int, {PACKED}").toLocalIterator())  # at most 2**bits + 1 places
+        if not parts:
             break
-        places, z, n = (got.column(c).to_numpy() for c in ("place", "z", "n"))
-        order = np.argsort(places)
-        state = (places[order].astype(np.int32), z[order] / p.shards, n[order] / p.shards)
+        state = tuple(np.concatenate(x) for x in zip(*(_unpacked(*row[1:]) for row in parts), strict=True))
         sent.destroy()
     if state is None:
         return {"places": np.zeros(0, np.int64), "weights": np.zeros(0), "intercept": np.zeros(1)}
@@ -125,20 +123,63 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), doc_id: str = "doc
     return {"places": places[keep], "weights": w[keep], "intercept": intercept if len(intercept) else np.zeros(1)}
 
 
+#: Ranges of places that a state is cut into on its way, and what is sent of one: places as differences, z and n.
+PARTS, PACKED = 16, "places binary, z binary, n binary"
+
+
+def _packed(places: np.ndarray, z: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return zlib.compress(np.diff(places, prepend=0).astype(np.int32).tobytes(), 1), z.tobytes(), n.tobytes()
+
+
+def _unpacked(places: bytes, z: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(zlib.decompress(places), np.int32), dtype=np.int32), np.frombuffer(z), np.frombuffer(n)
+
+
 def _shard(sent, p: Ftrl):
-    """`passes` over a shard's rows from the state sent; returns its own state."""
+    """`passes` over a shard's rows from the state sent; returns its own state of the places that its rows have."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
         if sent.value is not None:
             at, z0, n0 = sent.value
             z[at], n[at] = z0, n0
+        shard = int(pdf["shard"].iloc[0])
         pdf = pdf.sort_values("h", kind="stable")
         rows = [(np.cumsum(np.frombuffer(zlib.decompress(x), np.int32), dtype=np.int32), y) for x, y in zip(pdf["places"], pdf["label"], strict=True)]
         for _ in range(p.passes):
             learn(rows, z, n, p)
-        at = np.flatnonzero(n)
-        return pd.DataFrame({"place": at, "z": z[at], "n": n[at]})
+        own = np.zeros(len(z), bool)
+        own[-1] = True
+        for places, _ in rows:
+            own[places] = True
+        at = np.flatnonzero(own & (n != 0))
+        cuts = np.searchsorted(at, _bounds(p)[1:-1])
+        return pd.DataFrame([(k, shard, *_packed(x, z[x], n[x])) for k, x in enumerate(np.split(at, cuts)) if len(x)], columns=["part", "shard", "places", "z", "n"])
+
+    return run
+
+
+def _bounds(p: Ftrl) -> np.ndarray:
+    return np.arange(PARTS + 1) * ((1 << p.bits) + 1) // PARTS
+
+
+def _mean(sent, live: int, p: Ftrl):
+    """The mean of all shards' states of a range of places, summed in the order of shards; of the `live` ones, which have
+    rows, one that has no row with a place still holds there what it was sent."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        states = [_unpacked(*row) for row in zip(pdf["places"], pdf["z"], pdf["n"], strict=True)]
+        part = int(pdf["part"].iloc[0])
+        if sent.value is not None:
+            low, high = np.searchsorted(sent.value[0], _bounds(p)[part : part + 2])
+            before = tuple(x[low:high] for x in sent.value)
+        else:
+            before = np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+        at, index = np.unique(np.concatenate([before[0], *[x[0] for x in states]]), return_inverse=True)
+        others = live - np.bincount(index[len(before[0]) :], minlength=len(at))[index[: len(before[0])]]
+        z, n = (np.bincount(index, np.concatenate([others * before[k], *[x[k] for x in states]]), len(at)) / p.shards for k in (1, 2))
+        return pd.DataFrame([(part, *_packed(at, z, n))], columns=["part", "places", "z", "n"])
 
     return run
 
