@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 import zlib
+from itertools import pairwise
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -158,12 +159,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         yield batch.slice(at)
 
 
-def pieces(column: pa.Array, uncut: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def pieces(column: pa.Array, uncut: np.ndarray | None = None, recut=None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts cut where ASCII white space begins: the distinct pieces, the number of the piece at each
     place, and where each text's pieces end.
 
     A piece is a run of white space (none at the start of a text) and the word behind it (none at the
-    end).  Texts marked in `uncut` are one piece each.  A null text has no piece.
+    end).  Texts marked in `uncut` are one piece each.  A null text has no piece.  `recut` gets the bytes of
+    all texts, the marks where pieces begin, which it changes, and where the texts begin and the last one ends.
     """
     whole = pc.fill_null(column.cast(pa.large_binary()), b"")
     ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
@@ -174,13 +176,17 @@ def pieces(column: pa.Array, uncut: np.ndarray | None = None) -> tuple[list[byte
     ends = ends - ends[0]
     begins = BLANK[data]
     begins[1:] &= ~begins[:-1]
+    if recut is not None:
+        recut(data, begins, ends)
     for i in np.flatnonzero(uncut) if uncut is not None else ():
         begins[ends[i] : ends[i + 1]] = False
     begins[ends[:-1][np.diff(ends) > 0]] = True
     at = np.flatnonzero(begins)
     cut = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, n)), pa.py_buffer(data)])
     coded = cut.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(at, ends[1:])
+    _, stops, raw = coded.dictionary.buffers()
+    stops, raw = np.frombuffer(stops, np.int64, len(coded.dictionary) + 1).tolist(), raw.to_pybytes()
+    return [raw[i:j] for i, j in pairwise(stops)], coded.indices.to_numpy(), np.searchsorted(at, ends[1:])
 
 
 def spread(made: list[bytes], kind, index: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

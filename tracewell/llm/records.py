@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -31,25 +32,26 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import Known, file_system, new_file, slices, spread
+from tracewell.llm.common import BLANK, Known, file_system, new_file, slices, spread
 from tracewell.llm.common import pieces as words_of
 
 HEAD = "<IIq"
 #: Fixed values of the frame's checksum: reflected Castagnoli polynomial, mask constant.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 BLOCK = 64
-#: Fixed split pattern of the byte-level vocabulary, its white space spelled out.
-SPACE = r"\t-\r \x85\xa0  -     　"
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Pieces whose ids a Python worker remembers at least.
-REMEMBERED = 300_000
-#: White space that isn't ASCII.
+#: Pieces whose ids a Python worker remembers at least, bytes of the longest of them, and pieces sent to the library at once.
+REMEMBERED, LONGEST, SENT = 300_000, 100, 8192
+#: White space that isn't ASCII, the last bytes of its characters, and all white space.
 WIDE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+WIDE_LAST = np.isin(np.arange(256), [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
+BLANKS = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | set(map(chr, range(0x2000, 0x200B)))
+ASCII_BLANKS = frozenset(map(ord, "\t\n\v\f\r "))
+#: 1 for ASCII letters and digits, 2 for printable ASCII signs but the apostrophe, 0 for all other bytes.
+KIND = np.array([1 if chr(b).isalnum() and b < 128 else 2 if 32 < b < 127 and b != 39 else 0 for b in range(256)], np.uint8)
 INDEX = "part int, offset long, length long, doc_id long, n_tokens long"
 
 
@@ -128,8 +130,8 @@ def check(lengths: list[bytes], heads: list[int], data: list[bytes], tails: list
 class Pieces:
     """The tokenizers library's ids of a byte-level vocabulary file.
 
-    A text is cut at special tokens and into the pieces that the file's pattern makes, which the
-    merges never cross; the library encodes each distinct piece once, and it is remembered.
+    Texts are cut at places that the library's merges never cross, and the library encodes each distinct piece
+    once: new ones are sent many in one text, and the bytes of the tokens tell where each piece's ids end.
     """
 
     def __init__(self, path: str):
@@ -141,81 +143,102 @@ class Pieces:
             spec = json.load(f)
         cut = spec["pre_tokenizer"] or {}
         if spec["normalizer"] or cut.get("type") != "ByteLevel" or cut["add_prefix_space"] or not cut.get("use_regex", True):
-            raise ValueError(f"{path} isn't a byte-level file that cuts texts by PIECES")
+            raise ValueError(f"{path} isn't a byte-level file with the usual pattern of pieces")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.special = {t.content: self.raw([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.split = regex.compile("|".join(f"({regex.escape(t)})" for t in self.special)) if self.special else None
-        self.known = Known(None, REMEMBERED)  # ids of pieces, and of words with the white space before them
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        self.holding = "|".join(f"(?:{re.escape(t.content)})" for t in added.values())
+        #: Tokens that depend on what stands beside a word.
+        self.reaching = "|".join(f"(?:{re.escape(t.content)})" for t in added.values() if t.lstrip or t.rstrip or t.single_word or BLANKS & set(t.content))
+        vocab = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token; one letter stands for one byte
+        for token, i in vocab.items():
+            self.size[i] = len(added[i].content.encode()) if i in added else len(token)
+        self.known = Known(None, REMEMBERED)
 
     def raw(self, ids: list[int]) -> bytes:
         """Little-endian, as array() is on the machines that Spark runs on."""
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
-    def cut(self, text: str) -> list[str]:
-        """The pieces of a text."""
-        if self.split is not None and self.split.search(text):
-            return [p for part in self.split.split(text) if part for p in ([part] if part in self.special else PIECES.findall(part))]
-        return PIECES.findall(text)
+    def apart(self, piece: bytes) -> bool:
+        """Whether a piece has to be encoded by itself.
 
-    def learn(self, fresh: list[str]) -> list[bytes]:
-        """The library's ids of pieces.
-
-        They are sent as one text with a special token between any two: such a token parts what stands before it
-        from what follows, so each piece is encoded by itself.
+        White space at its end would be one run with that of the next piece, and wide white space at its start
+        with the line break that is put before it.
         """
-        if not self.special:
-            return [self.raw(e.ids) for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        token, raw = next(iter(self.special.items()))
-        out = []
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([token.join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            stops = np.flatnonzero(ids == np.frombuffer(raw, ids.dtype)[0]) * self.width
-            data = ids.tobytes()
-            out += [data[i:j] for i, j in zip([0, *(stops + self.width).tolist()], [*stops.tolist(), len(data)], strict=True)]
-        return out
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words; the library encodes all pieces of theirs that aren't known."""
-        known, before = self.known, self.known.before
+        if piece.isascii():
+            return piece[-1] in ASCII_BLANKS
+        text = piece.decode()
+        return text[-1] in BLANKS or text[0] not in " \t\n\v\f\r" and text[0] in BLANKS
+
+    def together(self, some: list[bytes]) -> list[bytes]:
+        """Ids of pieces in one text, in which each begins with ASCII white space: a line break is put before others, and left out."""
+        led = [w if w[0] in ASCII_BLANKS else b"\n" + w for w in some]
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(led).decode()], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        sizes = np.fromiter(map(len, led), np.int64, len(led))
+        stops = np.cumsum(sizes)
+        starts = stops - np.fromiter(map(len, some), np.int64, len(some))
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])
+        first, last = np.searchsorted(ends, starts), np.searchsorted(ends, stops)
+        if ends[-1] != stops[-1] or (ends[first] != starts).any() or (ends[last] != stops).any():
+            return self.singly(some)  # tokens don't tell pieces apart: the vocabulary lacks bytes, or pieces make a special token
+        data, width = ids.tobytes(), self.width
+        return [data[i:j] for i, j in zip((first * width).tolist(), (last * width).tolist(), strict=True)]
+
+    def singly(self, some: list[bytes]) -> list[bytes]:
+        return [self.raw(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+
+    def learn(self, fresh: list[bytes], special: bool) -> list[bytes]:
+        """The library's ids of pieces; special: whether some may hold special tokens."""
+        alone = [self.apart(w) or special and any(t in w for t in self.special) for w in fresh]
+        many, own = [w for w, a in zip(fresh, alone, strict=True) if not a], [w for w, a in zip(fresh, alone, strict=True) if a]
+        ids = chain.from_iterable(self.together(many[at : at + SENT]) for at in range(0, len(many), SENT))
+        rest = iter(self.singly(own))
+        return [next(rest) if a else next(ids) for a in alone]
+
+    def ids(self, words: list[bytes], special: bool = False) -> list[bytes]:
+        """Ids of pieces; the library encodes those that aren't known."""
+        known = self.known
         out = list(map(known.get, words))
-        missing = [k for k, x in enumerate(out) if x is None]
-        new, cuts, made = [], [], {}
-        for k in missing:
-            w = words[k]
-            if (x := before.get(w)) is not None:
+        new = []
+        for k in [k for k, x in enumerate(out) if x is None]:
+            if (x := known.before.get(words[k])) is not None:
                 out[k] = x
-                known.put(w, x)
+                known.put(words[k], x)
             else:
-                cut = self.cut(w.decode())
                 new.append(k)
-                cuts.append(cut)
-                for p in cut:
-                    made[p] = None
-        todo = []
-        for p in made:
-            made[p] = self.special.get(p) or known.peek(p.encode())
-            if made[p] is None:
-                todo.append(p)
-        for p, x in zip(todo, self.learn(todo), strict=True):
-            made[p] = x
-            known.put(p.encode(), x)
-        for k, cut in zip(new, cuts, strict=True):
-            out[k] = made[cut[0]] if len(cut) == 1 else b"".join(map(made.__getitem__, cut))
-            if len(cut) > 1:
-                known.put(words[k], out[k])
+        for k, x in zip(new, self.learn([words[k] for k in new], special), strict=True):
+            out[k] = x
+            if len(words[k]) <= LONGEST:
+                known.put(words[k], x)
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids end.
 
-        The pattern begins a piece wherever white space begins, so a text is cut there and each distinct
-        word, with the white space before it, is encoded once.  White space beyond ASCII can stand next to
-        it and belong to the same run: texts that have it are not cut.
+        The pattern begins a piece wherever white space begins, and between an ASCII letter or digit and a sign on
+        either side (but an apostrophe may go with the letters behind it): texts are cut there.  White space beyond
+        ASCII can stand before ASCII white space and belong to the same run, which is not cut then.  Texts with special
+        tokens are cut at white space only, and not at all where such a token reaches beyond its word.
         """
-        uncut = pc.fill_null(pc.match_substring_regex(column, WIDE), False).to_numpy(zero_copy_only=False)
-        distinct, index, ends = words_of(column, uncut)
-        return spread(self.ids(distinct), f"<u{self.width}", index, ends)
+
+        def marked(pattern: str) -> np.ndarray:
+            if not pattern:
+                return np.zeros(len(column), bool)
+            return pc.fill_null(pc.match_substring_regex(column, pattern), False).to_numpy(zero_copy_only=False)
+
+        wide, special = marked(WIDE), marked(self.holding)
+
+        def recut(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+            kind = KIND[data]
+            for i in np.flatnonzero(special):
+                kind[ends[i] : ends[i + 1]] = 0
+            begins[1:] |= (kind[1:] ^ kind[:-1]) == 3
+            for i in np.flatnonzero(wide):
+                begins[ends[i] + 1 : ends[i + 1]] &= ~(WIDE_LAST[data[ends[i] : ends[i + 1] - 1]] & BLANK[data[ends[i] + 1 : ends[i + 1]]])
+
+        distinct, index, ends = words_of(column, marked(self.reaching), recut)
+        return spread(self.ids(distinct, bool(special.any())), f"<u{self.width}", index, ends)
 
 
 @lru_cache(maxsize=2)
