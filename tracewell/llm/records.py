@@ -44,7 +44,7 @@ HEAD = "<IIq"
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 BLOCK = 64
 #: Pieces whose ids a Python worker remembers at least, bytes of the longest of them, and pieces sent to the library at once.
-REMEMBERED, LONGEST, SENT = 300_000, 100, 8192
+REMEMBERED, LONGEST, SENT = 450_000, 100, 1024
 #: White space that isn't ASCII, the last bytes of its characters, and all white space.
 WIDE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 WIDE_LAST = np.isin(np.arange(256), [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
@@ -63,6 +63,15 @@ def crc_table() -> np.ndarray:
     return c
 
 
+@lru_cache(maxsize=1)
+def crc_pair_table() -> np.ndarray:
+    """What two zero bytes make of a state of 16 bits."""
+    table, c = crc_table(), np.arange(1 << 16, dtype=np.uint32)
+    for _ in range(2):
+        c = table[c & 255] ^ (c >> 8)
+    return c
+
+
 @lru_cache(maxsize=1)
 def crc_block_shift() -> np.ndarray:
     """What BLOCK zero bytes make of a state, as four tables, one for each byte of the state."""
@@ -93,10 +102,10 @@ def crc32c(messages: list[bytes]) -> np.ndarray:
         data[end - len(m) : end] = np.frombuffer(m, np.uint8)
     first = (ends - n)[:, None] + np.arange(4)
     data[first] ^= 0xFF
-    columns = np.ascontiguousarray(data.reshape(-1, BLOCK).T)
-    table, state = crc_table(), np.zeros(columns.shape[1], np.uint32)
+    columns = np.ascontiguousarray(data.view("<u2").reshape(-1, BLOCK // 2).T)  # two bytes at a time
+    table, state = crc_pair_table(), np.zeros(columns.shape[1], np.uint32)
     for column in columns:
-        state = table[(state ^ column) & 255] ^ (state >> 8)
+        state = table[(state ^ column) & 0xFFFF] ^ (state >> 16)
     a, b, c, d = crc_block_shift()
     order = np.argsort(-blocks, kind="stable")
     at, left = (ends // BLOCK - blocks)[order], blocks[order]
