@@ -6,19 +6,19 @@ micro-batches, so both give the same rows.
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from difflib import SequenceMatcher
+from bisect import bisect_right
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tracewell.operators.registration import may_follow
+from tracewell.session import Rounds, checkpointed, dropped
+from tracewell.streaming.buckets import Buckets
 
 LIMITED = "key string, id long, ts timestamp, suppressed long"
 BUCKET = "tokens double, last double, suppressed long"
@@ -78,132 +78,113 @@ def rate_limited_stream(rows: DataFrame, rate: float = 1, per: float = 300, burs
     return typed.groupBy("key").applyInPandasWithState(step, LIMITED, BUCKET, "append", GroupStateTimeout.NoTimeout)
 
 
-class Buckets:
-    """Messages of a logger in the order in which they came up, and an index that finds those alike.
+#: Bits of a bucket's number in its round; of those, bits of its number in a tile of buckets; messages of a chunk.
+NUMBER, TILE, CHUNK = 40, 15, 1 << 14
 
-    Alike is a ratio (twice the letters in matching blocks by both lengths) of at least `ratio`.  With M letters in blocks
-    of two messages of T letters together there are at most T - 2M + 1 blocks, so they have at least 3M - 1 - T pairs
-    of neighbouring letters in common.  Of buckets with as many, matching blocks are a common subsequence, so the longest
-    one bounds them as well: it is worked out for PART buckets at a time, in bits, where both have at most WIDE letters.  Only
-    what is left is looked at, oldest first, by the ratio itself.
-    """
 
-    WIDE, PART = 128, 2048
-
-    def __init__(self, ratio: float, messages: Iterable[str] = ()):
-        self.ratio, self.known, self.messages = ratio, {}, []
-        self.letters, self.table = {}, np.zeros((64, self.WIDE), np.uint32)
-        self.lengths, self.holders = array("q"), defaultdict(lambda: (array("q"), array("q")))
-        for message in messages:
-            self.add(message)
-
-    def add(self, message: str) -> None:
-        at = len(self.messages)
-        self.known[message] = at
-        self.messages.append(message)
-        self.lengths.append(len(message))
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        if len(message) <= self.WIDE:
-            # Letters are numbered from 1; 0 stands behind the end.
-            self.table[at, : len(message)] = [self.letters.setdefault(c, len(self.letters) + 1) for c in message]
-        for pair, n in Counter(zip(message, message[1:], strict=False)).items():
-            places, counts = self.holders[pair]
-            places.append(at)
-            counts.append(n)
-
-    def candidates(self, message: str) -> np.ndarray:
-        lengths = np.frombuffer(self.lengths, np.int64)
-        both = lengths + len(message)
-        common = np.zeros(len(lengths), np.int64)
-        for pair, n in Counter(zip(message, message[1:], strict=False)).items():
-            if pair in self.holders:
-                places, counts = (np.frombuffer(x, np.int64) for x in self.holders[pair])
-                common[places] += np.minimum(counts, n)
-        near = (common >= (1.5 * self.ratio - 1) * both - 1 - 1e-9) & (2 * np.minimum(lengths, len(message)) >= self.ratio * both - 1e-9)
-        return np.flatnonzero(near)
-
-    def close(self, message: str, places: np.ndarray) -> np.ndarray:
-        """Those of the places whose longest common subsequence with the message is long enough for the ratio."""
-        lengths = np.frombuffer(self.lengths, np.int64)[places]
-        short = lengths <= self.WIDE
-        if len(message) > self.WIDE or not short.any():
-            return places
-        words = len(message) // 64 + 1
-        masks = np.zeros((words, len(self.letters) + 1), np.uint64)
-        for i, c in enumerate(message):
-            if c in self.letters:
-                masks[i // 64, self.letters[c]] |= np.uint64(1 << i % 64)
-        codes = self.table[places[short], : lengths[short].max()]
-        # A bit of `open_` is 0 where the longest subsequence grows (Hyyro); sums carry from word to word.
-        open_ = np.full((words, len(codes)), ~np.uint64(0))
-        for column in codes.T:
-            carry = np.zeros(len(codes), np.uint64)
-            for w in range(words):
-                old = open_[w]
-                met = old & masks[w][column]
-                once = old + met
-                total = once + carry
-                carry = ((once < old) | (total < once)).astype(np.uint64)
-                open_[w] = total | (old - met)
-        common = np.bitwise_count(~open_).sum(axis=0, dtype=np.int64)
-        keep = np.ones(len(places), bool)
-        keep[short] = 2 * common >= self.ratio * (lengths[short] + len(message)) - 1e-9
-        return places[keep]
-
-    def find(self, message: str) -> str | None:
-        """The message itself if it has a bucket, else the oldest one alike; None if there is none."""
-        if message in self.known or not self.messages:
-            return message if message in self.known else None
-        matcher = SequenceMatcher(None, "", message)
-        near = self.candidates(message)
-        for start in range(0, len(near), self.PART):
-            for at in self.close(message, near[start : start + self.PART]):
-                matcher.set_seq1(self.messages[at])
-                if matcher.quick_ratio() >= self.ratio and matcher.ratio() >= self.ratio:
-                    return self.messages[at]
-        return None
-
-    def place(self, messages: Iterable[str]) -> tuple[list[str], list[str]]:
-        """The bucket of each message in turn, and the buckets that are new."""
-        chosen, new = [], []
-        for message in messages:
-            found = self.find(message)
-            if found is None:
-                found = message
-                self.add(message)
-                new.append(message)
-            chosen.append(found)
-        return chosen, new
+def alike(rows: DataFrame, ratio: float = 0.75, alone: int = 1 << 15) -> DataFrame:
+    """Rows (key, id, ts, message) with `bucket`: the message of the first bucket, in the order in which they were made,
+    that is the same or alike by `ratio` of its letters; a message unlike all makes a bucket of its own.
 
+    Each key (a logger) has its buckets, which depend on all its messages before.  Where no key has more than `alone` messages, rows
+    stream through in the order of time, a key in one task.  Else they are placed in rounds (`_in_rounds`).  Null messages have no
+    bucket and no key is a key as well.
+    """
+    typed = rows.select("key", "id", F.col("ts").cast("timestamp").alias("ts"), "message")
+    told = typed.where("message is not null")
+    most = told.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    out = _in_turn(told, ratio).drop("n") if most <= alone else _in_rounds(told, ratio, alone)
+    return out.unionByName(typed.where("message is null").withColumn("bucket", F.lit(None).cast("string")))
 
-ALIKE = "key string, id long, ts timestamp, message string, bucket string"
 
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
-def alike(rows: DataFrame, ratio: float = 0.75) -> DataFrame:
-    """Rows (key, id, ts, message) with `bucket`: the message of the first bucket, in the order in which they were made,
-    that is the same or alike by `ratio` of its letters; a message unlike all makes a bucket of its own.
 
-    Each key (a logger) has its buckets, which depend on all its messages before; rows stream through in the order of
-    time, and only buckets are held.  Null messages have no bucket and no key is a key as well.
-    """
+def _in_turn(told: DataFrame, ratio: float, of: int = 0) -> DataFrame:
+    """Messages (key, id, ts, message) placed in turn, a key in one task, which holds only its buckets; `n` says in which order
+    buckets were made, in round `of`."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, buckets = object(), None
-        for pdf in frames:
-            chosen = []
-            for own, group in pdf.groupby("key", sort=False, dropna=False):
-                own = None if pd.isna(own) else own
-                if buckets is None or own != key:
-                    key, buckets = own, Buckets(ratio)
-                chosen += buckets.place(group["message"])[0]
-            yield pdf.assign(bucket=chosen)
+        for batch in batches:
+            keys, messages, chosen, numbers, at = batch["key"].to_pylist(), batch["message"].to_pylist(), [], [], 0
+            while at < len(keys):
+                end = bisect_right(range(len(keys)), False, at, key=lambda i, at=at: keys[i] != keys[at])
+                if buckets is None or keys[at] != key:
+                    key, buckets = keys[at], Buckets(ratio)
+                chosen += buckets.place(messages[at:end])[0]
+                at = end
+                numbers += [(of << NUMBER) + buckets.known[m] for m in chosen[len(numbers) :]]
+            yield batch.append_column("bucket", pa.array(chosen, pa.string())).append_column("n", pa.array(numbers, pa.int64()))
 
-    typed = rows.select("key", "id", F.col("ts").cast("timestamp").alias("ts"), "message")
     # By ranges of a given number, heavy keys have tasks of their own: by size alone, small rows of long work would be put together.
-    parts = 4 * max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
-    told = typed.where("message is not null").repartitionByRange(parts, "key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, ALIKE)
-    return told.unionByName(typed.where("message is null").withColumn("bucket", F.lit(None).cast("string")))
+    parts = 4 * max(int(told.sparkSession.conf.get("spark.sql.shuffle.partitions")), told.sparkSession.sparkContext.defaultParallelism)
+    turns = told.repartitionByRange(parts, "key").sortWithinPartitions("key", "ts", "id", "message")
+    return turns.mapInArrow(run, f"{_fields(told)}, bucket string, n long")
+
+
+def _in_rounds(told: DataFrame, ratio: float, alone: int) -> DataFrame:
+    """A message's bucket stays the same, so each is placed once, when it first came up.  A key of more than `alone` messages
+    is placed in rounds of time, each about four times those before: messages of a round look for buckets of the rounds before
+    side by side, and only those without one, which get fewer as buckets get more, are placed in turn in one task."""
+    firsts = checkpointed(told.groupBy("key", "message").agg(F.min(F.struct("ts", "id")).alias("at")).select("key", "at.id", "at.ts", "message"))
+    most, shares = firsts.groupBy("key").count().agg(F.max("count")).first()[0] or 0, [0.25]
+    while most * shares[-1] > alone:
+        shares.append(shares[-1] / 4)
+    cuts = firsts.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n"), F.percentile_approx("ts", shares, 10_000).alias("cuts")).where(F.col("n") > alone)
+    later = F.size(F.filter("cuts", lambda c: c < F.col("ts")))
+    rounds = checkpointed(firsts.join(cuts, F.col("key").eqNullSafe(F.col("of")), "left").select(*firsts.columns, F.greatest(later, F.lit(0)).alias("round")))
+    dropped(firsts)
+    made = placed = None
+    for n in range(len(shares) + 1):
+        own = rounds.where(F.col("round") == n).drop("round")
+        if made is not None:
+            asked = _asked(own, made.all(), ratio)
+            own, met = asked.where("bucket is null").drop("bucket"), asked.where("bucket is not null")
+            placed = placed.unionByName(met.select("key", "message", "bucket"))
+        new = checkpointed(_in_turn(own, ratio, n).select("key", "message", "bucket", "n"))
+        placed = new.drop("n") if placed is None else placed.unionByName(new.drop("n"))
+        buckets = new.where("bucket = message").select("key", "message", "n")
+        if made is None:
+            made = Rounds(buckets)
+        elif n < len(shares):
+            made.add(buckets)
+    dropped(rounds)
+    found = placed.withColumnsRenamed({"key": "of", "message": "said"})
+    return told.join(found, F.col("key").eqNullSafe(F.col("of")) & (F.col("message") == F.col("said"))).select(*told.columns, "bucket")
+
+
+def _asked(own: DataFrame, made: DataFrame, ratio: float) -> DataFrame:
+    """Messages (key, id, ts, message), each with the oldest of the buckets (key, message, n) that it is alike, or null.
+
+    Chunks of messages that begin alike, which share work, meet tiles of buckets."""
+    count, cores, columns = own.count(), own.sparkSession.sparkContext.defaultParallelism, own.columns
+    chunks = max(1, min(4 * cores, -(-count // 512)), -(-count // CHUNK))
+    dealt = checkpointed(own.repartitionByRange(chunks, "key", "message").withColumn("chunk", F.spark_partition_id()))
+    # The tile of a bucket: by its number in its round, so the oldest of all rounds are in the first one.
+    tiled = made.select(F.col("key").alias("of"), F.col("message").alias("bucket"), "n", F.shiftright(F.col("n").bitwiseAND(F.lit((1 << NUMBER) - 1)), TILE).alias("tile"))
+    same = F.col("key").eqNullSafe(F.col("of"))
+    left = dealt.join(tiled.select("of", "tile").distinct(), same, "left").drop("of").withColumn("tile", F.coalesce("tile", F.lit(0)))
+    places = dealt.select("key", "chunk").distinct().join(tiled, same)
+    right = places.select(F.col("key").alias("own_key"), F.col("chunk").alias("own_chunk"), F.col("tile").alias("own_tile"), "n", "bucket")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("n")
+        names = right["bucket"].to_pylist()
+        at = Buckets(ratio, names).oldest(left["message"].to_pylist()).tolist()
+        at = pa.array([None if i < 0 else i for i in at], pa.int64())
+        return left.select(columns).append_column("n", right["n"].take(at)).append_column("bucket", right["bucket"].take(at))
+
+    keys = ["key", "chunk", "tile"]
+    left, right = (x.repartition(4 * chunks, *k).groupBy(*k) for x, k in ((left, keys), (right, [f"own_{k}" for k in keys])))
+    met = left.cogroup(right).applyInArrow(meet, f"{_fields(own)}, n long, bucket string")
+    out = checkpointed(met.groupBy("key", "message").agg(F.first("id").alias("id"), F.first("ts").alias("ts"), F.min_by("bucket", "n").alias("bucket")))
+    dropped(dealt)
+    return out
+
+
+ALIKE = "key string, id long, ts timestamp, message string, bucket string"
 
 
 class AlikeProcessor(StatefulProcessor):
